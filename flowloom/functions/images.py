@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from flowloom.functions.stats import bound
 from flowloom.profiles import IMAGE_HEADER, IMAGE_PACKETS, IMAGE_PAYLOAD, IMAGE_SIDE
 
 ZERO = b"\x00"
@@ -57,52 +58,65 @@ def image_from_blocks_hex(blocks: Column, size: int = BLOCK) -> Column:
     return F.concat(*[F.coalesce(F.get(blocks, i), empty) for i in range(IMAGE_PACKETS)])
 
 
-def pixels(image_hex: Column) -> Column:
-    """Byte values of a hex image, row-major."""
-    last = F.length(image_hex) / 2 - 1
-    return F.transform(
-        F.sequence(F.lit(0), last.cast("int")),
-        lambda i: F.conv(F.substring(image_hex, i * 2 + 1, F.lit(2)), 16, 10).cast("int"),
-    )
+def _byte(data: Column, at: Column) -> Column:
+    return F.conv(F.hex(F.substring(data, at + 1, F.lit(1))), 16, 10).cast("int")
+
 
+def pixels(image: Column) -> Column:
+    """Byte values of a binary image, row-major."""
+
+    def values(data: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.octet_length(data) - 1), lambda i: _byte(data, i)
+        )
 
-def scaled_pixels(image_hex: Column) -> Column:
-    return F.transform(pixels(image_hex), lambda v: v / F.lit(255.0))
+    return bound(image, values)
+
+
+def scaled_pixels(image: Column) -> Column:
+    return F.transform(pixels(image), lambda v: v / F.lit(255.0))
 
 
 def _patch_count() -> int:
     return (IMAGE_SIDE // PATCH) ** 2
 
 
-def patches(image_hex: Column) -> Column:
-    """400 patches of 2 x 2 bytes (8 hex digits), left to right, top to bottom.
+def patches(image: Column) -> Column:
+    """400 binary patches of 2 x 2 bytes, left to right, top to bottom.
 
     The eight rows of a packet hold whole patch rows, so row-major patch order is
     also packet-major order.
     """
     per_row = IMAGE_SIDE // PATCH
 
-    def patch(i: Column) -> Column:
+    def patch(data: Column, i: Column) -> Column:
         top = F.floor(i / per_row) * (PATCH * IMAGE_SIDE) + (i % per_row) * PATCH
-        start = (top * 2 + 1).cast("int")
+        start = (top + 1).cast("int")
         return F.concat(
-            F.substring(image_hex, start, F.lit(2 * PATCH)),
-            F.substring(image_hex, start + 2 * IMAGE_SIDE, F.lit(2 * PATCH)),
+            F.substring(data, start, F.lit(PATCH)),
+            F.substring(data, start + IMAGE_SIDE, F.lit(PATCH)),
         )
 
-    return F.transform(F.sequence(F.lit(0), F.lit(_patch_count() - 1)), patch)
+    places = F.sequence(F.lit(0), F.lit(_patch_count() - 1))
+    return bound(image, lambda data: F.transform(places, lambda i: patch(data, i)))
 
 
 def image_from_patches(patch_array: Column) -> Column:
     """Inverse of `patches`."""
     per_row = IMAGE_SIDE // PATCH
 
-    def row(r: Column) -> Column:
-        cells = F.slice(patch_array, (F.floor(r / PATCH) * per_row + 1).cast("int"), F.lit(per_row))
-        start = ((r % PATCH) * 2 * PATCH + 1).cast("int")
-        return F.array_join(F.transform(cells, lambda c: F.substring(c, start, F.lit(2 * PATCH))), "")
+    def row(grid: Column, r: Column) -> Column:
+        cells = F.slice(grid, (F.floor(r / PATCH) * per_row + 1).cast("int"), F.lit(per_row))
+        start = ((r % PATCH) * PATCH + 1).cast("int")
+        return F.array_join(
+            F.transform(cells, lambda c: F.hex(F.substring(c, start, F.lit(PATCH)))), ""
+        )
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(IMAGE_SIDE - 1)), row), "")
+    rows = F.sequence(F.lit(0), F.lit(IMAGE_SIDE - 1))
+    text = bound(
+        patch_array, lambda grid: F.array_join(F.transform(rows, lambda r: row(grid, r)), "")
+    )
+    return F.unhex(text)
 
 
 def kept_patches(mask_ratio: float) -> int:
@@ -112,16 +126,18 @@ def kept_patches(mask_ratio: float) -> int:
 
 def shuffled_patch_ids(sample_id: Column, seed: int) -> Column:
     """Patch positions in a reproducible random order (one sort inside the row)."""
-    keyed = F.transform(
-        F.sequence(F.lit(0), F.lit(_patch_count() - 1)),
-        lambda i: F.struct(
-            F.md5(F.concat_ws(":", F.lit(str(seed)), sample_id.cast("string"), i.cast("string"))).alias(
-                "k"
+
+    def keyed(prefix: Column) -> Column:
+        places = F.sequence(F.lit(0), F.lit(_patch_count() - 1))
+        return F.transform(
+            places,
+            lambda i: F.struct(
+                F.md5(F.concat_ws(":", prefix, i.cast("string"))).alias("k"), i.alias("v")
             ),
-            i.alias("v"),
-        ),
-    )
-    return F.transform(F.sort_array(keyed), lambda s: s["v"])
+        )
+
+    prefix = F.concat_ws(":", F.lit(str(seed)), sample_id.cast("string"))
+    return F.transform(F.sort_array(bound(prefix, keyed)), lambda s: s["v"])
 
 
 def restore_order(shuffled: Column) -> Column:
@@ -138,4 +154,7 @@ def patch_mask(restore: Column, mask_ratio: float) -> Column:
 
 def visible_patches(patch_array: Column, shuffled: Column, mask_ratio: float) -> Column:
     keep = kept_patches(mask_ratio)
-    return F.transform(F.slice(shuffled, 1, keep), lambda i: F.get(patch_array, i))
+    return bound(
+        patch_array,
+        lambda grid: F.transform(F.slice(shuffled, 1, keep), lambda i: F.get(grid, i)),
+    )

@@ -2,26 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def percentile_sorted(values: Column, fraction: float) -> Column:
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once.
+
+    The optimizer may move a column's definition into a lambda that mentions it,
+    where it would be computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def percentile_sorted(values: Column, fraction: float | Column) -> Column:
     """Linear-interpolation percentile of an ascending array; null when empty."""
-    position = (F.size(values) - 1) * F.lit(float(fraction))
+    share = fraction if isinstance(fraction, Column) else F.lit(float(fraction))
+    position = (F.size(values) - 1) * share
     low = F.floor(position).cast("int")
     base = F.get(values, low)
     step = F.get(values, F.ceil(position).cast("int")) - base
     return base + step * (position - low)
 
 
+def percentiles_sorted(values: Column, fractions: Sequence[float]) -> Column:
+    """Array of percentiles, one per fraction."""
+    wanted = F.array(*[F.lit(float(f)) for f in fractions])
+    return F.transform(wanted, lambda f: percentile_sorted(values, f))
+
+
 def median_sorted(values: Column) -> Column:
     return percentile_sorted(values, 0.5)
 
 
 def mad_sorted(values: Column, median: Column) -> Column:
     """Median absolute deviation from ``median``."""
-    return median_sorted(F.sort_array(F.transform(values, lambda x: F.abs(x - median))))
+    distances = bound(
+        median, lambda m: F.sort_array(F.transform(values, lambda x: F.abs(x - m)))
+    )
+    return bound(distances, median_sorted)
 
 
 def finite_or_zero(x: Column) -> Column:

@@ -128,16 +128,17 @@ def statistics(cut: DataFrame, profile: FlowProfile, keys: list[str] | None = No
     outgoing = F.col("dir") == profile.outgoing
     inputs = {"in": F.when(~outgoing, length), "out": F.when(outgoing, length), "bi": length}
     grouped = cut.groupBy(*keys).agg(*[c for d, x in inputs.items() for c in _moments(d, x, profile)])
-    medians = grouped.select(
-        "*", *[S.median_sorted(F.col(f"_{d}")).alias(f"_{d}_median") for d in DIRECTIONS]
-    )
-    order_stats = []
+    fractions = [p / 100 for p in DECILES]
+    ordered = []
     for d in DIRECTIONS:
         values = F.col(f"_{d}")
-        order_stats.append(S.mad_sorted(values, F.col(f"_{d}_median")).alias(f"{d}_mad"))
-        order_stats += [S.percentile_sorted(values, p / 100).alias(f"{d}_p{p}") for p in DECILES]
-    full = medians.select("*", *order_stats)
-    return full.select(*keys, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in FEATURE_NAMES])
+        ordered.append(S.mad_sorted(values, S.median_sorted(values)).alias(f"{d}_mad"))
+        ordered.append(S.percentiles_sorted(values, fractions).alias(f"_{d}_deciles"))
+    full = grouped.select("*", *ordered)
+    spread = {f"{d}_p{p}": F.get(f"_{d}_deciles", F.lit(i)) for d in DIRECTIONS for i, p in enumerate(DECILES)}
+    return full.select(
+        *keys, *[F.coalesce(spread.get(c, F.col(c)), F.lit(0.0)).alias(c) for c in FEATURE_NAMES]
+    )
 
 
 def flow_statistics(

@@ -114,7 +114,7 @@ def sequence_length_statistics(seqs: DataFrame, value: str) -> DataFrame:
 
 
 def absolute_length_statistics(seqs: DataFrame, value: str) -> DataFrame:
-    values = seqs.select(F.abs(F.explode(value)).alias("x"))
+    values = seqs.select(F.explode(value).alias("x")).select(F.abs("x").alias("x"))
     return values.agg(
         F.min("x").alias("min"),
         F.max("x").alias("max"),
