@@ -1,6 +1,11 @@
 """Named queries over the test tables, each with the SQL that gives the same rows."""
 
-from flowloom.catalog import dataset_queries, feature_queries, packet_queries  # noqa: F401
+from flowloom.catalog import (  # noqa: F401
+    dataset_queries,
+    feature_queries,
+    packet_queries,
+    score_queries,
+)
 from flowloom.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
