@@ -5,6 +5,7 @@ from flowloom.catalog import (  # noqa: F401
     feature_queries,
     packet_queries,
     score_queries,
+    source_queries,
 )
 from flowloom.catalog.registry import ORACLES, QUERIES
 

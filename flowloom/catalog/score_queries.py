@@ -260,15 +260,18 @@ def _(q):
 @query(
     "g36_weighted_ensemble",
     _VOTE.format(
-        """SELECT sample_id, class_id, round(sum(prob * CASE WHEN tree = 0 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END), 9) AS p
-FROM votes WHERE tree IN (0, 1) GROUP BY sample_id, class_id"""
+        """SELECT sample_id, class_id, round(sum(prob * CASE WHEN tree < 5 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END / 5), 9) AS p
+FROM votes GROUP BY sample_id, class_id"""
     ),
     ("votes",),
 )
 def _(q):
     votes = q.votes()
-    pair = [votes.filter(F.col("tree") == t).drop("tree") for t in (0, 1)]
-    return forest.weighted_vote(*pair, 0.6).select(*big("sample_id", "pred"), "confidence")
+    halves = [votes.filter(F.col("tree") < 5), votes.filter(F.col("tree") >= 5)]
+    tables = [
+        half.groupBy("sample_id", "class_id").agg((F.sum("prob") / 5).alias("prob")) for half in halves
+    ]
+    return forest.weighted_vote(*tables, 0.6).select(*big("sample_id", "pred"), "confidence")
 
 
 @query(

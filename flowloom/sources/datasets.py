@@ -52,11 +52,12 @@ def write_sequences(seqs: DataFrame, path: str, min_packets: int = 0) -> None:
 def write_by_class(samples: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """One folder per split and class.
 
-    No shuffle by class: every task writes its own rows, so a large class is
-    written by many tasks into many files.
+    Rows are rebalanced by folder first: small classes share a task and give one
+    file each, a class that is too large for one task is spread over several.
     """
     keys = [c for c in ("split", "label") if c in samples.columns]
-    writer = samples.write.option("maxRecordsPerFile", rows_per_file)
+    clustered = samples.hint("rebalance", *keys)
+    writer = clustered.write.option("maxRecordsPerFile", rows_per_file)
     writer.partitionBy(*keys).parquet(path)
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.functions.stats import bound
 from flowloom.functions.text import is_capture_file
 from flowloom.profiles import TCP, UDP
 
@@ -388,20 +389,25 @@ def ipv4_text(address: Column) -> Column:
 
 def ipv6_text(address: Column) -> Column:
     """Shortest text form: the first longest run of zero groups becomes ``::``."""
-    groups = [
-        F.lower(F.conv(F.hex(F.substring(address, 2 * i + 1, 2)), 16, 16)) for i in range(8)
-    ]
-    spelled = F.concat(F.lit(":"), F.concat_ws(":", *groups), F.lit(":"))
-    shortened = F.lit(None).cast("string")
-    for run in range(2, 9):
-        zeros = ":" + "0:" * run
-        at = F.instr(spelled, zeros)
-        before = F.expr("''") if run == 8 else F.substring(spelled, F.lit(2), F.greatest(at - 2, F.lit(0)))
-        after = F.substring(spelled, at + len(zeros), F.length(spelled))
-        after = F.regexp_replace(after, ":$", "")
-        shortened = F.when(at > 0, F.concat(before, F.lit("::"), after)).otherwise(shortened)
-    plain = F.substring(spelled, F.lit(2), F.length(spelled) - 2)
-    return F.coalesce(shortened, plain)
+    zero_runs = F.array(*[F.lit(":" + "0:" * n) for n in range(8, 1, -1)])
+    groups = F.transform(
+        F.sequence(F.lit(0), F.lit(7)),
+        lambda i: F.lower(F.conv(F.hex(F.substring(address, i * 2 + 1, F.lit(2))), 16, 16)),
+    )
+    spelled = F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
+
+    def shorten(text: Column) -> Column:
+        found = F.filter(zero_runs, lambda run: F.instr(text, run) > 0)
+        return bound(F.get(found, F.lit(0)), lambda run: fold(text, run))
+
+    def fold(text: Column, run: Column) -> Column:
+        at = F.instr(text, run)
+        before = F.substring(text, F.lit(2), F.greatest(at - 2, F.lit(0)))
+        after = F.substring(text, at + F.length(run), F.length(text))
+        folded = F.concat(before, F.lit("::"), F.rtrim(after, F.lit(":")))
+        return F.when(run.isNull(), F.trim(text, F.lit(":"))).otherwise(folded)
+
+    return bound(spelled, shorten)
 
 
 def decode_frames(frames: DataFrame, link: str = "declared", with_bytes: bool = True) -> DataFrame:
@@ -412,40 +418,49 @@ def decode_frames(frames: DataFrame, link: str = "declared", with_bytes: bool =
     null version, so that they can be counted. A TCP or UDP packet whose transport
     header is missing or cut, or that is a later fragment, gets a null protocol.
     """
-    frame = F.col("frame")
-    l3, version, size = F.col("l3"), F.col("ip_version"), F.col("frame_len")
+    frame, size = F.col("frame"), F.col("frame_len")
     found = _locate_ip(frames.filter(frame.isNotNull()), link)
-    v4 = version == 4
-    header = F.when(v4, (_u8(frame, l3).bitwiseAND(15)) * 4).when(version == 6, 40)
-    fits = (size - l3 >= F.when(v4, 20).otherwise(40)) & (header >= 20)
-    ip = found.withColumn("_header", header).withColumn(
-        "ip_version", F.when(fits, version)
-    )
-    stated = F.when(
-        v4, F.when(_u16(frame, l3 + 2) > 0, l3 + _u16(frame, l3 + 2)).otherwise(size)
-    ).otherwise(l3 + 40 + _u16(frame, l3 + 4))
-    later = v4 & (_u16(frame, l3 + 6).bitwiseAND(0x1FFF) > 0)
+    l3, v4 = F.col("l3"), F.col("_v4")
+    least_bytes = F.when(v4, 20).otherwise(40)
+    header = F.when(v4, _u8(frame, l3).bitwiseAND(15) * 4).otherwise(40)
+    sized = found.withColumn("_v4", F.col("ip_version") == 4).withColumn("_header", header)
+    # a header that does not fit leaves no offset, and everything below becomes null
+    fits = F.col("ip_version").isNotNull() & (size - l3 >= least_bytes) & (F.col("_header") >= 20)
+    ip = sized.withColumn("l3", F.when(fits, l3))
+    length = _u16(frame, l3 + F.when(v4, 2).otherwise(4))
     ip = ip.select(
-        "*",
+        "capture_id",
+        "pkt_no",
+        "ts_us",
+        "frame_len",
+        "frame",
+        "l3",
+        "_v4",
+        F.when(l3.isNotNull(), F.col("ip_version")).alias("ip_version"),
         (l3 + F.col("_header")).alias("_l4"),
-        F.least(stated, size).alias("_end"),
-        F.when(v4, _u8(frame, l3 + 9)).when(version == 6, _u8(frame, l3 + 6)).alias("_proto"),
-        F.coalesce(later, F.lit(False)).alias("_later"),
-        F.when(v4, _cut(frame, l3 + 12, 4)).when(version == 6, _cut(frame, l3 + 8, 16)).alias("_src"),
-        F.when(v4, _cut(frame, l3 + 16, 4)).when(version == 6, _cut(frame, l3 + 24, 16)).alias("_dst"),
+        # an IPv4 length of 0 stands for "all of the frame"
+        F.least(
+            F.when(v4 & (length == 0), size).otherwise(l3 + length + F.when(v4, 0).otherwise(40)), size
+        ).alias("_end"),
+        _u8(frame, l3 + F.when(v4, 9).otherwise(6)).alias("_proto"),
+        F.when(v4, _u16(frame, l3 + 6).bitwiseAND(0x1FFF)).otherwise(0).alias("_fragment"),
+        F.when(v4, 4).otherwise(16).alias("_width"),
+        (l3 + F.when(v4, 12).otherwise(8)).alias("_src_at"),
     )
     l4, room, proto = F.col("_l4"), F.col("_end") - F.col("_l4"), F.col("_proto")
-    tcp_header = F.shiftright(_u8(frame, l4 + 12), 4) * 4
-    l4_ok = ~F.col("_later") & (
-        ((proto == TCP) & (room >= 20) & (tcp_header >= 20)) | ((proto == UDP) & (room >= 8))
-    )
-    body = F.when(proto == TCP, l4 + tcp_header).otherwise(l4 + 8)
-    l4_rows = ip.withColumn("_ok", F.coalesce(l4_ok, F.lit(False))).withColumn(
-        "_body", F.when(F.col("_ok"), F.least(body, F.col("_end")))
+    body = F.when(proto == TCP, F.shiftright(_u8(frame, l4 + 12), 4) * 4).otherwise(8)
+    smallest = F.when(proto == TCP, 20).when(proto == UDP, 8)
+    whole = (F.col("_fragment") == 0) & (room >= smallest)
+    l4_rows = (
+        ip.withColumn("_skip", F.when(whole, body))
+        .withColumn("_ok", F.coalesce(F.col("_skip") >= smallest, F.lit(False)))
+        .withColumn("_body", F.when(F.col("_ok"), F.least(l4 + F.col("_skip"), F.col("_end"))))
+        .withColumn("_src", _cut(frame, F.col("_src_at"), F.col("_width")))
+        .withColumn("_dst", _cut(frame, F.col("_src_at") + F.col("_width"), F.col("_width")))
     )
     ok = F.col("_ok")
-    wide = lambda a: F.when(v4, F.concat(F.lit(b"\x00" * 12), a)).otherwise(a)
-    named = lambda a: F.when(v4, ipv4_text(a)).when(version == 6, ipv6_text(a))
+    wide = lambda a: F.lpad(a, 16, F.lit(b"\x00"))
+    named = lambda a: F.when(v4, ipv4_text(a)).otherwise(ipv6_text(a))
     columns = [
         "capture_id",
         "pkt_no",
@@ -453,8 +468,8 @@ def decode_frames(frames: DataFrame, link: str = "declared", with_bytes: bool =
         "ip_version",
         wide(F.col("_src")).alias("src_ip"),
         wide(F.col("_dst")).alias("dst_ip"),
-        named(F.col("_src")).alias("src_ip_text"),
-        named(F.col("_dst")).alias("dst_ip_text"),
+        F.when(l3.isNotNull(), named(F.col("_src"))).alias("src_ip_text"),
+        F.when(l3.isNotNull(), named(F.col("_dst"))).alias("dst_ip_text"),
         F.when(ok, _u16(frame, l4)).alias("sport"),
         F.when(ok, _u16(frame, l4 + 2)).alias("dport"),
         F.when(ok | ~proto.isin(TCP, UDP), proto).alias("proto"),
@@ -463,8 +478,8 @@ def decode_frames(frames: DataFrame, link: str = "declared", with_bytes: bool =
     ]
     if with_bytes:
         columns += [
-            F.when(v4, _cut(frame, l3, 20)).when(version == 6, _cut(frame, l3, 40)).alias("ip_header"),
-            F.when(ok, _cut(frame, l4, F.when(proto == TCP, 20).otherwise(8))).alias("l4_header"),
+            _cut(frame, l3, F.when(v4, 20).otherwise(40)).alias("ip_header"),
+            F.when(ok, _cut(frame, l4, smallest)).alias("l4_header"),
             F.when(ok, _cut(frame, F.col("_body"), F.col("_end") - F.col("_body"))).alias("payload"),
         ]
     return l4_rows.select(*columns)

@@ -17,14 +17,19 @@ EPOCH_LINE = (
 EPOCH_FIELDS = ("train_loss", "train_acc", "val_acc", "val_f1")
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with the run (file name without suffix) and a position inside the file.
+def read_log_lines(spark: SparkSession, path: str, run_folder: bool = False) -> DataFrame:
+    """Text lines of every log with its run and the line's position in the file.
 
-    The position orders the lines of one file as long as a file is one text split,
-    which holds for logs; `wholetext` keeps that exact.
+    The run is the file name without suffix, or with ``run_folder`` the folder the
+    file is in (a leading ``key=`` is dropped). Each log is read whole, which keeps
+    the positions exact.
     """
     whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
-    run = F.regexp_replace(base_name(F.input_file_name()), r"\.[^.]*$", "")
+    file = F.url_decode(F.input_file_name())
+    if run_folder:
+        run = F.regexp_replace(F.element_at(F.split(file, "/"), -2), "^[^=]*=", "")
+    else:
+        run = F.regexp_replace(base_name(file), r"\.[^.]*$", "")
     lines = whole.select(run.alias("run"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return lines.filter(F.col("line") != "")
 
