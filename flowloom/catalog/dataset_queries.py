@@ -8,6 +8,7 @@ from flowloom.catalog.registry import big, flow_key_id, query, r6
 from flowloom.functions import text as X
 from flowloom.operators import corpus, flows, funnel, splits
 from flowloom.operators import labels as L
+from flowloom.session import staged
 from flowloom.sources import captures as sources
 from flowloom.sources import datasets
 
@@ -447,7 +448,7 @@ def _merge_sources(q):
     docs = q.table("documents").select(
         F.col("doc_id").alias("sample_id"), "lang", F.col("source").alias("label")
     )
-    split = splits.split_sequential(L.encode_labels(docs)).drop("label_id")
+    split = staged(splits.split_sequential(L.encode_labels(docs)).drop("label_id"), "split")
     half = F.col("sample_id") % 2
     return {
         "web": split.filter(half == 0).drop("lang"),
@@ -498,7 +499,7 @@ def _(q):
 
 @query("u4_rejoined_splits", "SELECT sample_id, label_id FROM samples", S)
 def _(q):
-    split = splits.split_sequential(q.samples())
+    split = staged(splits.split_sequential(q.samples()), "split")
     parts = {name: split.filter(F.col("split") == name).drop("split") for name in datasets.SPLITS}
     return _rows(datasets.combine_splits(parts))
 

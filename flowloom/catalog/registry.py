@@ -12,7 +12,7 @@ from flowloom.catalog.views import VIEWS, inline
 from flowloom.operators import labels as L
 from flowloom.operators.flows import flow_id, flow_packets
 from flowloom.profiles import UNIFIED, FlowProfile
-from flowloom.session import configure
+from flowloom.session import configure, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,7 +45,8 @@ class Inputs:
         return flow_packets(self.packets(), profile)
 
     def captures(self) -> DataFrame:
-        return self.view("captures")
+        """One row per capture, staged so that joins know how small it is."""
+        return staged(self.view("captures"), "captures")
 
     def samples(self) -> DataFrame:
         rows = self.table("documents").select(

@@ -125,7 +125,7 @@ sized AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pkt_id) - 1
     ("packets",),
 )
 def _(q):
-    packets = decode.decode_frames(decode.frames_from_content(capture_bytes(q)), with_bytes=False)
+    packets = decode.packets_from_content(capture_bytes(q), with_bytes=False)
     filled = packets.fillna({"ip_version": 0, "proto": -1, "sport": -1, "dport": -1})
     return filled.select(
         *big("capture_id", "pkt_no", "ip_version", "proto", "sport", "dport", "frame_len", "payload_len"),
@@ -144,8 +144,7 @@ FROM sized WHERE ip_version IS NOT NULL AND proto IN (6, 17)""",
     ("packets",),
 )
 def _(q):
-    decoded = decode.decode_frames(decode.frames_from_content(capture_bytes(q)))
-    packets = staged(decoded, "packets").filter("proto IN (6, 17)")
+    packets = decode.packets_from_content(capture_bytes(q)).filter("proto IN (6, 17)")
     return packets.select(
         *big("capture_id", "pkt_no"),
         F.length("ip_header").cast("bigint").alias("ip_header_len"),
@@ -278,7 +277,7 @@ def _(q):
 
 @query("s12_combined_layouts", _SPLIT_ROWS + "SELECT sample_id, CASE split WHEN 'val' THEN 'val' ELSE split END AS split FROM sp", ("samples",))
 def _(q):
-    rows = splits.split_sequential(q.samples())
+    rows = staged(splits.split_sequential(q.samples()), "split")
     part = lambda name: rows.filter(F.col("split") == name).select("sample_id")
     both = datasets.combine_splits({"train": part("train"), "val": None, "test": part("test")})
     val = datasets.combine_splits({"all": rows.filter("split = 'val'").select("sample_id", "split")})
@@ -432,10 +431,10 @@ def _(q):
 
 @query(
     "r1_stream_bursts",
-    """WITH marked AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY flow_id ORDER BY ts, pkt_id) > 1800000000 THEN 1 ELSE 0 END AS fresh FROM flow_packets),
+    """WITH marked AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY flow_id ORDER BY ts, pkt_id) >= 1800000000 THEN 1 ELSE 0 END AS fresh FROM flow_packets),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY flow_id ORDER BY ts, pkt_id ROWS UNBOUNDED PRECEDING) AS burst FROM marked),
 bursts AS (SELECT flow_id, burst, count(*) AS n_packets, CAST(sum(frame_len) AS BIGINT) AS n_bytes, max(epoch_us(ts)) AS last_us FROM numbered GROUP BY flow_id, burst)
-SELECT flow_id, n_packets, n_bytes, last_us FROM bursts WHERE last_us + 1800000000 <= (SELECT floor(max(epoch_us(ts)) / 1000) * 1000 FROM flow_packets)""",
+SELECT flow_id, n_packets, n_bytes, last_us FROM bursts WHERE last_us + 1799999999 <= (SELECT floor(max(epoch_us(ts)) / 1000) * 1000 FROM flow_packets)""",
     ("flow_packets",),
 )
 def _(q):

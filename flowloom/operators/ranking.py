@@ -83,12 +83,14 @@ def first_rows(
     """The first ``n`` rows of every group with their row number.
 
     The optimizer already cuts every input partition to ``n`` rows per group
-    before the shuffle. For larger ``n`` those survivors can still be many for a
-    group found in all partitions, so they are first cut per (group, salt): the
-    last task then sees at most ``salt * n`` rows of a group. ``salt=1`` turns the
-    extra step off; by default it is chosen from ``n``.
+    before the shuffle, so a group never sends more than ``n`` rows per input
+    partition to one task. For a large ``n`` and a group found in all partitions
+    that is still much, so the survivors are first cut per (group, salt) and the
+    last task sees at most ``salt * n`` rows of a group. ``salt=1`` turns the extra
+    shuffle off; by default it is off up to ``n = 512``.
     """
-    salt = salt if salt is not None else max(1, -(-n // 128))
+    if salt is None:
+        salt = 1 if n <= 512 else -(-n // 128)
     if salt > 1:
         part = Window.partitionBy(*group, "_salt").orderBy(*order)
         df = (

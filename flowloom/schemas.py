@@ -13,19 +13,6 @@ CAPTURES = T.StructType(
     ]
 )
 
-# One row per captured frame; `error` is set (and `frame` null) where a capture
-# or its tail could not be read.
-FRAMES = T.StructType(
-    [
-        T.StructField("capture_id", T.LongType()),
-        T.StructField("pkt_no", T.LongType()),
-        T.StructField("ts_us", T.LongType()),
-        T.StructField("datalink", T.IntegerType()),
-        T.StructField("frame", T.BinaryType()),
-        T.StructField("error", T.StringType()),
-    ]
-)
-
 PACKETS = T.StructType(
     [
         T.StructField("capture_id", T.LongType()),

@@ -1,24 +1,26 @@
 """Capture files to packet rows.
 
-Only the record framing of a capture file is read in Python: a generator walks
-the record headers and hands frames over in Arrow batches. Link, network and
-transport headers are then taken apart with column expressions in the JVM.
+Spark spreads files, or byte ranges of large files, over tasks. Inside a task a
+generator walks the record headers, and the link, network and transport headers
+of a whole Arrow batch are then taken apart at once with array operations.
 """
 
 from __future__ import annotations
 
 import io
+import ipaddress
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.functions.stats import bound
 from flowloom.functions.text import is_capture_file
 from flowloom.profiles import TCP, UDP
+from flowloom.schemas import PACKETS
 
 # File magics, block types, link types and protocol numbers.
 PCAP_MAGICS = {0xA1B2C3D4: 1_000_000, 0xA1B23C4D: 1_000_000_000}
@@ -31,6 +33,8 @@ NULL_IPV4, NULL_IPV6 = (2,), (24, 28, 30)
 
 # Bytes of a frame that can hold link, network and transport headers.
 HEADER_SNAP = 192
+LARGE_BYTES = 256 * 1024 * 1024
+BYTE_COLUMNS = ("ip_header", "l4_header", "payload")
 BATCH_FRAMES = 8192
 BATCH_BYTES = 32 * 1024 * 1024
 
@@ -192,14 +196,35 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def frames_from_content(contents: DataFrame, snap: int | None = None) -> DataFrame:
     """Frames of (capture_id, content) rows. Files must fit one binary value (2 GB)."""
+    return contents.select("capture_id", "content").mapInArrow(_content_reader(snap), FRAME_SCHEMA)
 
+
+def packets_from_content(
+    contents: DataFrame, link: str = "declared", with_bytes: bool = True
+) -> DataFrame:
+    """Packets of (capture_id, content) rows, framed and decoded in one pass."""
+    reader = _content_reader(None if with_bytes else HEADER_SNAP)
+    return contents.select("capture_id", "content").mapInArrow(
+        _decoding(reader, link, with_bytes), packet_schema(with_bytes)
+    )
+
+
+def _content_reader(snap: int | None) -> Callable:
     def split(batches):
         for batch in batches:
             for capture, content in zip(batch["capture_id"].to_pylist(), batch["content"]):
                 handle = io.BytesIO(content.as_buffer())
                 yield from _batches(_frames(handle, capture, snap=snap), _FRAME_ARROW)
 
-    return contents.select("capture_id", "content").mapInArrow(split, FRAME_SCHEMA)
+    return split
+
+
+def _decoding(reader: Callable, link: str, with_bytes: bool) -> Callable:
+    def run(batches):
+        for frames in reader(batches):
+            yield decode_batch(frames, link, with_bytes)
+
+    return run
 
 
 def _open(path: str):
@@ -255,14 +280,7 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys)
 
 
-def frames_from_chunks(chunks: DataFrame, snap: int | None = None) -> DataFrame:
-    """Frames of record-aligned byte ranges, spread over tasks by range."""
-
-    def split(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield from _batches(range_frames(row), _FRAME_ARROW)
-
+def _chunk_reader(snap: int | None) -> Callable:
     def range_frames(row):
         if row["state"] is None:
             yield row["capture_id"], 0, None, None, None, None, row["error"]
@@ -278,39 +296,80 @@ def frames_from_chunks(chunks: DataFrame, snap: int | None = None) -> DataFrame:
                 snap,
             )
 
-    return _spread(chunks, "capture_id", "start").mapInArrow(split, FRAME_SCHEMA)
+    def split(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _batches(range_frames(row), _FRAME_ARROW)
 
+    return split
 
-def frames_from_paths(captures: DataFrame, snap: int | None = None) -> DataFrame:
-    """Frames of whole files, opened by the tasks from their paths; no content is shuffled."""
+
+def _path_reader(snap: int | None) -> Callable:
+    def file_frames(capture, path):
+        try:
+            with _open(path) as handle:
+                yield from _frames(handle, capture, snap=snap)
+        except OSError as problem:
+            yield capture, 0, None, None, None, None, str(problem)
 
     def split(batches):
         for batch in batches:
             for capture, path in zip(batch["capture_id"].to_pylist(), batch["path"].to_pylist()):
-                try:
-                    with _open(path) as handle:
-                        yield from _batches(_frames(handle, capture, snap=snap), _FRAME_ARROW)
-                except OSError as problem:
-                    row = (capture, 0, None, None, None, None, str(problem))
-                    yield from _batches(iter([row]), _FRAME_ARROW)
+                yield from _batches(file_frames(capture, path), _FRAME_ARROW)
+
+    return split
+
+
+def frames_from_chunks(chunks: DataFrame, snap: int | None = None) -> DataFrame:
+    """Frames of record-aligned byte ranges, spread over tasks by range."""
+    return _spread(chunks, "capture_id", "start").mapInArrow(_chunk_reader(snap), FRAME_SCHEMA)
+
 
+def frames_from_paths(captures: DataFrame, snap: int | None = None) -> DataFrame:
+    """Frames of whole files, opened by the tasks from their paths; no content is shuffled."""
     manifest = _spread(captures.select("capture_id", "path"), "path")
-    return manifest.mapInArrow(split, FRAME_SCHEMA)
+    return manifest.mapInArrow(_path_reader(snap), FRAME_SCHEMA)
+
+
+def _by_size(captures: DataFrame, large_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """Manifest of small files, and byte ranges of the large ones where sizes are known."""
+    if "length" not in captures.columns:
+        return _spread(captures.select("capture_id", "path"), "path"), None
+    small = captures.filter(F.col("length") < large_bytes).select("capture_id", "path")
+    large = capture_chunks(captures.filter(F.col("length") >= large_bytes))
+    return _spread(small, "path"), _spread(large, "capture_id", "start")
 
 
 def read_frames(
-    captures: DataFrame, snap: int | None = None, large_bytes: int = 256 * 1024 * 1024
+    captures: DataFrame, snap: int | None = None, large_bytes: int = LARGE_BYTES
 ) -> DataFrame:
     """Frames of every capture of a (capture_id, path, length) table.
 
     Captures of at least ``large_bytes`` are first cut into byte ranges, so one
     huge file does not become one task.
     """
-    if "length" not in captures.columns:
-        return frames_from_paths(captures, snap)
-    whole = frames_from_paths(captures.filter(F.col("length") < large_bytes), snap)
-    large = capture_chunks(captures.filter(F.col("length") >= large_bytes))
-    return whole.unionByName(frames_from_chunks(large, snap))
+    small, large = _by_size(captures, large_bytes)
+    frames = small.mapInArrow(_path_reader(snap), FRAME_SCHEMA)
+    if large is None:
+        return frames
+    return frames.unionByName(large.mapInArrow(_chunk_reader(snap), FRAME_SCHEMA))
+
+
+def read_packets(
+    captures: DataFrame,
+    link: str = "declared",
+    with_bytes: bool = True,
+    large_bytes: int = LARGE_BYTES,
+) -> DataFrame:
+    """Packets of a captures table; without bytes only headers leave the reader."""
+    snap = None if with_bytes else HEADER_SNAP
+    small, large = _by_size(captures, large_bytes)
+    schema = packet_schema(with_bytes)
+    packets = small.mapInArrow(_decoding(_path_reader(snap), link, with_bytes), schema)
+    if large is None:
+        return packets
+    decoded = large.mapInArrow(_decoding(_chunk_reader(snap), link, with_bytes), schema)
+    return packets.unionByName(decoded)
 
 
 def captures_with_content(spark: SparkSession, root: str, min_bytes: int = 0) -> DataFrame:
@@ -323,171 +382,154 @@ def captures_with_content(spark: SparkSession, root: str, min_bytes: int = 0) ->
     )
 
 
-def _u8(data: Column, at: Column | int) -> Column:
-    position = (at if isinstance(at, Column) else F.lit(at)) + 1
-    return F.conv(F.hex(F.substring(data, position, F.lit(1))), 16, 10).cast("int")
-
-
-def _u16(data: Column, at: Column | int) -> Column:
-    position = (at if isinstance(at, Column) else F.lit(at)) + 1
-    return F.conv(F.hex(F.substring(data, position, F.lit(2))), 16, 10).cast("int")
-
-
-def _cut(data: Column, at: Column, size: Column | int) -> Column:
-    return F.substring(data, at + 1, size if isinstance(size, Column) else F.lit(size))
+class _Bytes:
+    """Positioned reads over all frames of a batch; past its end a frame reads as 0."""
+
+    def __init__(self, frames: pa.BinaryArray):
+        starts = np.frombuffer(frames.buffers()[1], np.int32)[frames.offset :][: len(frames) + 1]
+        self.start = starts[:-1].astype(np.int64)
+        self.stop = starts[1:].astype(np.int64)
+        data = frames.buffers()[2]
+        self.data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        if not len(self.data):
+            self.data = np.zeros(1, np.uint8)
+
+    def u8(self, at) -> np.ndarray:
+        where = self.start + at
+        inside = (where < self.stop) & (where >= self.start)
+        return np.where(inside, self.data[np.where(inside, where, 0)], 0).astype(np.int64)
+
+    def u16(self, at) -> np.ndarray:
+        return (self.u8(at) << 8) | self.u8(at + 1)
+
+    def cut(self, at: np.ndarray, size: np.ndarray, keep: np.ndarray) -> pa.Array:
+        view = memoryview(self.data)
+        begin = np.minimum(self.start + at, self.stop)
+        end = np.minimum(begin + np.maximum(size, 0), self.stop)
+        pieces = [
+            bytes(view[b:e]) if k else None
+            for b, e, k in zip(begin.tolist(), end.tolist(), keep.tolist())
+        ]
+        return pa.array(pieces, pa.binary())
 
 
-def _version_of_type(ethertype: Column) -> Column:
-    return F.when(ethertype == ETHER_IPV4, 4).when(ethertype == ETHER_IPV6, 6)
+def _version_of_type(ethertype: np.ndarray) -> np.ndarray:
+    return np.select([ethertype == ETHER_IPV4, ethertype == ETHER_IPV6], [4, 6], 0)
 
 
-def _locate_ip(frames: DataFrame, link: str) -> DataFrame:
-    """Add ``l3`` (offset of the IP header) and ``ip_version``; null where there is none."""
-    frame = F.col("frame")
-    outer = _u16(frame, 12)
-    inner = _u16(frame, 16)
-    tags = F.when(outer.isin(*VLAN_TAGS), F.when(inner.isin(*VLAN_TAGS), 2).otherwise(1)).otherwise(0)
-    tagged = frames.withColumn("_tags", tags).withColumn("_first", F.shiftright(_u8(frame, 0), 4))
-    ethernet = _version_of_type(_u16(frame, F.lit(12) + F.col("_tags") * 4))
-    raw = F.when(F.col("_first").isin(4, 6), F.col("_first"))
-    cooked = _version_of_type(_u16(frame, 14))
-    ethernet_at = F.lit(14) + F.col("_tags") * 4
+def _locate_ip(data: _Bytes, datalink: np.ndarray, link: str) -> tuple[np.ndarray, np.ndarray]:
+    """IP version (0 where there is none) and offset of the IP header."""
+    tagged = np.isin(data.u16(np.int64(12)), VLAN_TAGS)
+    twice = tagged & np.isin(data.u16(np.int64(16)), VLAN_TAGS)
+    shift = 4 * (tagged.astype(np.int64) + twice)
+    ethernet, ethernet_at = _version_of_type(data.u16(12 + shift)), 14 + shift
+    cooked = _version_of_type(data.u16(np.int64(14)))
+    first = data.u8(np.int64(0))
+    nibble = first >> 4
+    raw = np.where(np.isin(nibble, (4, 6)), nibble, 0)
     if link == "probe":
-        nibble = lambda at: F.shiftright(_u8(frame, at), 4)
-        by_ethernet = F.when(ethernet == nibble(ethernet_at), ethernet)
-        by_cooked = F.when(cooked == nibble(16), cooked)
-        version = F.coalesce(by_ethernet, by_cooked, raw)
-        offset = (
-            F.when(by_ethernet.isNotNull(), ethernet_at).when(by_cooked.isNotNull(), 16).otherwise(0)
-        )
-    elif link == "declared":
-        kind = F.col("datalink")
-        family = F.when(_u8(frame, 0) != 0, _u8(frame, 0)).otherwise(_u8(frame, 3))
-        loopback = F.when(family.isin(*NULL_IPV4), 4).when(family.isin(*NULL_IPV6), 6)
-        version = (
-            F.when(kind == LINK_ETHERNET, ethernet)
-            .when(kind == LINK_RAW, raw)
-            .when(kind == LINK_SLL, cooked)
-            .when(kind == LINK_SLL2, _version_of_type(_u16(frame, 0)))
-            .when(kind == LINK_NULL, loopback)
-        )
-        offset = (
-            F.when(kind == LINK_ETHERNET, ethernet_at)
-            .when(kind == LINK_RAW, 0)
-            .when(kind == LINK_SLL, 16)
-            .when(kind == LINK_SLL2, 20)
-            .when(kind == LINK_NULL, 4)
-        )
-    else:
+        # a link header counts only if the IP header behind it has the same version
+        ethernet = np.where(data.u8(ethernet_at) >> 4 == ethernet, ethernet, 0)
+        cooked = np.where(data.u8(np.int64(16)) >> 4 == cooked, cooked, 0)
+        found = [ethernet > 0, cooked > 0]
+        return np.select(found, [ethernet, cooked], raw), np.select(found, [ethernet_at, 16], 0)
+    if link != "declared":
         raise ValueError(f"unknown link rule: {link}")
-    return tagged.withColumn("ip_version", version).withColumn("l3", offset)
-
-
-def ipv4_text(address: Column) -> Column:
-    return F.concat_ws(".", *[_u8(address, i).cast("string") for i in range(4)])
-
-
-def ipv6_text(address: Column) -> Column:
-    """Shortest text form: the first longest run of zero groups becomes ``::``."""
-    zero_runs = F.array(*[F.lit(":" + "0:" * n) for n in range(8, 1, -1)])
-    groups = F.transform(
-        F.sequence(F.lit(0), F.lit(7)),
-        lambda i: F.lower(F.conv(F.hex(F.substring(address, i * 2 + 1, F.lit(2))), 16, 16)),
+    family = np.where(first != 0, first, data.u8(np.int64(3)))
+    loopback = np.select([np.isin(family, NULL_IPV4), np.isin(family, NULL_IPV6)], [4, 6], 0)
+    cooked2 = _version_of_type(data.u16(np.int64(0)))
+    kinds = [datalink == k for k in (LINK_ETHERNET, LINK_RAW, LINK_SLL, LINK_SLL2, LINK_NULL)]
+    version = np.select(kinds, [ethernet, raw, cooked, cooked2, loopback], 0)
+    return version, np.select(kinds, [ethernet_at, 0, 16, 20, 4], 0)
+
+
+def _addresses(data: _Bytes, at: np.ndarray, v4: np.ndarray, ip: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Addresses as 16 big-endian bytes and as text, formatted once per distinct value."""
+    wide = np.stack([data.u8(at + i) for i in range(16)], axis=1).astype(np.uint8)
+    short = np.zeros_like(wide)
+    short[:, 12:] = wide[:, :4]
+    packed = np.where(v4[:, None], short, wide)
+    keys = np.concatenate([packed, v4[:, None].astype(np.uint8)], axis=1)
+    distinct, inverse = np.unique(keys, axis=0, return_inverse=True)
+    raw = [bytes(row[:16]) for row in distinct]
+    text = [
+        str(ipaddress.IPv4Address(b[12:])) if row[16] else ipaddress.IPv6Address(b).compressed
+        for b, row in zip(raw, distinct)
+    ]
+    index = pa.array(np.where(ip, inverse.reshape(-1), 0), mask=~ip)
+    return pa.array(raw, pa.binary()).take(index), pa.array(text, pa.string()).take(index)
+
+
+def packet_schema(with_bytes: bool) -> str:
+    columns = [f for f in PACKETS.fields if with_bytes or f.name not in BYTE_COLUMNS]
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns)
+
+
+def decode_batch(frames: pa.RecordBatch, link: str, with_bytes: bool) -> pa.RecordBatch:
+    """Packet rows of a batch of frames; rows without a frame are left out."""
+    frames = frames.filter(frames["frame"].is_valid())
+    data = _Bytes(frames["frame"])
+    size = frames["frame_len"].to_numpy(zero_copy_only=False).astype(np.int64)
+    datalink = frames["datalink"].to_numpy(zero_copy_only=False)
+    version, l3 = _locate_ip(data, datalink, link)
+    v4 = version == 4
+    header = np.where(v4, (data.u8(l3) & 15) * 4, 40)
+    ip = (version > 0) & (size - l3 >= np.where(v4, 20, 40)) & (header >= 20)
+    length = data.u16(l3 + np.where(v4, 2, 4))
+    # an IPv4 length of 0 stands for "all of the frame"
+    stated = np.where(v4 & (length == 0), size, l3 + length + np.where(v4, 0, 40))
+    end = np.minimum(stated, size)
+    proto = data.u8(l3 + np.where(v4, 9, 6))
+    fragment = np.where(v4, data.u16(l3 + 6) & 0x1FFF, 0)
+    l4 = l3 + header
+    smallest = np.select([proto == TCP, proto == UDP], [20, 8], 0)
+    skip = np.where(proto == TCP, (data.u8(l4 + 12) >> 4) * 4, 8)
+    transport = (
+        ip & (smallest > 0) & (fragment == 0) & (end - l4 >= smallest) & (skip >= smallest)
     )
-    spelled = F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
-
-    def shorten(text: Column) -> Column:
-        found = F.filter(zero_runs, lambda run: F.instr(text, run) > 0)
-        return bound(F.get(found, F.lit(0)), lambda run: fold(text, run))
-
-    def fold(text: Column, run: Column) -> Column:
-        at = F.instr(text, run)
-        before = F.substring(text, F.lit(2), F.greatest(at - 2, F.lit(0)))
-        after = F.substring(text, at + F.length(run), F.length(text))
-        folded = F.concat(before, F.lit("::"), F.rtrim(after, F.lit(":")))
-        return F.when(run.isNull(), F.trim(text, F.lit(":"))).otherwise(folded)
-
-    return bound(spelled, shorten)
+    body = np.minimum(l4 + skip, end)
+    other = ip & (smallest == 0)
+    src_at = l3 + np.where(v4, 12, 8)
+    src, src_text = _addresses(data, src_at, v4, ip)
+    dst, dst_text = _addresses(data, src_at + np.where(v4, 4, 16), v4, ip)
+    ints = lambda values, keep: pa.array(values.astype(np.int32), pa.int32(), mask=~keep)
+    columns = {
+        "capture_id": frames["capture_id"],
+        "pkt_no": frames["pkt_no"],
+        "ts": frames["ts_us"].cast(pa.timestamp("us", "UTC")),
+        "ip_version": ints(version, ip),
+        "src_ip": src,
+        "dst_ip": dst,
+        "src_ip_text": src_text,
+        "dst_ip_text": dst_text,
+        "sport": ints(data.u16(l4), transport),
+        "dport": ints(data.u16(l4 + 2), transport),
+        "proto": ints(proto, transport | other),
+        "frame_len": frames["frame_len"],
+        "payload_len": pa.array(np.where(transport, end - body, 0).astype(np.int32)),
+    }
+    if with_bytes:
+        columns["ip_header"] = data.cut(l3, np.where(v4, 20, 40), ip)
+        columns["l4_header"] = data.cut(l4, smallest, transport)
+        columns["payload"] = data.cut(body, end - body, transport)
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def decode_frames(frames: DataFrame, link: str = "declared", with_bytes: bool = True) -> DataFrame:
-    """Packet rows from frames.
+    """Packet rows from a table of frames.
 
     ``link`` is "declared" (by the file's link type) or "probe" (Ethernet, then
     Linux cooked, then raw IP). Frames without an IP packet stay as rows with a
     null version, so that they can be counted. A TCP or UDP packet whose transport
     header is missing or cut, or that is a later fragment, gets a null protocol.
     """
-    frame, size = F.col("frame"), F.col("frame_len")
-    found = _locate_ip(frames.filter(frame.isNotNull()), link)
-    l3, v4 = F.col("l3"), F.col("_v4")
-    least_bytes = F.when(v4, 20).otherwise(40)
-    header = F.when(v4, _u8(frame, l3).bitwiseAND(15) * 4).otherwise(40)
-    sized = found.withColumn("_v4", F.col("ip_version") == 4).withColumn("_header", header)
-    # a header that does not fit leaves no offset, and everything below becomes null
-    fits = F.col("ip_version").isNotNull() & (size - l3 >= least_bytes) & (F.col("_header") >= 20)
-    ip = sized.withColumn("l3", F.when(fits, l3))
-    length = _u16(frame, l3 + F.when(v4, 2).otherwise(4))
-    ip = ip.select(
-        "capture_id",
-        "pkt_no",
-        "ts_us",
-        "frame_len",
-        "frame",
-        "l3",
-        "_v4",
-        F.when(l3.isNotNull(), F.col("ip_version")).alias("ip_version"),
-        (l3 + F.col("_header")).alias("_l4"),
-        # an IPv4 length of 0 stands for "all of the frame"
-        F.least(
-            F.when(v4 & (length == 0), size).otherwise(l3 + length + F.when(v4, 0).otherwise(40)), size
-        ).alias("_end"),
-        _u8(frame, l3 + F.when(v4, 9).otherwise(6)).alias("_proto"),
-        F.when(v4, _u16(frame, l3 + 6).bitwiseAND(0x1FFF)).otherwise(0).alias("_fragment"),
-        F.when(v4, 4).otherwise(16).alias("_width"),
-        (l3 + F.when(v4, 12).otherwise(8)).alias("_src_at"),
-    )
-    l4, room, proto = F.col("_l4"), F.col("_end") - F.col("_l4"), F.col("_proto")
-    body = F.when(proto == TCP, F.shiftright(_u8(frame, l4 + 12), 4) * 4).otherwise(8)
-    smallest = F.when(proto == TCP, 20).when(proto == UDP, 8)
-    whole = (F.col("_fragment") == 0) & (room >= smallest)
-    l4_rows = (
-        ip.withColumn("_skip", F.when(whole, body))
-        .withColumn("_ok", F.coalesce(F.col("_skip") >= smallest, F.lit(False)))
-        .withColumn("_body", F.when(F.col("_ok"), F.least(l4 + F.col("_skip"), F.col("_end"))))
-        .withColumn("_src", _cut(frame, F.col("_src_at"), F.col("_width")))
-        .withColumn("_dst", _cut(frame, F.col("_src_at") + F.col("_width"), F.col("_width")))
-    )
-    ok = F.col("_ok")
-    wide = lambda a: F.lpad(a, 16, F.lit(b"\x00"))
-    named = lambda a: F.when(v4, ipv4_text(a)).otherwise(ipv6_text(a))
-    columns = [
-        "capture_id",
-        "pkt_no",
-        F.timestamp_micros("ts_us").alias("ts"),
-        "ip_version",
-        wide(F.col("_src")).alias("src_ip"),
-        wide(F.col("_dst")).alias("dst_ip"),
-        F.when(l3.isNotNull(), named(F.col("_src"))).alias("src_ip_text"),
-        F.when(l3.isNotNull(), named(F.col("_dst"))).alias("dst_ip_text"),
-        F.when(ok, _u16(frame, l4)).alias("sport"),
-        F.when(ok, _u16(frame, l4 + 2)).alias("dport"),
-        F.when(ok | ~proto.isin(TCP, UDP), proto).alias("proto"),
-        "frame_len",
-        F.when(ok, F.col("_end") - F.col("_body")).otherwise(0).alias("payload_len"),
-    ]
-    if with_bytes:
-        columns += [
-            _cut(frame, l3, F.when(v4, 20).otherwise(40)).alias("ip_header"),
-            F.when(ok, _cut(frame, l4, smallest)).alias("l4_header"),
-            F.when(ok, _cut(frame, F.col("_body"), F.col("_end") - F.col("_body"))).alias("payload"),
-        ]
-    return l4_rows.select(*columns)
 
+    def run(batches):
+        for batch in batches:
+            yield decode_batch(batch, link, with_bytes)
 
-def read_packets(captures: DataFrame, link: str = "declared", with_bytes: bool = True) -> DataFrame:
-    """Packet rows of a captures table; without bytes only headers leave the reader."""
-    return decode_frames(read_frames(captures, None if with_bytes else HEADER_SNAP), link, with_bytes)
+    columns = ["capture_id", "pkt_no", "ts_us", "datalink", "frame_len", "frame"]
+    return frames.select(*columns).mapInArrow(run, packet_schema(with_bytes))
 
 
 def capture_errors(frames: DataFrame) -> DataFrame:

@@ -18,10 +18,10 @@ def stream_bursts(
 ) -> DataFrame:
     """Bursts of every flow, emitted once the watermark has passed their end.
 
-    Packets are merged into session windows before the shuffle as well, so a busy
-    flow reaches its state partition as a few open sessions per input partition.
+    A session window still takes in a row exactly one gap later, while such a row
+    starts a new burst here; the window gap is therefore one microsecond shorter.
     """
-    micros = int(gap_seconds * 1_000_000)
+    micros = int(gap_seconds * 1_000_000) - 1
     return (
         packets.withWatermark("ts", late)
         .groupBy(*keys, F.session_window("ts", f"{micros} microseconds").alias("_window"))

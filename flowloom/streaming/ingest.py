@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowloom.functions.text import is_capture_file
-from flowloom.sources.decode import decode_frames, frames_from_content
+from flowloom.sources.decode import packets_from_content
 
 _BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -43,7 +43,7 @@ def ingest(
     with the files that are new since.
     """
     captures = stream_captures(spark, root, min_bytes)
-    packets = decode_frames(frames_from_content(captures), link, with_bytes)
+    packets = packets_from_content(captures, link, with_bytes)
     return (
         packets.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
