@@ -69,7 +69,8 @@ WHERE total >= 7 AND pkt_seq <= 260"""
 
 
 def _vector(df):
-    return df.select(flow_key_id(), *[r6(F.col(c)).alias(c) for c in X.FEATURE_NAMES])
+    rounded = [f"round({c}, 6) + 0.0D AS {c}" for c in X.FEATURE_NAMES]
+    return df.withColumn("flow_id", flow_key_id()).selectExpr("flow_id", *rounded)
 
 
 @query("g10_stats54_unified", stats54_sql(_FIRST.format(n=260), 1, 4), U)

@@ -17,32 +17,36 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def percentile_sorted(values: Column, fraction: float | Column) -> Column:
-    """Linear-interpolation percentile of an ascending array; null when empty."""
-    share = fraction if isinstance(fraction, Column) else F.lit(float(fraction))
-    position = (F.size(values) - 1) * share
-    low = F.floor(position).cast("int")
-    base = F.get(values, low)
-    step = F.get(values, F.ceil(position).cast("int")) - base
-    return base + step * (position - low)
+def percentile_sql(values: str, fraction: str) -> str:
+    """Linear-interpolation percentile of an ascending array as SQL; null when empty.
+
+    Written as text because the statistics vector needs many of these: one parsed
+    expression per column keeps query building fast.
+    """
+    place = f"(size({values}) - 1) * {fraction}"
+    low, high = f"get({values}, int(floor({place})))", f"get({values}, int(ceil({place})))"
+    return f"{low} + ({high} - {low}) * ({place} - floor({place}))"
 
 
-def percentiles_sorted(values: Column, fractions: Sequence[float]) -> Column:
-    """Array of percentiles, one per fraction."""
-    wanted = F.array(*[F.lit(float(f)) for f in fractions])
-    return F.transform(wanted, lambda f: percentile_sorted(values, f))
+def percentiles_sql(values: str, percents: Sequence[int]) -> str:
+    """Array of percentiles, one per percent."""
+    wanted = ", ".join(f"{p / 100}D" for p in percents)
+    return f"transform(array({wanted}), f -> {percentile_sql(values, 'f')})"
 
 
-def median_sorted(values: Column) -> Column:
-    return percentile_sorted(values, 0.5)
+def median_sql(values: str) -> str:
+    return percentile_sql(values, "0.5D")
 
 
-def mad_sorted(values: Column, median: Column) -> Column:
-    """Median absolute deviation from ``median``."""
-    distances = bound(
-        median, lambda m: F.sort_array(F.transform(values, lambda x: F.abs(x - m)))
-    )
-    return bound(distances, median_sorted)
+def mad_sql(values: str) -> str:
+    """Median absolute deviation of an ascending array.
+
+    The one-element arrays bind the median and the distances, so that neither is
+    computed again for every element.
+    """
+    distances = f"sort_array(transform({values}, x -> abs(x - m)))"
+    inner = f"get(transform(array({distances}), d -> {median_sql('d')}), 0)"
+    return f"get(transform(array({median_sql(values)}), m -> {inner}), 0)"
 
 
 def finite_or_zero(x: Column) -> Column:

@@ -30,7 +30,7 @@ def split_at_gaps(
     """
     keys = list(keys)
     gap = int(gap_seconds * 1_000_000)
-    slice_seconds = slice_seconds or max(1.0, 4 * gap_seconds)
+    slice_seconds = slice_seconds or max(60.0, 4 * gap_seconds)
     rows = packets.withColumn("_t", micros("ts")).withColumn(
         "_slice", time_bucket(F.col("_t"), slice_seconds)
     )

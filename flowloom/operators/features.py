@@ -98,22 +98,19 @@ def proportional_packets(
     )
 
 
-def _moments(name: str, x: Column, profile: FlowProfile) -> list[Column]:
-    n = F.count(x)
-    zero = F.lit(0.0)
+def _moments(name: str, x: str, profile: FlowProfile) -> list[str]:
+    """Aggregates of one direction over the SQL value ``x`` (null outside it)."""
     # both shape statistics are null for constant input
-    skew = F.when(n >= 3, F.coalesce(F.skewness(x), zero)).otherwise(zero)
-    kurt = F.when(n >= profile.kurtosis_min_n, F.coalesce(F.kurtosis(x), zero)).otherwise(zero)
     return [
-        n.cast("double").alias(f"{name}_count"),
-        F.coalesce(F.min(x), zero).alias(f"{name}_min"),
-        F.coalesce(F.max(x), zero).alias(f"{name}_max"),
-        F.coalesce(F.avg(x), zero).alias(f"{name}_mean"),
-        F.coalesce(F.stddev_pop(x), zero).alias(f"{name}_std"),
-        F.coalesce(F.var_pop(x), zero).alias(f"{name}_var"),
-        skew.alias(f"{name}_skew"),
-        kurt.alias(f"{name}_kurt"),
-        F.sort_array(F.collect_list(x)).alias(f"_{name}"),
+        f"double(count({x})) AS {name}_count",
+        f"coalesce(min({x}), 0D) AS {name}_min",
+        f"coalesce(max({x}), 0D) AS {name}_max",
+        f"coalesce(avg({x}), 0D) AS {name}_mean",
+        f"coalesce(stddev_pop({x}), 0D) AS {name}_std",
+        f"coalesce(var_pop({x}), 0D) AS {name}_var",
+        f"if(count({x}) >= 3, coalesce(skewness({x}), 0D), 0D) AS {name}_skew",
+        f"if(count({x}) >= {profile.kurtosis_min_n}, coalesce(kurtosis({x}), 0D), 0D) AS {name}_kurt",
+        f"sort_array(collect_list({x})) AS _{name}",
     ]
 
 
@@ -124,21 +121,19 @@ def statistics(cut: DataFrame, profile: FlowProfile, keys: list[str] | None = No
     which the truncation has bounded, so no second pass over the packets is needed.
     """
     keys = keys or FLOW_KEY
-    length = F.col("frame_len").cast("double")
-    outgoing = F.col("dir") == profile.outgoing
-    inputs = {"in": F.when(~outgoing, length), "out": F.when(outgoing, length), "bi": length}
-    grouped = cut.groupBy(*keys).agg(*[c for d, x in inputs.items() for c in _moments(d, x, profile)])
-    fractions = [p / 100 for p in DECILES]
-    ordered = []
-    for d in DIRECTIONS:
-        values = F.col(f"_{d}")
-        ordered.append(S.mad_sorted(values, S.median_sorted(values)).alias(f"{d}_mad"))
-        ordered.append(S.percentiles_sorted(values, fractions).alias(f"_{d}_deciles"))
-    full = grouped.select("*", *ordered)
-    spread = {f"{d}_p{p}": F.get(f"_{d}_deciles", F.lit(i)) for d in DIRECTIONS for i, p in enumerate(DECILES)}
-    return full.select(
-        *keys, *[F.coalesce(spread.get(c, F.col(c)), F.lit(0.0)).alias(c) for c in FEATURE_NAMES]
-    )
+    length, outgoing = "double(frame_len)", f"dir = {profile.outgoing}"
+    inputs = {
+        "in": f"if({outgoing}, NULL, {length})",
+        "out": f"if({outgoing}, {length}, NULL)",
+        "bi": length,
+    }
+    aggregates = [e for d, x in inputs.items() for e in _moments(d, x, profile)]
+    grouped = cut.groupBy(*keys).agg(*[F.expr(e) for e in aggregates])
+    ordered = [f"{S.mad_sql(f'_{d}')} AS {d}_mad" for d in DIRECTIONS]
+    ordered += [f"{S.percentiles_sql(f'_{d}', DECILES)} AS _{d}_deciles" for d in DIRECTIONS]
+    spread = {f"{d}_p{p}": f"get(_{d}_deciles, {i})" for d in DIRECTIONS for i, p in enumerate(DECILES)}
+    named = [f"coalesce({spread.get(c, c)}, 0D) AS {c}" for c in FEATURE_NAMES]
+    return grouped.selectExpr("*", *ordered).selectExpr(*keys, *named)
 
 
 def flow_statistics(

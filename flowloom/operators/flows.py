@@ -87,9 +87,13 @@ def first_packets(
 
 
 def number_packets(
-    keyed: DataFrame, profile: FlowProfile, block_rows: int = 65536, slice_seconds: float = 1.0
+    keyed: DataFrame, profile: FlowProfile, block_rows: int = 65536, slice_seconds: float = 60.0
 ) -> DataFrame:
-    """Position of every packet in its flow, for flows of any length."""
+    """Position of every packet in its flow, for flows of any length.
+
+    The work is split into blocks of positions or slices of time, so the longest
+    flow costs one task no more than what a link carries in ``slice_seconds``.
+    """
     if profile.time_ordered:
         bucket = time_bucket(P.micros("ts"), slice_seconds)
     else:

@@ -29,7 +29,7 @@ def block_bucket(position: str | Column, rows: int = 65536) -> Column:
     return F.floor(column / F.lit(rows))
 
 
-def time_bucket(ts_micros: Column, seconds: float = 1.0) -> Column:
+def time_bucket(ts_micros: Column, seconds: float) -> Column:
     return F.floor(ts_micros / F.lit(int(seconds * 1_000_000)))
 
 

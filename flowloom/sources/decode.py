@@ -11,10 +11,12 @@ import io
 import ipaddress
 import json
 import struct
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ from flowloom.functions.text import is_capture_file
 from flowloom.profiles import TCP, UDP
 from flowloom.schemas import PACKETS
 
+# Ship the functions of this module inside the task, so that executors do not need
+# the package to be installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # File magics, block types, link types and protocol numbers.
 PCAP_MAGICS = {0xA1B2C3D4: 1_000_000, 0xA1B23C4D: 1_000_000_000}
 SECTION_BLOCK, INTERFACE_BLOCK, OLD_PACKET_BLOCK, PACKET_BLOCK = 0x0A0D0D0A, 1, 2, 6
