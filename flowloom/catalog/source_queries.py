@@ -448,8 +448,9 @@ def _(q):
         .option("pathGlobFilter", "events.parquet")
         .parquet(q.root)
     )
-    stream.createOrReplaceTempView("events")
-    rows = q.spark.sql(VIEWS["packets"].sql).withColumnRenamed("pkt_id", "pkt_no")
+    stream.createOrReplaceTempView("streamed_events")
+    sql = VIEWS["packets"].sql.replace("FROM events)", "FROM streamed_events)")
+    rows = q.spark.sql(sql).withColumnRenamed("pkt_id", "pkt_no")
     packets = flow_packets(rows.withColumn("ts", F.col("ts").cast("timestamp")), UNIFIED)
     out = stream_bursts.stream_bursts(packets, 1800.0, late="0 seconds")
     path, checkpoint = staging_path(q.spark, "bursts"), staging_path(q.spark, "bursts-checkpoint")

@@ -78,5 +78,7 @@ def corpus_features(
     todo = large_enough(captures, profile.min_bytes)
     if completed is not None:
         todo = L.not_completed(todo, completed)
+    # a file listing counts as large as the files it lists; the staged table does not
+    todo = staged(todo.select("capture_id", "path", "length", "label"), "captures")
     packets = staged(read_packets(todo, link, with_bytes=family == "images"), "packets")
     return labelled_features(packets, todo, family, profile, min_samples)

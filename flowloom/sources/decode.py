@@ -39,6 +39,7 @@ NULL_IPV4, NULL_IPV6 = (2,), (24, 28, 30)
 
 # Bytes of a frame that can hold link, network and transport headers.
 HEADER_SNAP = 192
+READ_BUFFER = 4 * 1024 * 1024
 LARGE_BYTES = 256 * 1024 * 1024
 BYTE_COLUMNS = ("ip_header", "l4_header", "payload")
 BATCH_FRAMES = 8192
@@ -233,13 +234,18 @@ def _decoding(reader: Callable, link: str, with_bytes: bool) -> Callable:
     return run
 
 
-def _open(path: str):
+def _open(path: str) -> io.BufferedReader:
+    """A buffered handle on any file system Arrow knows (local, HDFS, object stores).
+
+    Records are small against the buffer, so stepping from header to header stays
+    inside it and storage sees large sequential reads.
+    """
     from pyarrow import fs
 
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
     system, name = fs.FileSystem.from_uri(path)
-    return system.open_input_file(name)
+    return io.BufferedReader(system.open_input_file(name), READ_BUFFER)
 
 
 def capture_chunks(captures: DataFrame, chunk_bytes: int = 64 * 1024 * 1024) -> DataFrame:
@@ -258,7 +264,7 @@ def capture_chunks(captures: DataFrame, chunk_bytes: int = 64 * 1024 * 1024) ->
         start, first, number, saved, stop = None, 0, 0, None, 0
         error = None
         with _open(path) as handle:
-            size = handle.size()
+            size = handle.seek(0, io.SEEK_END)
             try:
                 state = _begin(handle)
                 start, saved = state["at"], json.dumps(state)
@@ -273,7 +279,8 @@ def capture_chunks(captures: DataFrame, chunk_bytes: int = 64 * 1024 * 1024) ->
                 error, stop = str(problem), size
         yield capture, path, start, stop, first, saved, error
 
-    return captures.select("capture_id", "path").mapInArrow(walk, CHUNK_SCHEMA)
+    manifest = _spread(captures.select("capture_id", "path"), "path")
+    return manifest.mapInArrow(walk, CHUNK_SCHEMA)
 
 
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -337,6 +344,16 @@ def frames_from_paths(captures: DataFrame, snap: int | None = None) -> DataFrame
     return manifest.mapInArrow(_path_reader(snap), FRAME_SCHEMA)
 
 
+def packets_from_paths(
+    captures: DataFrame, link: str = "declared", with_bytes: bool = True
+) -> DataFrame:
+    """Packets of whole files in the partitions the manifest already has; also for streams."""
+    reader = _path_reader(None if with_bytes else HEADER_SNAP)
+    return captures.select("capture_id", "path").mapInArrow(
+        _decoding(reader, link, with_bytes), packet_schema(with_bytes)
+    )
+
+
 def _by_size(captures: DataFrame, large_bytes: int) -> tuple[DataFrame, DataFrame | None]:
     """Manifest of small files, and byte ranges of the large ones where sizes are known."""
     if "length" not in captures.columns:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowloom.functions.text import is_capture_file
-from flowloom.sources.decode import packets_from_content
+from flowloom.sources.decode import packets_from_paths
 
 _BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -15,7 +15,7 @@ _BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content
 def stream_captures(
     spark: SparkSession, root: str, min_bytes: int = 0, files_per_batch: int = 1000
 ) -> DataFrame:
-    """Capture files as they appear below ``root``."""
+    """Capture files as they appear below ``root``; only their paths are read here."""
     files = (
         spark.readStream.format("binaryFile")
         .schema(_BINARY_FILE)
@@ -24,7 +24,7 @@ def stream_captures(
         .load(root)
     )
     return files.filter((F.col("length") >= min_bytes) & is_capture_file(F.col("path"))).select(
-        F.xxhash64("path").alias("capture_id"), "path", "content"
+        F.xxhash64("path").alias("capture_id"), "path"
     )
 
 
@@ -43,7 +43,7 @@ def ingest(
     with the files that are new since.
     """
     captures = stream_captures(spark, root, min_bytes)
-    packets = packets_from_content(captures, link, with_bytes)
+    packets = packets_from_paths(captures, link, with_bytes)
     return (
         packets.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
