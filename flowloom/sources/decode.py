@@ -17,12 +17,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.text import is_capture_file
 from flowloom.profiles import TCP, UDP
 from flowloom.schemas import PACKETS
+from flowloom.session import staged
 
 # Ship the functions of this module inside the task, so that executors do not need
 # the package to be installed.
@@ -40,6 +41,11 @@ NULL_IPV4, NULL_IPV6 = (2,), (24, 28, 30)
 # Bytes of a frame that can hold link, network and transport headers.
 HEADER_SNAP = 192
 READ_BUFFER = 4 * 1024 * 1024
+CHUNK_BYTES = 64 * 1024 * 1024
+# What a record may look like when its start has to be guessed.
+SEARCH_BYTES = 1024 * 1024
+MAX_RECORD = 262_144
+MAX_CAPTURE_SECONDS = 10 * 365 * 86_400
 LARGE_BYTES = 256 * 1024 * 1024
 BYTE_COLUMNS = ("ip_header", "l4_header", "payload")
 BATCH_FRAMES = 8192
@@ -51,6 +57,20 @@ FRAME_SCHEMA = (
 CHUNK_SCHEMA = (
     "capture_id BIGINT, path STRING, start BIGINT, stop BIGINT, first_pkt BIGINT, state STRING, error STRING"
 )
+RANGE_SCHEMA = (
+    "capture_id BIGINT, path STRING, low BIGINT, start BIGINT, stop BIGINT, n BIGINT, state STRING"
+)
+_RANGE_ARROW = pa.schema(
+    [
+        ("capture_id", pa.int64()),
+        ("path", pa.string()),
+        ("low", pa.int64()),
+        ("start", pa.int64()),
+        ("stop", pa.int64()),
+        ("n", pa.int64()),
+        ("state", pa.string()),
+    ]
+)
 _FRAME_ARROW = pa.schema(
     [
         ("capture_id", pa.int64()),
@@ -248,12 +268,8 @@ def _open(path: str) -> io.BufferedReader:
     return io.BufferedReader(system.open_input_file(name), READ_BUFFER)
 
 
-def capture_chunks(captures: DataFrame, chunk_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """Record-aligned byte ranges of large captures.
-
-    The walk reads record headers only, so a capture of any size can then be
-    decoded by many tasks.
-    """
+def sequential_chunks(captures: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Record-aligned byte ranges, found by walking each file's record headers in one task."""
 
     def walk(batches):
         for batch in batches:
@@ -261,10 +277,10 @@ def capture_chunks(captures: DataFrame, chunk_bytes: int = 64 * 1024 * 1024) ->
                 yield from _batches(chunks(capture, path), _CHUNK_ARROW)
 
     def chunks(capture, path):
-        start, first, number, saved, stop = None, 0, 0, None, 0
+        start, first, number, saved = None, 0, 0, None
         error = None
         with _open(path) as handle:
-            size = handle.seek(0, io.SEEK_END)
+            stop = handle.seek(0, io.SEEK_END)
             try:
                 state = _begin(handle)
                 start, saved = state["at"], json.dumps(state)
@@ -274,15 +290,147 @@ def capture_chunks(captures: DataFrame, chunk_bytes: int = 64 * 1024 * 1024) ->
                         # the state as of this record: interfaces declared so far
                         start, first, saved = offset, number, json.dumps(state)
                     number += 1
-                stop = size
             except (ValueError, IndexError, struct.error) as problem:
-                error, stop = str(problem), size
+                error = str(problem)
         yield capture, path, start, stop, first, saved, error
 
     manifest = _spread(captures.select("capture_id", "path"), "path")
     return manifest.mapInArrow(walk, CHUNK_SCHEMA)
 
 
+def _find_record(handle, state: dict, low: int, high: int) -> int | None:
+    """First offset in [low, high) that looks like the start of a run of records.
+
+    Only a guess: the caller accepts it when the walk of the range before ends there.
+    """
+    endian = state["endian"]
+    scale = state["interfaces"][0][1]
+    handle.seek(state["at"])
+    (first_second,) = struct.unpack(endian + "I", handle.read(4))
+    handle.seek(low)
+    window = np.frombuffer(handle.read(min(high - low, SEARCH_BYTES) + 16), np.uint8).astype(np.int64)
+    count = len(window) - 15
+    if count <= 0:
+        return None
+    order = range(4) if endian == "<" else range(3, -1, -1)
+
+    def word(at):
+        return sum(window[at + i : at + i + count] << (8 * k) for k, i in enumerate(order))
+
+    size, original = word(8), word(12)
+    plausible = (word(4) < scale) & (size > 0) & (size <= original) & (original <= MAX_RECORD)
+    plausible &= np.abs(word(0) - first_second) < MAX_CAPTURE_SECONDS
+    for candidate in np.flatnonzero(plausible).tolist():
+        if _run_of_records(handle, state, low + candidate, first_second):
+            return low + candidate
+    return None
+
+
+def _run_of_records(handle, state: dict, start: int, first_second: int, wanted: int = 32) -> bool:
+    """Plausible records follow each other from ``start``, or up to the end of the file."""
+    seen, end = 0, start
+    try:
+        for offset, ts, _, size in _pcap_records(handle, state, start, None):
+            far = abs(ts // 1_000_000 - first_second) > MAX_CAPTURE_SECONDS
+            if far or not 0 < size <= MAX_RECORD:
+                return False
+            seen, end = seen + 1, offset + 16 + size
+            if seen == wanted:
+                return True
+    except ValueError:
+        return False
+    return end == handle.seek(0, io.SEEK_END) or seen >= wanted // 2
+
+
+def walk_ranges(captures: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Every classic capture cut into equal byte ranges, each walked by its own task.
+
+    A range reports where its first record seems to start, where its last one ends
+    and how many there are. Other formats give no rows.
+    """
+    ranges = captures.select(
+        "capture_id",
+        "path",
+        F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(chunk_bytes))).alias("low"),
+    )
+
+    def walk(batches):
+        for batch in batches:
+            rows = [walked(row) for row in batch.to_pylist()]
+            rows = [row for row in rows if row is not None]
+            if rows:
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, type=f.type) for c, f in zip(columns, _RANGE_ARROW)], schema=_RANGE_ARROW
+                )
+
+    def walked(row):
+        low, high = row["low"], row["low"] + chunk_bytes
+        with _open(row["path"]) as handle:
+            try:
+                state = _begin(handle)
+            except ValueError:
+                return None
+            if state["kind"] != "pcap":
+                return None
+            start = state["at"] if low == 0 else _find_record(handle, state, low, high)
+            if start is None:
+                return None
+            stop, number = start, 0
+            try:
+                for offset, _, _, size in _pcap_records(handle, state, start, high):
+                    stop, number = offset + 16 + size, number + 1
+            except ValueError:
+                pass
+        return row["capture_id"], row["path"], low, start, stop, number, json.dumps(state)
+
+    return _spread(ranges, "path", "low").mapInArrow(walk, RANGE_SCHEMA)
+
+
+def capture_chunks(captures: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Record-aligned byte ranges of large captures, so that many tasks can decode one.
+
+    The ranges of a classic capture are walked in parallel from guessed starts. The
+    guesses are right if every range starts where the one before it ended and the
+    last one reaches the end of the file, because the first start is known. A
+    capture that fails this, or has another format, is walked from its beginning.
+    """
+    wanted = captures.select("capture_id", "path", "length")
+    ranges = staged(walk_ranges(wanted, chunk_bytes), "ranges")
+    along = Window.partitionBy("capture_id").orderBy("low")
+    linked = ranges.withColumn("_before", F.lag("stop").over(along)).withColumn(
+        "_linked", F.when(F.col("low") == 0, True).otherwise(F.col("start") == F.col("_before"))
+    )
+    sound = (
+        linked.groupBy("capture_id")
+        .agg(
+            F.bool_and(F.coalesce("_linked", F.lit(False))).alias("_all"),
+            F.min("low").alias("_low"),
+            F.max("stop").alias("_end"),
+        )
+        .join(wanted.select("capture_id", "length"), "capture_id")
+        # fewer bytes than a record header may be left over
+        .filter(F.col("_all") & (F.col("_low") == 0) & (F.col("_end") + 16 > F.col("length")))
+        .select("capture_id", "length", "_end")
+    )
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    exact = (
+        ranges.withColumn("first_pkt", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        .join(sound, "capture_id")
+        .select(
+            "capture_id",
+            "path",
+            "start",
+            F.when(F.col("stop") == F.col("_end"), F.greatest("stop", "length")).otherwise(F.col("stop")).alias("stop"),
+            "first_pkt",
+            "state",
+            F.lit(None).cast("string").alias("error"),
+        )
+    )
+    rest = wanted.join(sound.select("capture_id"), "capture_id", "left_anti")
+    return exact.unionByName(sequential_chunks(rest, chunk_bytes))
+
+
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread small rows that stand for much work.
 

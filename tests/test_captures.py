@@ -180,18 +180,44 @@ def test_label_files(spark, tmp_path):
     assert sorted((r.path, r.label) for r in rows.collect()) == [("/x/1.pcap", "mail"), ("/x/2.pcap", "chat")]
 
 
+def lookalikes(n):
+    """Packets whose payload looks like capture records, to mislead a guess."""
+    inner = W.pcap([b"a" * 20] * 40)[24:]
+    return talk(n, payload=inner)
+
+
 def test_chunks_of_a_large_capture_equal_the_whole(spark, tmp_path):
-    for name, content in [("a.pcap", W.pcap(talk(200))), ("b.pcapng", W.pcapng(talk(150)))]:
+    contents = {
+        "a.pcap": W.pcap(talk(200)),
+        "b.pcapng": W.pcapng(talk(150)),
+        "big_endian.pcap": W.pcap(talk(180), endian=">", nano=True),
+        "lookalike.pcap": W.pcap(lookalikes(30)),
+        "cut.pcap": W.pcap(talk(100))[:-7],
+        "cut_header.pcap": W.pcap(talk(100)) + b"\x01" * 5,
+        "long_record.pcap": W.pcap([*talk(20), b"z" * 9000, *talk(20)]),
+        "broken.pcap": b"nothing" * 1000,
+    }
+    for name, content in contents.items():
         (tmp_path / name).write_bytes(content)
-    (tmp_path / "broken.pcap").write_bytes(b"nothing")
     files = C.list_files(spark, str(tmp_path)).withColumn("capture_id", C.capture_id(F.col("path")))
-    chunks = D.capture_chunks(files, chunk_bytes=3000)
-    assert chunks.filter("state is not null").count() > 8
     key = ["capture_id", "pkt_no", "ts_us", "datalink", "frame_len", "frame", "error"]
-    pieces = sorted(map(tuple, D.frames_from_chunks(chunks).select(*key).collect()), key=repr)
     whole = sorted(map(tuple, D.frames_from_paths(files).select(*key).collect()), key=repr)
-    assert pieces == whole
-    assert len([r for r in whole if r[5] is not None]) == 350
+    for build in (D.capture_chunks, D.sequential_chunks):
+        chunks = build(files, chunk_bytes=3000)
+        assert chunks.filter("state is not null").count() > 20
+        pieces = sorted(map(tuple, D.frames_from_chunks(chunks).select(*key).collect()), key=repr)
+        assert pieces == whole
+    assert len([r for r in whole if r[5] is not None]) == 200 + 150 + 180 + 30 + 100 + 100 + 41
+
+
+def test_parallel_ranges_cover_regular_captures(spark, tmp_path):
+    """Guessed starts are right for ordinary traffic, so nothing is left to a single task."""
+    (tmp_path / "a.pcap").write_bytes(W.pcap(talk(400, payload=b"data" * 40), start=1_700_000_000))
+    files = C.list_files(spark, str(tmp_path)).withColumn("capture_id", C.capture_id(F.col("path")))
+    ranges = D.walk_ranges(files, 4000).orderBy("low").collect()
+    assert len(ranges) > 20
+    assert all(a.stop == b.start for a, b in zip(ranges, ranges[1:]))
+    assert sum(r.n for r in ranges) == 400
 
 
 def test_header_snap_gives_the_same_packets_without_bytes(spark, tree):
