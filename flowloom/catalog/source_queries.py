@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowloom.catalog.registry import big, flow_key_id, query, r6
+from flowloom.catalog.views import VIEWS
 from flowloom.functions import sequences as S
 from flowloom.operators import features as X
 from flowloom.operators import labels as L
 from flowloom.operators import splits
+from flowloom.operators.flows import flow_packets
 from flowloom.plans import corpus_features, experiments
 from flowloom.profiles import UNIFIED
 from flowloom.session import staged, staging_path
 from flowloom.sources import captures, datasets, decode, logs
 from flowloom.streaming import bursts as stream_bursts
+from flowloom.streaming.ingest import ingest
 
 # --- capture bytes ---
 
@@ -179,6 +182,85 @@ def _(q):
     return packets.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def written_captures(q) -> str:
+    """Capture files below one folder per site, written by the tasks that hold their bytes."""
+    root = staging_path(q.spark, "captures")
+    named = capture_bytes(q).withColumn(
+        "label", F.concat(F.lit("site"), (F.floor(F.col("capture_id") / 1_000_000) % 3).cast("string"))
+    )
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for row in batch.to_pylist():
+                folder = f"{base}/{row['label']}"
+                system.create_dir(folder)
+                with system.open_output_stream(f"{folder}/{row['capture_id']}.pcap") as out:
+                    out.write(row["content"])
+            yield batch.select(["capture_id"])
+
+    named.mapInArrow(write, "capture_id BIGINT").write.format("noop").mode("overwrite").save()
+    return root
+
+
+_FILES_SQL = """, files AS (SELECT file_id, concat('site', CAST(capture_id % 3 AS VARCHAR)) AS label, kind,
+ 24 + sum(16 + greatest(link_len + total, 64)) AS length FROM sized GROUP BY file_id, capture_id, kind)
+"""
+
+
+@query(
+    "s1_captures_from_dirs",
+    _BYTES_SQL
+    + _FILES_SQL
+    + "SELECT label, count(*) AS n, CAST(sum(length) AS BIGINT) AS n_bytes FROM files WHERE length >= 20480 GROUP BY label",
+    ("packets",),
+)
+def _(q):
+    listed = captures.captures_from_dirs(q.spark, written_captures(q), min_bytes=20480)
+    return listed.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("length").cast("bigint").alias("n_bytes")
+    )
+
+
+_TRAFFIC_SQL = """SELECT src_ip_text AS src, dst_ip_text AS dst, CAST(proto AS BIGINT) AS proto, count(*) AS n,
+ CAST(sum(payload_len) AS BIGINT) AS n_payload, CAST(sum(greatest(link_len + total, 64)) AS BIGINT) AS n_bytes
+FROM sized WHERE ip_version IS NOT NULL AND proto IN (6, 17) GROUP BY ALL"""
+
+
+def _traffic(packets):
+    return packets.filter("proto IN (6, 17)").groupBy(
+        F.col("src_ip_text").alias("src"), F.col("dst_ip_text").alias("dst"), *big("proto")
+    ).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("payload_len").cast("bigint").alias("n_payload"),
+        F.sum("frame_len").cast("bigint").alias("n_bytes"),
+    )
+
+
+@query("s6_packets_from_files", _BYTES_SQL + _TRAFFIC_SQL, ("packets",))
+def _(q):
+    listed = staged(captures.captures_from_dirs(q.spark, written_captures(q)), "listed")
+    return _traffic(decode.read_packets(listed, with_bytes=False))
+
+
+@query("s6_packets_from_ranges", _BYTES_SQL + _TRAFFIC_SQL, ("packets",))
+def _(q):
+    listed = staged(captures.captures_from_dirs(q.spark, written_captures(q)), "listed")
+    chunks = decode.capture_chunks(listed, chunk_bytes=32 * 1024)
+    return _traffic(decode.decode_frames(decode.frames_from_chunks(chunks, decode.HEADER_SNAP), with_bytes=False))
+
+
+@query("r3_incremental_ingest", _BYTES_SQL + _TRAFFIC_SQL, ("packets",))
+def _(q):
+    root = written_captures(q)
+    out, checkpoint = staging_path(q.spark, "ingested"), staging_path(q.spark, "ingest-checkpoint")
+    for _run in range(2):  # the second run finds nothing new
+        ingest(q.spark, root, out, checkpoint, with_bytes=False).awaitTermination()
+    return _traffic(q.spark.read.parquet(out))
+
+
 # --- label files ---
 
 
@@ -439,9 +521,6 @@ SELECT flow_id, n_packets, n_bytes, last_us FROM bursts WHERE last_us + 17999999
 )
 def _(q):
     """Bursts the watermark has closed once the whole table was streamed, at a 30-minute gap."""
-    from flowloom.catalog.views import VIEWS
-    from flowloom.operators.flows import flow_packets
-
     events = q.table("events")
     stream = (
         q.spark.readStream.schema(events.schema)

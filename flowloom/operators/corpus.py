@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.stats import percent_of
 from flowloom.operators import labels as L
-from flowloom.operators.splits import split_sequential
+from flowloom.operators.ranking import block_bucket, ranked
+from flowloom.operators.splits import assign, split_sequential
 from flowloom.session import staged
 
 
@@ -117,14 +118,11 @@ def all_pages_experiment(corpus_b: DataFrame, corpus_a: DataFrame, row_id: str =
 
 
 def _sequential_by_domain(pages: DataFrame, domain, row_id: str, block_rows: int = 65536) -> DataFrame:
-    from flowloom.operators.ranking import block_bucket, ranked
-    from flowloom.operators.splits import _assign
-
     # struct ordering keeps every homepage block ahead of every subpage block
     bucket = F.struct(domain.alias("d"), block_bucket(row_id, block_rows).alias("b"))
     staged_order = pages.withColumn("_domain", domain)
     numbered = ranked(staged_order, ["label_id"], ["_domain", row_id], bucket, "_rank", "_size")
-    return numbered.withColumn("split", _assign(F.col("_rank"), F.col("_size"), 0.8, 0.1)).drop(
+    return numbered.withColumn("split", assign(F.col("_rank"), F.col("_size"), 0.8, 0.1)).drop(
         "_domain", "_rank", "_size"
     )
 

@@ -9,7 +9,7 @@ from flowloom import profiles as fixed
 from flowloom.functions import images
 from flowloom.functions import packets as P
 from flowloom.functions import stats as S
-from flowloom.functions.sequences import ordered_values
+from flowloom.functions.sequences import fixed_length, ordered_values
 from flowloom.operators.flows import FLOW_KEY, at_least, first_packets
 from flowloom.operators.ranking import first_rows
 from flowloom.profiles import FlowProfile
@@ -177,8 +177,6 @@ def pad_batches(
     seqs: DataFrame, value: str, batch: str, length: str = "true_length"
 ) -> DataFrame:
     """Zero-pad every sequence to the longest of its batch and keep its own length."""
-    from flowloom.functions.sequences import fixed_length
-
     longest = F.max(F.size(value)).over(Window.partitionBy(batch))
     return (
         seqs.withColumn("_longest", longest)

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.functions.stats import percent_of
 from flowloom.operators import labels as L
 from flowloom.operators.ranking import block_bucket, hash_bucket, hash_key, ranked
 from flowloom.session import staged
@@ -22,7 +23,7 @@ def check_ratios(train: float, val: float, test: float) -> None:
         raise ValueError(f"split ratios must sum to 1, got {train + val + test}")
 
 
-def _assign(rank: Column, size: Column, train: float, val: float) -> Column:
+def assign(rank: Column, size: Column, train: float, val: float) -> Column:
     n_train = F.floor(size * F.lit(train))
     n_val = F.floor(size * F.lit(val))
     return (
@@ -41,7 +42,7 @@ def _hash_split(
     keyed = samples.withColumn("_key", hash_key(seed, row_id))
     numbered = ranked(keyed, group, ["_key", row_id], hash_bucket("_key"), "_rank", "_size")
     return numbered.withColumn(
-        "split", _assign(F.col("_rank"), F.col("_size"), train, val)
+        "split", assign(F.col("_rank"), F.col("_size"), train, val)
     ).drop("_key", "_rank", "_size")
 
 
@@ -100,7 +101,7 @@ def split_sequential(
     """Per-class split in stored order, so later samples never train for earlier ones."""
     numbered = ranked(samples, group, [row_id], block_bucket(row_id, block_rows), "_rank", "_size")
     return numbered.withColumn(
-        "split", _assign(F.col("_rank"), F.col("_size"), train, val)
+        "split", assign(F.col("_rank"), F.col("_size"), train, val)
     ).drop("_rank", "_size")
 
 
@@ -177,7 +178,5 @@ def batch_ids(samples: DataFrame, batch_size: int, seed: int = 42, row_id: str =
 
 
 def split_statistics(split: DataFrame) -> DataFrame:
-    from flowloom.functions.stats import percent_of
-
     counts = split.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("pct", percent_of(F.col("n"), F.sum("n").over(Window.partitionBy())))

@@ -348,7 +348,7 @@ def walk_ranges(captures: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
     A range reports where its first record seems to start, where its last one ends
     and how many there are. Other formats give no rows.
     """
-    ranges = captures.select(
+    ranges = captures.filter(F.col("length") > 0).select(
         "capture_id",
         "path",
         F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(chunk_bytes))).alias("low"),

@@ -196,6 +196,7 @@ def test_chunks_of_a_large_capture_equal_the_whole(spark, tmp_path):
         "cut_header.pcap": W.pcap(talk(100)) + b"\x01" * 5,
         "long_record.pcap": W.pcap([*talk(20), b"z" * 9000, *talk(20)]),
         "broken.pcap": b"nothing" * 1000,
+        "empty.pcap": b"",
     }
     for name, content in contents.items():
         (tmp_path / name).write_bytes(content)
