@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm.common import table
+from flowloom.llm.language_id import identify_languages, learn_languages
 from flowloom.llm.near_dedup import near_duplicates
+from flowloom.llm.packing import pack_documents
+from flowloom.llm.quality import fit_quality, score_quality
+from flowloom.llm.token_counts import prefix_counts
+from flowloom.llm.toxicity import fit_toxicity, grade_toxicity
 from flowloom.llm.url_filter import judge_pages
 from flowloom.llm.vector_neighbours import near_vectors
 from flowloom.session import configure
@@ -36,3 +41,31 @@ def op5_minhash_near_dedup(spark: SparkSession, root: str) -> DataFrame:
 @_register
 def op9_embedding_near_dedup(spark: SparkSession, root: str) -> DataFrame:
     return near_vectors(table(spark, root, "embeddings"))
+
+
+@_register
+def op2_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
+    return pack_documents(table(spark, root, "documents"))
+
+
+@_register
+def op3_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return grade_toxicity(docs, fit_toxicity(docs, table(spark, root, "labels")))
+
+
+@_register
+def op7_token_counts(spark: SparkSession, root: str) -> DataFrame:
+    return prefix_counts(table(spark, root, "documents"), keep_steps=False)
+
+
+@_register
+def op8_quality_classifier(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, root, "labels")))
+
+
+@_register
+def op10_language_id(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return identify_languages(docs, learn_languages(docs))
