@@ -1,20 +1,78 @@
-"""Corpus pipeline: stages from raw documents to packed sequences."""
+"""Corpus pipeline: from raw documents to packed sequences.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return
+the columns of ``docs``. ``run`` writes every stage to the shared folder and reads it again.
+
+Rows without an id pass the stages that decide by text alone (language, quality); a near
+duplicate or contaminated row without an id cannot be named and stays. Of rows that repeat
+an id with equal text one stays. Empty and null texts have no language and go first.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowloom.llm.common import stage, table
+from flowloom.llm.decontamination import contaminated
+from flowloom.llm.language_id import has_language, learn_languages
 from flowloom.llm.near_dedup import near_duplicates
+from flowloom.llm.packing import pack_documents
+from flowloom.llm.quality import fit_quality, is_good
+
+# ids of removed documents are broadcast up to this many; more are joined by a shuffle
+BROADCAST_IDS = 4_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is not among ``ids`` (staged)."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified; text without letters or language goes."""
+    return docs.where(has_language(learn_languages(docs))("text"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as good."""
+    return docs.where(is_good(fit_quality(docs, table(spark, sf_dir, "labels")))("text"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of each group of near duplicates the document with the smallest id."""
+    found, _ = stage(near_duplicates(docs).select("doc_id", "kept"), "kept")
+    removed, _ = stage(found.where("not kept").select("doc_id").distinct(), "removed")
+    left = _without(docs, removed)
+    repeated, _ = stage(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    again = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return _without(left, repeated).unionByName(again)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no benchmark item."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
+    hit, _ = stage(found.where("doc_id is not null").select("doc_id").distinct(), "contaminated")
+    return _without(docs, hit)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents with their place in the packed sequences."""
+    return pack_documents(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("language_id", language_id),
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+# a network, tokenizers and MinHash have no SQL form; tests/llm compares with brute force
 ORACLE_SQL = None
 
 

@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 ORDER = 3
@@ -35,6 +36,7 @@ TRAIN_DOCUMENTS = 500
 TRAIN_BYTES = 2_000_000
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
+LEAST_SCORE = 0.5
 _PAD = b"\n" * ORDER
 _CHUNK = 1_000_000
 _LETTER = re.compile(r"[^\W\d_]")
@@ -180,26 +182,43 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return ContextTrees({k: v for k, v in samples.items() if v})
 
 
+def identify(trees: ContextTrees, texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and bits per byte of each text."""
+    if trees.languages and not hasattr(trees, "gram_row"):
+        trees.index()
+    names = np.array([*trees.languages, UNKNOWN], dtype=object)
+    letters = np.array([bool(t) and bool(trees.languages) and _LETTER.search(t) is not None for t in texts], bool)
+    encoded = [t.encode("utf-8", "surrogatepass") if ok else b"" for t, ok in zip(texts, letters, strict=True)]
+    best, score, bits = np.full(len(texts), len(names) - 1), np.zeros(len(texts)), np.zeros(len(texts))
+    if letters.any():
+        lengths = trees.code_lengths(encoded)[letters]
+        best[letters] = lengths.argmin(1)
+        least = lengths.min(1, keepdims=True)
+        score[letters] = 1.0 / np.exp2(np.maximum(least - lengths, -1000.0)).sum(1)
+        bits[letters] = least[:, 0] / np.array([len(t) for t in encoded])[letters]
+    return names[best], score, bits
+
+
 def _identified(trees: ContextTrees):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if trees.languages:
-            trees.index()
-        names = np.array([*trees.languages, UNKNOWN], dtype=object)
         for batch in batches:
-            letters = np.array([bool(t) and bool(trees.languages) and _LETTER.search(t) is not None for t in batch["text"]], bool)
-            texts = [t.encode("utf-8", "surrogatepass") if ok else b"" for t, ok in zip(batch["text"], letters, strict=True)]
-            best, score, bits = np.full(len(batch), len(names) - 1), np.zeros(len(batch)), np.zeros(len(batch))
-            if letters.any():
-                lengths = trees.code_lengths(texts)[letters]
-                best[letters] = lengths.argmin(1)
-                least = lengths.min(1, keepdims=True)
-                score[letters] = 1.0 / np.exp2(np.maximum(least - lengths, -1000.0)).sum(1)
-                bits[letters] = least[:, 0] / np.array([len(t) for t in texts])[letters]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": names[best], "score": score, "bits_per_byte": bits})
+            language, score, bits = identify(trees, batch["text"])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": language, "score": score, "bits_per_byte": bits})
 
     return run
 
 
+def has_language(trees: ContextTrees, least: float = LEAST_SCORE):
+    """Column function: whether a text has an identified language."""
+
+    @F.pandas_udf(T.BooleanType())
+    def accepted(texts: pd.Series) -> pd.Series:
+        language, score, _ = identify(trees, texts)
+        return pd.Series((language != UNKNOWN) & (score >= least))
+
+    return accepted
+
+
 def identify_languages(docs: DataFrame, trees: ContextTrees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id>, held_out, lang_pred, score, bits_per_byte`` for every row."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

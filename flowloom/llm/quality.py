@@ -5,7 +5,8 @@
    (``WINDOW`` to either side) in the whole corpus. A task adds up its own co-occurrence
    counts and sends one row per bucket; Spark sums them. ``BUCKETS * WIDTH`` numbers reach
    the driver, whatever the corpus holds.
-2. A document is the mean and the standard deviation of its tokens' unit word vectors.
+2. A document is the mean and the standard deviation of its tokens' unit word vectors, and
+   the mean product of neighbouring ones, which tells repetition from running text.
 3. A two-layer numpy network is fitted on at most about ``TRAIN_DOCUMENTS`` labelled
    documents (the bound on fitting; chosen by a hash of the id outside the held-out fold),
    and its logits are divided by a temperature fitted on a part it was not trained on.
@@ -29,8 +30,10 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS, WIDTH, NONZERO, WINDOW = 4096, 64, 6, 2
+POOLED = 3 * WIDTH
 TRAIN_DOCUMENTS = 6000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 128, 3e-3, 1e-4
 FOLDS, HELD_OUT = 5, 0
@@ -101,11 +104,16 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 def pooled(vectors: np.ndarray, text: str | None) -> np.ndarray:
     tokens = token_buckets(text)
     if not len(tokens):
-        return np.zeros(2 * WIDTH)
-    used, counts = np.unique(tokens, return_counts=True)
-    rows, share = vectors[used].astype(np.float64), counts / len(tokens)
-    mean = share @ rows
-    return np.concatenate([mean, np.sqrt(np.maximum(share @ rows**2 - mean**2, 0.0))])
+        return np.zeros(POOLED)
+    rows = vectors[tokens]
+    mean = rows.mean(0, dtype=np.float64)
+    square = np.einsum("ij,ij->j", rows, rows, dtype=np.float64) / len(rows)
+    beside = np.einsum("ij,ij->j", rows[1:], rows[:-1], dtype=np.float64) / max(len(rows) - 1, 1)
+    return np.concatenate([mean, np.sqrt(np.maximum(square - mean**2, 0.0)), beside])
+
+
+def pool_all(vectors: np.ndarray, texts: pd.Series) -> np.ndarray:
+    return np.stack([pooled(vectors, t) for t in texts]) if len(texts) else np.zeros((0, POOLED))
 
 
 @dataclass
@@ -193,7 +201,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     rows = labelled_sample(docs, labels, label, TRAIN_DOCUMENTS, id_col, text_col).mapInPandas(pool, "y double, x binary").collect()
     rows.sort(key=lambda r: bytes(r["x"]))  # the same fit whatever order rows arrive in
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float64).reshape(-1, 2 * WIDTH)
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float64).reshape(-1, POOLED)
     return vectors, fit_network(x, np.array([r["y"] for r in rows]))
 
 
@@ -203,11 +211,21 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.stack([pooled(vectors, t) for t in batch["text"]]) if len(batch) else np.zeros((0, 2 * WIDTH))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": net.scores(x)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": net.scores(pool_all(vectors, batch["text"]))})
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = source.mapInPandas(run, "doc_id long, score double")
     return rows.select(
         F.col("doc_id").alias(id_col), is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted")
     )
+
+
+def is_good(model: tuple[np.ndarray, Network], cutoff: float = CUTOFF):
+    """Column function: whether a text is scored at least ``cutoff``."""
+    vectors, net = model
+
+    @F.pandas_udf(T.BooleanType())
+    def good(texts: pd.Series) -> pd.Series:
+        return pd.Series(net.scores(pool_all(vectors, texts)) >= cutoff)
+
+    return good

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm.common import table
+from flowloom.llm.decontamination import contaminated
+from flowloom.llm.html_text import extract_text
 from flowloom.llm.language_id import identify_languages, learn_languages
 from flowloom.llm.near_dedup import near_duplicates
 from flowloom.llm.packing import pack_documents
@@ -69,3 +71,13 @@ def op8_quality_classifier(spark: SparkSession, root: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     return identify_languages(docs, learn_languages(docs))
+
+
+@_register
+def op1_html_extraction(spark: SparkSession, root: str) -> DataFrame:
+    return extract_text(table(spark, root, "pages"))
+
+
+@_register
+def op6_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    return contaminated(table(spark, root, "documents"), table(spark, root, "benchmark"))
