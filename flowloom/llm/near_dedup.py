@@ -2,21 +2,26 @@
 
 A document is the set of its distinct 5-word shingles (fewer words: one shingle, the
 whole sequence; no words: an empty set that links with nothing). Equal sets are one
-*class*, named by its smallest ``doc_id``, so a group of exact copies costs one row.
+*class*, named by 64 bits of a digest of the set, so a group of exact copies costs what
+one of them costs.
 
 1. ``ROWS * BANDS`` multiply-shift hashes give one minimum each; ``ROWS`` neighbouring
    minima are hashed to a band key. Two sets at similarity 0.75 miss every band with
    probability (1 - 0.75**5)**40 = 2e-5, at 0.8 with 1e-7.
 2. In each band bucket every class is compared with the bucket's smallest class only
-   (its centre). Pairs whose minima agree too rarely are dropped by their signature;
-   the rest is confirmed on the full sets: 100 * intersection >= 75 * union.
-3. Confirmed links are joined to components. What is left are pairs that share a bucket
-   but no component. Jaccard distance is a metric, so their exact distances to the
-   centre rule most of them out (|d(c,u) - d(c,v)| > 0.25), as do set sizes; all
-   others go through signature and full sets too. No pair is capped or sampled.
+   (its centre): signatures first, then the full sets, 100 * intersection >= 75 * union.
+   Confirmed links are joined to components.
+3. What is left are classes that share a bucket but no component. They are not written
+   out as pairs: a component of several classes is compared as a whole, block by block,
+   with everything outside it that met it in a bucket; classes that stand alone are
+   compared by signature in tiles of their bucket, and only pairs whose signatures agree
+   go on to the full sets. So every pair of a bucket is either in one component or has
+   been compared; none is capped or sampled.
 4. Large-star / small-star over all links gives the components.
 
-Full sets are computed again, from the texts, only for classes that are in a pair.
+Sets and signatures travel only for classes that share a bucket with another one, and are
+computed again from the texts. Their ids are broadcast while they are at most
+``BROADCAST_IDS``; beyond that the same join is shuffled.
 
 Defined cases: null or empty text has no shingles; rows that repeat an id are one
 document for linking and stay separate rows; a row without an id is never linked, has
@@ -32,15 +37,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowloom.llm.common import components, mix, remove, shingle_hashes, stage, word_hashes
 
 ROWS, BANDS = 5, 40
 SIMILARITY = 75  # per cent
-# signatures of 200 minima at similarity 0.75: mean 150, deviation 6.1; seven
-# deviations below the mean lose one true link in 10**12
-LEAST_EQUAL = 107
+# agreeing bytes of two signatures at similarity 0.75: mean 150, deviation 6.1; five
+# deviations below the mean lose one true link in a million
+LEAST_EQUAL = 119
+BLOCK = 256  # classes a side of a comparison of sets
+TILE = 1024  # classes a side of a comparison of signatures
+BROADCAST_IDS = 4_000_000
 _CHUNK = 4096
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -67,132 +74,227 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
 
 def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sizes, digests, bands, signatures = [], [], [], []
+        sizes, classes, bands = [], [], []
         for text in batch["text"]:
             shingles = shingle_hashes(word_hashes(text))
             sizes.append(len(shingles))
-            if len(shingles):
-                minima = signature(shingles)
-                digests.append(hashlib.md5(shingles.tobytes()).digest())
-                bands.append(band_keys(minima))
-                signatures.append(minima.tobytes())
-            else:
-                digests.append(None)
-                bands.append(None)
-                signatures.append(None)
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "n": sizes, "digest": digests, "bands": bands, "signature": signatures})
+            classes.append(class_of(shingles))
+            bands.append(band_keys(signature(shingles)) if len(shingles) else None)
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "n": sizes, "node": pd.array(classes, "Int64"), "bands": bands})
+
+
+def class_of(shingles: np.ndarray) -> int | None:
+    """64 bits that stand for a set; none for the empty set."""
+    if not len(shingles):
+        return None
+    return int.from_bytes(hashlib.md5(shingles.tobytes()).digest()[:8], "little", signed=True)
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"rep": batch["rep"], "shingles": [shingle_hashes(word_hashes(t)).tobytes() for t in batch["text"]]})
+        nodes, sets, signatures = [], [], []
+        for node, text in zip(batch["node"], batch["text"], strict=True):
+            shingles = shingle_hashes(word_hashes(text))
+            if class_of(shingles) == node:  # rows may share an id and differ in text
+                nodes.append(node)
+                sets.append(shingles.tobytes())
+                signatures.append(signature(shingles).astype(np.uint8).tobytes())
+        yield pd.DataFrame({"node": pd.Series(nodes, dtype="int64"), "shingles": sets, "signature": signatures})
 
 
-@F.pandas_udf(T.IntegerType())
-def equal_minima(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([int((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum()) for x, y in zip(a, b, strict=True)])
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole groups of rows that arrive sorted by ``keys``; a group must fit in memory."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = batch[keys].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]).any(1)]))
+        bounds = [*starts.tolist(), len(batch)]
+        for at, end in zip(bounds[:-1], bounds[1:], strict=True):
+            part = batch.iloc[at:end]
+            if held and (held[-1][keys].iloc[-1].to_numpy() != values[at]).any():
+                yield held[0] if len(held) == 1 else pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield held[0] if len(held) == 1 else pd.concat(held)
 
 
-@F.pandas_udf(T.LongType())
-def intersection_size(a: pd.Series, b: pd.Series) -> pd.Series:
-    sizes = []
-    for x, y in zip(a, b, strict=True):
-        both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-        both.sort(kind="stable")
-        sizes.append(int((both[1:] == both[:-1]).sum()))
-    return pd.Series(sizes, dtype="int64")
+def _compared(keys: list[str], every: bool):
+    """Hosts (side 0) against guests (side 1) of a group, on signatures and full sets.
 
+    ``every``: a row for each pair; else for each guest one host it is linked to."""
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, spent: list[str]) -> DataFrame:
-    """``pairs(x, y)`` with ``inter, total`` (intersection and union), signature permitting."""
-    sides = reps.select("rep", "signature")
-    likely = (
-        pairs.join(sides.select(F.col("rep").alias("x"), F.col("signature").alias("_sx")), "x")
-        .join(sides.select(F.col("rep").alias("y"), F.col("signature").alias("_sy")), "y")
-        .where(equal_minima("_sx", "_sy") >= LEAST_EQUAL)
-        .select("x", "y")
-    )
-    likely, path = stage(likely, "likely")
-    spent.append(path)
-    wanted = likely.select(F.col("x").alias("rep")).union(likely.select("y")).distinct()
-    # rows that share an id and differ in text keep the text whose set the class stands for
-    needed = texts.join(wanted, "rep")
-    sets, path = stage(needed.mapInPandas(_sets, "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches, keys):
+            side = group["side"].to_numpy()
+            hosts, guests = group[side == 0], group[side == 1]
+            if not len(hosts) or not len(guests):
+                continue
+            nodes = guests["node"].to_numpy()
+            sizes = np.array([len(x) // 8 for x in guests["shingles"]])
+            signatures = np.frombuffer(b"".join(guests["signature"]), np.uint8).reshape(len(guests), -1)
+            owner = np.repeat(np.arange(len(guests)), sizes)
+            pool = np.frombuffer(b"".join(guests["shingles"]), np.uint64)
+            order = np.argsort(pool)
+            pool, owner = pool[order], owner[order]
+            linked = np.zeros(len(guests), bool)
+            out = []
+            for node, shingles, own in zip(hosts["node"], hosts["shingles"], hosts["signature"], strict=True):
+                alike = (signatures == np.frombuffer(own, np.uint8)).sum(1) >= LEAST_EQUAL
+                if not every:
+                    alike &= ~linked
+                if not alike.any() and not every:
+                    continue
+                mine = np.frombuffer(shingles, np.uint64)
+                low = np.searchsorted(pool, mine, side="left")
+                high = np.searchsorted(pool, mine, side="right")
+                hit = high > low
+                spans = high[hit] - low[hit]
+                places = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
+                inter = np.bincount(owner[places], minlength=len(guests))
+                total = sizes + len(mine) - inter
+                link = alike & (100 * inter >= SIMILARITY * total)
+                linked |= link
+                chosen = np.ones(len(guests), bool) if every else link
+                out.append(pd.DataFrame({"x": node, "y": nodes[chosen], "linked": link[chosen]}))
+            if out:
+                yield pd.concat(out)
+
+    return run
+
+
+def _alike(keys: list[str]):
+    """Pairs of a tile whose signatures agree; rows have side 0, side 1 or, on the diagonal, 0 only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches, keys):
+            side, nodes = group["side"].to_numpy(), group["node"].to_numpy()
+            marks = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(group), -1)
+            first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            same_tile = group[keys[-2]].iloc[0] == group[keys[-1]].iloc[0]
+            x, y = [], []
+            for k, i in enumerate(first):
+                others = first[k + 1 :] if same_tile else second
+                near = others[(marks[others] == marks[i]).sum(1) >= LEAST_EQUAL]
+                x.append(np.full(len(near), nodes[i]))
+                y.append(nodes[near])
+            if x:
+                yield pd.DataFrame({"x": np.concatenate(x).astype(np.int64), "y": np.concatenate(y).astype(np.int64)})
+
+    return run
+
+
+def _grouped(rows: DataFrame, keys: list[str], fn, kinds: str) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(fn, kinds)
+
+
+def _compare_pairs(pairs: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
+    """``pairs(x, y)`` as hosts x, each with blocks of its guests y: ``x, y, linked``."""
+    many = pairs.groupBy("x").agg(F.count("*").alias("_many"))
+    dealt = pairs.join(many, "x").withColumn("block", F.pmod(F.xxhash64("y"), F.ceil(F.col("_many") / BLOCK)))
+    guests = dealt.select("x", "block", F.col("y").alias("node"), F.lit(1).alias("side"))
+    hosts = dealt.select("x", "block").distinct().select("x", "block", F.col("x").alias("node"), F.lit(0).alias("side"))
+    rows = hosts.unionByName(guests).join(sets, "node")
+    return _grouped(rows, ["x", "block"], _compared(["x", "block"], every), "x long, y long, linked boolean")
+
+
+def _links(pairs: DataFrame) -> DataFrame:
+    return pairs.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _outside_components(placed: DataFrame, sizes: DataFrame, sets: DataFrame, spent: list[str]) -> DataFrame:
+    """Links between components of several classes and what met them in a bucket."""
+    own = placed.select("bucket", "own", "members").distinct()
+    large = own.where("members > 1").select("bucket", F.col("own").alias("host"), F.col("members").alias("_hosts"))
+    met = own.join(large, "bucket").where(
+        "own <> host and (members < _hosts or (members = _hosts and own > host))"
+    )  # the smaller one is the guest
+    met, path = stage(met.select("host", F.col("own").alias("guest"), F.col("_hosts"), F.col("members").alias("_guests")).distinct(), "met")
     spent.append(path)
-    checked = (
-        likely.join(sets.select(F.col("rep").alias("y"), F.col("shingles").alias("_b")), "y")
-        .join(sets.select(F.col("rep").alias("x"), F.col("shingles").alias("_a")), "x")
-        .select("x", "y", (F.length("_a") / 8 + F.length("_b") / 8).cast("long").alias("both"), intersection_size("_a", "_b").alias("inter"))
-        .select("x", "y", "inter", (F.col("both") - F.col("inter")).alias("total"))
+    totals = met.groupBy("host").agg(F.sum("_guests").alias("_all"), F.max("_hosts").alias("_hosts"))
+    hosts = totals.select("host", F.ceil(F.col("_hosts") / BLOCK).alias("rows"), F.ceil(F.col("_all") / BLOCK).alias("cols"))
+    members = sizes.select("node", "own")
+    left = (
+        hosts.join(members.withColumnRenamed("own", "host"), "host")
+        .withColumn("i", F.pmod(F.xxhash64("node"), F.col("rows")))
+        .select("host", "i", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), "node", F.lit(0).alias("side"))
     )
-    checked, path = stage(checked, "checked")
+    right = (
+        met.select("host", F.col("guest").alias("own")).join(members, "own").join(hosts, "host")
+        .withColumn("j", F.pmod(F.xxhash64("node"), F.col("cols")))
+        .select("host", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), "j", "node", F.lit(1).alias("side"))
+    )
+    keys = ["host", "i", "j"]
+    rows = left.select(*keys, "node", "side").unionByName(right.select(*keys, "node", "side")).join(sets, "node")
+    return _grouped(rows, keys, _compared(keys, False), "x long, y long, linked boolean")
+
+
+def _lone_pairs(placed: DataFrame, sets: DataFrame, spent: list[str]) -> DataFrame:
+    """Pairs of single classes of a bucket whose signatures agree: ``x, y``."""
+    lone = placed.where("members = 1").select("bucket", "node")
+    filled = lone.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
+    filled, path = stage(filled.select("bucket", F.ceil(F.col("_n") / TILE).alias("tiles")), "filled")
     spent.append(path)
-    return checked
+    dealt = lone.join(filled, "bucket").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    spread = dealt.select("bucket", "node", "tile", every).select(
+        "bucket", "node", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side")
+    )
+    keys = ["bucket", "i", "j"]
+    rows = spread.join(sets.select("node", "signature"), "node")
+    found = _grouped(rows, keys, _alike(keys), "x long, y long")
+    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id>, n_shingles, component_id, kept`` for every row; see the module text."""
     spark, spent = docs.sparkSession, []
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        staged, path = stage(df, tag)
+        spent.append(path)
+        return staged
+
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profiles, profiles_path = stage(
-        source.mapInPandas(_profiles, "doc_id long, n long, digest binary, bands array<long>, signature binary"), "profiles"
-    )
-    classes, classes_path = stage(
-        profiles.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes"
-    )
-    reps, reps_path = stage(
-        profiles.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"])
-        .dropDuplicates(["digest", "doc_id"])
-        .select(F.col("doc_id").alias("rep"), "n", "bands", "signature")
-        .dropDuplicates(["rep"]),
-        "reps",
-    )
-    texts = source.where("doc_id is not null").withColumnRenamed("doc_id", "rep")
-    entries = reps.select("rep", F.explode("bands").alias("bucket"))
-    centres, path = stage(entries.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("filled")).where("filled > 1"), "centres")
-    spent.append(path)
-    members, path = stage(entries.join(centres.select("bucket", "centre"), "bucket"), "members")
-    spent.append(path)
-    stars = members.where("rep <> centre").select(F.col("centre").alias("x"), F.col("rep").alias("y")).distinct()
-    near, path = stage(_confirmed(stars, reps, texts, spent), "stars")
-    spent.append(path)
-    is_link = 100 * F.col("inter") >= SIMILARITY * F.col("total")
-    links = near.where(is_link).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    first, path = stage(components(links), "first")
-    spent.append(path)
+    profiles = kept(source.mapInPandas(_profiles, "doc_id long, n long, node long, bands array<long>"), "profiles")
+    known = profiles.where("node is not null and doc_id is not null")
+    entries = known.select("node", F.explode("bands").alias("bucket"))
+    ends = entries.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("_last"))
+    centres = kept(ends.where("centre <> _last").select("bucket", "centre"), "centres")
+    members = kept(entries.join(centres, "bucket").select("bucket", "centre", "node").distinct(), "members")
+    stars = kept(members.where("node <> centre").select(F.col("centre").alias("x"), F.col("node").alias("y")).distinct(), "pairs")
 
-    # pairs of one bucket in different components that the centre does not rule out
-    share = near.select(F.col("x").alias("centre"), F.col("y").alias("rep"), (F.col("inter") / F.col("total")).alias("share"))
-    grouped = first.select(F.col("node").alias("rep"), F.col("component").alias("_c"))
-    placed = (
-        members.join(grouped, "rep", "left")
-        .withColumn("own", F.coalesce("_c", "rep")).drop("_c")
-        .join(grouped.withColumnRenamed("rep", "centre"), "centre", "left")
-        .withColumn("main", F.coalesce("_c", "centre")).drop("_c")
-        .join(reps.select("rep", "n"), "rep")
-        .where("rep <> centre")
-        .join(share, ["centre", "rep"], "left")
-    )
-    placed, path = stage(placed.select("bucket", "rep", "own", "n", (F.col("own") == F.col("main")).alias("inside"), "share"), "placed")
-    spent.append(path)
-    odd = placed.where("not inside").select("bucket", *(F.col(c).alias(f"_{c}") for c in ("rep", "own", "n", "share")))
-    limit = SIMILARITY / 100
-    pairs = odd.join(
-        placed,
-        (odd["bucket"] == placed["bucket"]) & (F.col("own") != F.col("_own"))
-        & (F.col("inside") | (F.col("_rep") < F.col("rep")))
-        & (100 * F.least("n", "_n") >= SIMILARITY * F.greatest("n", "_n"))
-        & F.coalesce(F.abs(F.col("share") - F.col("_share")) <= 1 - limit + 1e-9, F.lit(True)),
-    ).select(F.least("rep", "_rep").alias("x"), F.greatest("rep", "_rep").alias("y")).distinct()
-    pairs = pairs.join(near.select("x", "y"), ["x", "y"], "left_anti")
-    more = _confirmed(pairs, reps, texts, spent).where(is_link).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    grown = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final, final_path = stage(components(grown), "components")
-    named, _ = stage(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "named")
-    rows, _ = stage(profiles.select("doc_id", "n", "digest"), "rows")
-    remove(spark, profiles_path, classes_path, reps_path, final_path, *spent)
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.join(named, "digest", "left").select(
+    classes = kept(known.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
+    together = kept(members.select("node").distinct(), "together")
+    wanted = kept(classes.join(together, "node"), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    sets = kept(source.join(wanted, "doc_id").select("node", "text").mapInPandas(_sets, "node long, shingles binary, signature binary"), "sets")
+    sets = kept(sets.dropDuplicates(["node"]), "distinct")
+
+    near = kept(_links(_compare_pairs(stars, sets, False)), "near")
+    first = kept(components(near), "first")
+    owned = together.join(first.withColumnRenamed("component", "own"), "node", "left").select("node", F.coalesce("own", "node").alias("own"))
+    sizes = kept(owned.join(owned.groupBy("own").agg(F.count("*").alias("members")), "own"), "owners")
+    placed = members.select("bucket", "node").join(sizes, "node")
+    mixed = placed.groupBy("bucket").agg(F.min("own").alias("_a"), F.max("own").alias("_b")).where("_a <> _b").select("bucket")
+    placed = kept(placed.join(mixed, "bucket").select("bucket", "node", "own", "members"), "placed")
+    large = kept(_links(_outside_components(placed, sizes, sets, spent)), "large")
+    lone = kept(_lone_pairs(placed, sets, spent), "lone")
+    small = kept(_links(_compare_pairs(lone, sets, False)), "small")
+    grown = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(large).unionByName(small)
+    final = kept(components(grown), "components")
+
+    # a component is named by its smallest document id
+    grouped = classes.join(final, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    names = grouped.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    named, _ = stage(grouped.join(names, "component").select("node", "smallest"), "named")
+    rows, _ = stage(profiles.select("doc_id", "n", "node"), "rows")
+    remove(spark, *spent)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id"))
+    return rows.join(named, "node", "left").select(
         F.col("doc_id").alias(id_col),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
