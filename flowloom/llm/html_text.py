@@ -151,18 +151,19 @@ def _prior(feature: str) -> float:
     kind, name = feature.split(":", 1)
     if kind == "w":
         return _PRIOR.get(name, _PRIOR["text"])
-    if name in INLINE:
+    if name in INLINE or name in LEAF:
         return _PRIOR["inline"]
-    return _PRIOR["block"] if name in LEAF or name in ("li", "td", "tr", "th", "blockquote", "pre", "dd", "dt") else _PRIOR["container"]
+    return _PRIOR["block"] if name in ("li", "td", "tr", "th", "blockquote", "pre", "dd", "dt") else _PRIOR["container"]
 
 
 def weight(feature: str, inside: float = 0.0, total: float = 0.0) -> float:
-    """Log odds of the content, words of plain blocks above zero, all else below."""
+    """Log odds of the content, words of plain blocks above zero, all else below; kept in
+    narrow bounds, so that a short paragraph outweighs an advert's tags before it."""
     prior = _prior(feature)
     odds = float(np.log((inside + PRIOR_ROWS * prior) / (total - inside + PRIOR_ROWS * (1 - prior))))
     if feature in ("w:furniture", "w:link"):
-        return min(max(odds, -2.0), -0.2)
-    return min(max(odds, 0.3), 1.5) if feature[0] == "w" else min(max(odds, -2.0), -0.1)
+        return min(max(odds, -0.3), -0.2)
+    return min(max(odds, 0.3), 2.0) if feature[0] == "w" else min(max(odds, -1.0), -0.1)
 
 
 def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
