@@ -223,12 +223,12 @@ def _(q):
     "j9_named_class_scores",
     _SCORES
     + """SELECT class_id, coalesce(n_name, concat('Class_', CAST(class_id AS VARCHAR))) AS class_name, support FROM scores
-LEFT JOIN (SELECT * FROM nation WHERE n_nationkey <> 4) m ON class_id = n_nationkey""",
+LEFT JOIN nation ON class_id = n_nationkey + 2""",
     P,
 )
 def _(q):
-    names = q.table("nation").filter("n_nationkey <> 4")
-    label_map = names.select(F.col("n_nationkey").alias("label_id"), F.col("n_name").alias("label"))
+    key = (F.col("n_nationkey") + 2).alias("label_id")  # the first two classes have no name
+    label_map = q.table("nation").select(key, F.col("n_name").alias("label"))
     named = metrics.named_scores(_scores(q), label_map)
     return named.select(*big("class_id", "support"), "class_name")
 
@@ -255,7 +255,7 @@ _VOTE = """SELECT sample_id, class_id AS pred, p AS confidence FROM (SELECT *, r
     ("votes",),
 )
 def _(q):
-    return forest.soft_vote(q.votes(), 10).select(*big("sample_id", "pred"), "confidence")
+    return forest.soft_vote(q.votes(), 10).select(*big("sample_id", "pred"), F.round("confidence", 9).alias("confidence"))
 
 
 @query(
@@ -272,7 +272,7 @@ def _(q):
     tables = [
         half.groupBy("sample_id", "class_id").agg((F.sum("prob") / 5).alias("prob")) for half in halves
     ]
-    return forest.weighted_vote(*tables, 0.6).select(*big("sample_id", "pred"), "confidence")
+    return forest.weighted_vote(*tables, 0.6).select(*big("sample_id", "pred"), F.round("confidence", 9).alias("confidence"))
 
 
 @query(
@@ -290,7 +290,7 @@ def _(q):
 
 @query(
     "g41_best_epoch",
-    """SELECT run, epoch AS best_epoch, metric AS best FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY metric DESC, epoch) AS r FROM history) t WHERE r = 1""",
+    """SELECT run, epoch AS best_epoch, metric AS best FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY metric DESC, epoch) AS r FROM history WHERE NOT isnan(metric)) t WHERE r = 1""",
     ("history",),
 )
 def _(q):
@@ -300,7 +300,7 @@ def _(q):
 
 @query(
     "w7_running_best",
-    """SELECT run, epoch, metric > greatest(0, coalesce(max(metric) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS is_best FROM history""",
+    """SELECT run, epoch, NOT isnan(metric) AND metric > greatest(0, coalesce(max(CASE WHEN isnan(metric) THEN NULL ELSE metric END) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS is_best FROM history""",
     ("history",),
 )
 def _(q):

@@ -106,11 +106,11 @@ SELECT doc_id AS sample_id, concat(lang, '/', source) AS label,
         tables=("documents",),
     ),
     "corpus_b": View(
-        "SELECT doc_id AS sample_id, source AS label, CASE WHEN doc_id % 3 = 0 THEN 'homepage' ELSE 'subpage' END AS page_type FROM documents WHERE source NOT IN ('src0', 'src1') AND CAST(floor(doc_id / 20) AS BIGINT) % 2 = 1",
+        "SELECT doc_id AS sample_id, CASE WHEN source IN ('src0', 'src1') THEN concat(source, '-b') ELSE source END AS label, CASE WHEN doc_id % 3 = 0 THEN 'homepage' ELSE 'subpage' END AS page_type FROM documents WHERE CAST(floor(doc_id / 20) AS BIGINT) % 2 = 1",
         tables=("documents",),
     ),
     "corpus_a": View(
-        "SELECT doc_id AS sample_id, source AS label, 'aggregate' AS page_type FROM documents WHERE source <> 'src19' AND CAST(floor(doc_id / 20) AS BIGINT) % 2 = 0",
+        "SELECT doc_id AS sample_id, CASE WHEN source = 'src19' THEN 'src19-a' ELSE source END AS label, 'aggregate' AS page_type FROM documents WHERE CAST(floor(doc_id / 20) AS BIGINT) % 2 = 0",
         tables=("documents",),
     ),
     "label_map_b": View(
@@ -139,7 +139,7 @@ CROSS JOIN (SELECT r_regionkey AS k FROM region WHERE r_regionkey < 2) kk""",
     "history": View(
         """
 SELECT o_orderpriority AS run, dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY year(o_orderdate) * 12 + month(o_orderdate)) AS epoch,
- round(avg(o_totalprice) / 1000000, 6) AS metric FROM orders GROUP BY o_orderpriority, year(o_orderdate) * 12 + month(o_orderdate)""",
+ CASE WHEN (year(o_orderdate) * 12 + month(o_orderdate)) % 7 = 3 THEN CAST('NaN' AS DOUBLE) ELSE round(avg(o_totalprice) / 1000000, 6) END AS metric FROM orders GROUP BY o_orderpriority, year(o_orderdate) * 12 + month(o_orderdate)""",
         tables=("orders",),
     ),
 }

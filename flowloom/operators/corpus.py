@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.stats import percent_of
 from flowloom.operators import labels as L
-from flowloom.operators.ranking import block_bucket, ranked
-from flowloom.operators.splits import assign, split_sequential
+from flowloom.operators.splits import split_sequential
 from flowloom.session import staged
 
 
@@ -46,7 +45,8 @@ def merge_datasets(datasets: Mapping[str, DataFrame], full: bool = False) -> Dat
     """Union of datasets with labels prefixed by their source, ids assigned in order.
 
     Only train rows are taken unless ``full``. New ids run over the sources in
-    the given order and the sorted labels within each.
+    the given order and the sorted labels within each. A class is its source and
+    its label there: two classes whose merged names read the same keep two ids.
     """
     parts = []
     for position, (name, df) in enumerate(datasets.items()):
@@ -58,17 +58,18 @@ def merge_datasets(datasets: Mapping[str, DataFrame], full: bool = False) -> Dat
             .withColumn("_position", F.lit(position))
         )
     merged = union_all(parts)
-    names = staged(merged.select("_position", "source_label", "label").distinct(), "merged-labels")
-    ids = L.dense_ids(names, ["_position", "source_label"], "label_id").select("label", "label_id")
-    return merged.drop("_position", "label_id").join(ids, "label")
+    merged = merged.drop("label_id").withColumn("_class", F.struct("_position", "source_label"))
+    names = staged(merged.select("_class").distinct(), "merged-labels")
+    ids = L.dense_ids(names, ["_class"], "label_id").select("_class", "label_id")
+    return merged.join(ids, "_class").drop("_class", "_position")
 
 
 def merge_statistics(merged: DataFrame) -> DataFrame:
     """Classes, samples and percent per source.
 
-    Counted per (source, label) first, so the distinct count runs on class rows.
+    Counted per (source, label there) first, so the distinct count runs on class rows.
     """
-    per_class = merged.groupBy("source_dataset", "label").agg(F.count(F.lit(1)).alias("_n"))
+    per_class = merged.groupBy("source_dataset", "source_label").agg(F.count(F.lit(1)).alias("_n"))
     counts = per_class.groupBy("source_dataset").agg(
         F.count(F.lit(1)).alias("n_classes"), F.sum("_n").alias("n_samples")
     )
@@ -89,21 +90,25 @@ def _unified(corpus_b: DataFrame, corpus_a: DataFrame) -> DataFrame:
     return staged(unified_label_map(corpus_a, corpus_b), "unified-labels")
 
 
-def homepage_experiment(corpus_b: DataFrame, corpus_a: DataFrame, row_id: str = "sample_id") -> DataFrame:
+def homepage_experiment(
+    corpus_b: DataFrame, corpus_a: DataFrame, row_id: str = "sample_id", order: Sequence[str] = ()
+) -> DataFrame:
     """Train and val on homepages; test on all subpages and all aggregate sessions.
 
     The last tenth of every homepage class belongs to no split and is left out.
     """
     unified = _unified(corpus_b, corpus_a)
     pages = _aligned(corpus_b, unified)
-    home = split_sequential(pages.filter(F.col("page_type") == "homepage"), row_id=row_id)
+    home = split_sequential(pages.filter(F.col("page_type") == "homepage"), row_id=row_id, order=order)
     test = union_all(
         [pages.filter(F.col("page_type") == "subpage"), _aligned(corpus_a, unified)]
     ).withColumn("split", F.lit("test"))
     return union_all([home.filter(F.col("split") != "test"), test])
 
 
-def all_pages_experiment(corpus_b: DataFrame, corpus_a: DataFrame, row_id: str = "sample_id") -> DataFrame:
+def all_pages_experiment(
+    corpus_b: DataFrame, corpus_a: DataFrame, row_id: str = "sample_id", order: Sequence[str] = ()
+) -> DataFrame:
     """Train and val on all single pages; test on aggregate sessions only.
 
     Homepages come before subpages in the stored order of a class. As above, the
@@ -111,22 +116,16 @@ def all_pages_experiment(corpus_b: DataFrame, corpus_a: DataFrame, row_id: str =
     """
     unified = _unified(corpus_b, corpus_a)
     pages = all_pages(_aligned(corpus_b, unified))
-    offset = F.when(F.col("page_type") == "homepage", 0).otherwise(1)
-    train = _sequential_by_domain(pages, offset, row_id)
+    homepages_first = F.when(F.col("page_type") == "homepage", 0).otherwise(1)
+    train = split_sequential(
+        pages.withColumn("_domain", homepages_first), row_id=row_id, order=["_domain", *order]
+    ).drop("_domain")
     test = _aligned(corpus_a, unified).withColumn("split", F.lit("test"))
     return union_all([train.filter(F.col("split") != "test"), test])
 
 
-def _sequential_by_domain(pages: DataFrame, domain, row_id: str, block_rows: int = 65536) -> DataFrame:
-    # struct ordering keeps every homepage block ahead of every subpage block
-    bucket = F.struct(domain.alias("d"), block_bucket(row_id, block_rows).alias("b"))
-    staged_order = pages.withColumn("_domain", domain)
-    numbered = ranked(staged_order, ["label_id"], ["_domain", row_id], bucket, "_rank", "_size")
-    return numbered.withColumn("split", assign(F.col("_rank"), F.col("_size"), 0.8, 0.1)).drop(
-        "_domain", "_rank", "_size"
-    )
-
-
-def aggregate_experiment(corpus_a: DataFrame, row_id: str = "sample_id") -> DataFrame:
+def aggregate_experiment(
+    corpus_a: DataFrame, row_id: str = "sample_id", order: Sequence[str] = ()
+) -> DataFrame:
     """Aggregate sessions only, 80/10/10 in stored order."""
-    return split_sequential(L.encode_labels(corpus_a), row_id=row_id)
+    return split_sequential(L.encode_labels(corpus_a), row_id=row_id, order=order)

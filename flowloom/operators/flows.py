@@ -44,7 +44,11 @@ def key_flows(packets: DataFrame, profile: FlowProfile) -> DataFrame:
 
 
 def flow_id() -> Column:
-    return F.concat_ws(":", *[F.col(c).cast("string") for c in FLOW_KEY])
+    """The flow key as printable text; binary addresses are written in hexadecimal."""
+    parts = [
+        F.expr(f"CASE WHEN typeof({c}) = 'binary' THEN hex({c}) ELSE CAST({c} AS STRING) END") for c in FLOW_KEY
+    ]
+    return F.concat_ws(":", *parts)
 
 
 def flow_packets(packets: DataFrame, profile: FlowProfile) -> DataFrame:

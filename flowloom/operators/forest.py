@@ -92,8 +92,7 @@ def train_and_score(
 def feature_importance(model: RandomForestClassificationModel, columns: Sequence[str]) -> DataFrame:
     """Normalised mean importance per feature (one row per column)."""
     values = [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())]
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(values, "feature string, importance double")
+    return SparkSession.builder.getOrCreate().createDataFrame(values, "feature string, importance double")
 
 
 def top_features(importances: DataFrame, n: int = 10) -> DataFrame:
@@ -106,14 +105,15 @@ def mean_importance(per_tree: DataFrame) -> DataFrame:
 
 
 def _argmax(probabilities: DataFrame, digits: int) -> DataFrame:
-    # rounding makes equal sums equal whatever order they were added in
+    # rounding makes equal sums tie whatever order they were added in; the confidence
+    # that is returned is not rounded
     rounded = F.round("prob", digits)
-    best = F.max(F.struct(rounded.alias("p"), (-F.col("class_id")).alias("c")))
+    best = F.max(F.struct(rounded.alias("p"), (-F.col("class_id")).alias("c"), "prob"))
     return (
         probabilities.groupBy("sample_id")
         .agg(best.alias("_best"))
         .select(
-            "sample_id", (-F.col("_best.c")).alias("pred"), F.col("_best.p").alias("confidence")
+            "sample_id", (-F.col("_best.c")).alias("pred"), F.col("_best.prob").alias("confidence")
         )
     )
 

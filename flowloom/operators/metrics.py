@@ -30,12 +30,12 @@ def confusion_dense(counts: DataFrame, num_classes: int) -> DataFrame:
 
 def confusion_wide(counts: DataFrame, num_classes: int) -> DataFrame:
     """One row per true class, one column per predicted class."""
-    dense = confusion_dense(counts, num_classes)
     columns = [
         F.sum(F.when(F.col("pred") == c, F.col("n")).otherwise(0)).alias(f"pred_{c}")
         for c in range(num_classes)
     ]
-    return dense.groupBy("label").agg(*columns)
+    rows = counts.groupBy("label").agg(*columns)
+    return class_skeleton(counts.sparkSession, num_classes, "label").join(rows, "label", "left").fillna(0)
 
 
 def outcome_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -203,8 +203,17 @@ def split_scores(predictions: DataFrame, threshold: float = 0.9) -> DataFrame:
     )
 
 
+def _is_number(metric: str) -> Column:
+    value = F.col(metric).cast("double")
+    return value.isNotNull() & ~F.isnan(value)
+
+
 def best_epochs(history: DataFrame, metric: str = "metric") -> DataFrame:
-    """Epoch with the highest metric per run; the earliest one wins a tie."""
+    """Epoch with the highest metric per run; the earliest one wins a tie.
+
+    Epochs without a number (null or NaN, a diverged run) are never the best.
+    """
+    history = history.filter(_is_number(metric))
     best = F.max(F.struct(F.col(metric), (-F.col("epoch")).alias("_e")))
     return (
         history.groupBy("run")
@@ -214,7 +223,8 @@ def best_epochs(history: DataFrame, metric: str = "metric") -> DataFrame:
 
 
 def running_best(history: DataFrame, metric: str = "metric", start: float = 0.0) -> DataFrame:
-    """Mark epochs that beat everything before them, starting from ``start``."""
+    """Mark epochs that beat every number before them, starting from ``start``."""
     before = Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    best = F.greatest(F.coalesce(F.max(metric).over(before), F.lit(start)), F.lit(start))
-    return history.withColumn("is_best", F.col(metric) > best)
+    number = F.when(_is_number(metric), F.col(metric))
+    best = F.greatest(F.coalesce(F.max(number).over(before), F.lit(start)), F.lit(start))
+    return history.withColumn("is_best", F.coalesce(number > best, F.lit(False)))

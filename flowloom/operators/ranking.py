@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
+from flowloom.session import staged
+
 Window = w.Window
 
 
@@ -29,6 +31,17 @@ def block_bucket(position: str | Column, rows: int = 65536) -> Column:
     return F.floor(column / F.lit(rows))
 
 
+def range_bucketed(df: DataFrame, order: Sequence[str], bucket: str = "_range") -> DataFrame:
+    """``df`` with a bucket that does not decrease along ``order``, whatever its type.
+
+    Rows are range-partitioned, so a bucket holds about as many rows as any other
+    partition, for text and hashed ids as well as for dense numbers. The result is
+    staged: the bucket is the number of the partition a row was written from.
+    """
+    ranged = df.repartitionByRange(*order).withColumn(bucket, F.spark_partition_id())
+    return staged(ranged, "ranges")
+
+
 def time_bucket(ts_micros: Column, seconds: float) -> Column:
     return F.floor(ts_micros / F.lit(int(seconds * 1_000_000)))
 
@@ -48,23 +61,26 @@ def ranked(
     into start offsets, which are joined back on the keys the rows are already
     partitioned by. A group that holds a third of all rows is therefore spread
     over its buckets. With ``group`` empty the rank is global. ``size`` adds the
-    row count of the group. Group columns must not be null.
+    row count of the group. Null is a group value like any other.
     """
-    group = list(group)
     rows = df.withColumn("_bucket", bucket)
-    per_bucket = rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # structs compare null fields as equal, so rows of a null group find their offsets
+    rows = rows.withColumn("_group", F.struct(*group) if group else F.struct(F.lit(0)))
+    rows = rows.withColumn("_slice", F.struct("_bucket"))
+    group = ["_group"]
+    per_bucket = rows.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*group)
-    earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
         *group,
-        "_bucket",
+        "_slice",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_n").over(whole).alias("_size"),
     )
-    inside = Window.partitionBy(*group, "_bucket").orderBy(*order)
+    inside = Window.partitionBy(*group, "_slice").orderBy(*order)
     out = (
         rows.withColumn("_within", F.row_number().over(inside))
-        .join(offsets, [*group, "_bucket"])
+        .join(offsets, [*group, "_slice"])
         .withColumn(rank, F.col("_before") + F.col("_within"))
     )
     if size:

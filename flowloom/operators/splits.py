@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.stats import percent_of
 from flowloom.operators import labels as L
-from flowloom.operators.ranking import block_bucket, hash_bucket, hash_key, ranked
+from flowloom.operators.ranking import hash_bucket, hash_key, range_bucketed, ranked
 from flowloom.session import staged
 
 
@@ -96,13 +96,17 @@ def split_sequential(
     val: float = 0.1,
     row_id: str = "sample_id",
     group: Sequence[str] = ("label_id",),
-    block_rows: int = 65536,
+    order: Sequence[str] = (),
 ) -> DataFrame:
-    """Per-class split in stored order, so later samples never train for earlier ones."""
-    numbered = ranked(samples, group, [row_id], block_bucket(row_id, block_rows), "_rank", "_size")
+    """Per-class split in stored order, so later samples never train for earlier ones.
+
+    ``order`` names the columns of the stored order if the id itself does not tell it.
+    """
+    keys = [*order, row_id]
+    numbered = ranked(range_bucketed(samples, keys), group, keys, F.col("_range"), "_rank", "_size")
     return numbered.withColumn(
         "split", assign(F.col("_rank"), F.col("_size"), train, val)
-    ).drop("_rank", "_size")
+    ).drop("_rank", "_size", "_range")
 
 
 def _proportional_quota(classes: DataFrame, count: str, draws: Column, out: str) -> DataFrame:

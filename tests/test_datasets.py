@@ -68,7 +68,7 @@ def test_split_sizes(samples):
 
 
 def test_sequential_split_keeps_order(samples):
-    out = splits.split_sequential(samples, block_rows=64)
+    out = splits.split_sequential(samples)
     ends = out.groupBy("label_id").agg(
         F.max(F.when(F.col("split") == "train", F.col("sample_id"))).alias("train"),
         F.min(F.when(F.col("split") == "test", F.col("sample_id"))).alias("test"),
