@@ -81,3 +81,49 @@ def op1_html_extraction(spark: SparkSession, root: str) -> DataFrame:
 @_register
 def op6_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return contaminated(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+# --- SQL, where it can state the result ------------------------------------------
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# smallest name reachable over edges(a, b) that hold both directions
+_REACH = """reach(n, m) AS (SELECT a, b FROM edges UNION SELECT reach.n, edges.b FROM reach JOIN edges ON reach.m = edges.a)"""
+
+ORACLES["op4_url_filter"] = rf"""WITH RECURSIVE rules(rh, rp, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+tags AS (SELECT page_id, url, regexp_extract(html, '(?is)<link[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0) AS canon,
+ regexp_extract(html, '(?is)<meta[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) AS meta FROM pages),
+links AS (SELECT page_id, url, 0 AS kind, replace(regexp_extract(canon, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), '&amp;', '&') AS link FROM tags
+ UNION ALL SELECT page_id, url, 1, replace(regexp_extract(meta, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1), '&amp;', '&') FROM tags),
+targets AS (SELECT url, CASE WHEN link = '' THEN NULL WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+  WHEN starts_with(link, '//') THEN concat(regexp_extract(url, '(?s)^(.*?)://', 1), ':', link)
+  WHEN starts_with(link, '/') THEN concat(regexp_extract(url, '(?s)^(.*?)://[^/?#]*', 0), link) END AS target FROM links),
+urls AS (SELECT DISTINCT url FROM pages UNION SELECT DISTINCT target FROM targets),
+parts AS (SELECT url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_UPPER.lower()}'), '') AS host,
+ coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*(\??[^#]*)', 1) AS query FROM urls),
+judged AS (SELECT url, host, path, CASE WHEN host <> '' THEN concat(host, CASE WHEN path = '' THEN '/' ELSE path END, query) END AS node,
+ (SELECT concat(rh, rp) FROM rules WHERE (host = rh OR ends_with(host, concat('.', rh))) AND starts_with(path, rp) ORDER BY length(concat(rh, rp)) DESC LIMIT 1) AS rule,
+ (SELECT v FROM rules WHERE (host = rh OR ends_with(host, concat('.', rh))) AND starts_with(path, rp) ORDER BY length(concat(rh, rp)) DESC LIMIT 1) AS v FROM parts),
+pairs AS (SELECT a.node AS a, b.node AS b FROM targets t JOIN judged a ON t.url = a.url JOIN judged b ON t.target = b.url WHERE a.node <> b.node),
+edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), {_REACH},
+spread AS (SELECT n, bool_or(j.v = 'block') AND NOT coalesce(bool_or(j.v = 'allow'), FALSE) AS blocked FROM reach JOIN judged j ON m = j.node GROUP BY n)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(v, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages LEFT JOIN judged ON pages.url = judged.url LEFT JOIN spread ON node = n"""
+
+ORACLES["op5_minhash_near_dedup"] = rf"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+ ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+kinds AS (SELECT s, min(doc_id) AS rep FROM (SELECT doc_id, list_sort(s) AS s FROM sets) t WHERE len(s) > 0 GROUP BY s),
+held AS (SELECT rep, len(s) AS size, unnest(s) AS x FROM kinds),
+shared AS (SELECT a.rep AS a, b.rep AS b, any_value(a.size) + any_value(b.size) AS both_, count(*) AS inter FROM held a JOIN held b ON a.x = b.x AND a.rep < b.rep GROUP BY a.rep, b.rep),
+pairs AS (SELECT a, b FROM shared WHERE 100 * inter >= 75 * (both_ - inter)),
+edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), {_REACH},
+least_ AS (SELECT n, min(m) AS m FROM reach GROUP BY n),
+named AS (SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(rep, s.doc_id) AS rep FROM (SELECT doc_id, list_sort(s) AS s FROM sets) s LEFT JOIN kinds ON s.s = kinds.s)
+SELECT doc_id, n_shingles, least(rep, coalesce(m, rep)) AS component_id, doc_id = least(rep, coalesce(m, rep)) AS kept FROM named LEFT JOIN least_ ON rep = n"""
+
+ORACLES["op9_embedding_near_dedup"] = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+{_REACH}, least_ AS (SELECT n, min(m) AS m FROM reach GROUP BY n), counted AS (SELECT a, count(*) AS links FROM edges GROUP BY a)
+SELECT vec_id, coalesce(links, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN least_ ON vec_id = n LEFT JOIN counted ON vec_id = a"""
