@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowloom.catalog.registry import big, flow_key_id, query, r6
 from flowloom.catalog.views import VIEWS
 from flowloom.functions import sequences as S
+from flowloom.operators import corpus
 from flowloom.operators import features as X
 from flowloom.operators import labels as L
 from flowloom.operators import splits
@@ -261,6 +262,114 @@ def _(q):
     return _traffic(q.spark.read.parquet(out))
 
 
+# --- captures to features and experiments ---
+
+_FILE_FLOWS = (
+    _BYTES_SQL
+    + _FILES_SQL.replace("SELECT file_id, concat", "SELECT file_id, file_id % 4 AS part, concat")
+    + """, big AS (SELECT * FROM files WHERE length >= 20480),
+fwd AS (SELECT *, (src_ip < dst_ip OR (src_ip = dst_ip AND sport <= dport)) AS f FROM sized
+ WHERE ip_version IS NOT NULL AND proto IN (6, 17) AND payload_len > 0 AND NOT (proto = 17 AND (sport = 5353 OR dport = 5353))),
+file_flows AS (SELECT file_id, proto, CASE WHEN f THEN src_ip ELSE dst_ip END AS ea, CASE WHEN f THEN sport ELSE dport END AS pa,
+ CASE WHEN f THEN dst_ip ELSE src_ip END AS eb, CASE WHEN f THEN dport ELSE sport END AS pb, count(*) AS n FROM fwd GROUP BY ALL),
+named AS (SELECT file_flows.*, label, part FROM file_flows JOIN big ON file_flows.file_id = big.file_id)
+"""
+)
+
+
+def _listed(q):
+    """Capture files with a page type: a quarter homepages, a quarter subpages, the rest neither."""
+    part = F.regexp_extract("path", r"/(\d+)\.pcap$", 1).cast("bigint") % 4
+    page = F.when(part == 0, "homepage").when(part == 1, "subpage").otherwise("aggregate")
+    return staged(captures.captures_from_dirs(q.spark, written_captures(q)).withColumn("page_type", page), "listed")
+
+
+@query(
+    "e4_families_from_files",
+    _FILE_FLOWS
+    + """, kept AS (SELECT 'lengths' AS family, label FROM named WHERE n >= 10 UNION ALL SELECT 'directions', label FROM named WHERE n >= 50
+ UNION ALL SELECT 'statistics', label FROM named WHERE n >= 7 UNION ALL SELECT 'images', label FROM named WHERE n >= 5)
+SELECT family, label, count(*) AS n, count(*) AS n_ids, TRUE AS printable FROM kept GROUP BY family, label HAVING count(*) >= 2""",
+    ("packets",),
+)
+def _(q):
+    read = corpus_features.corpus_families(_listed(q), link="declared", min_samples=2)
+    printable = F.bool_and(F.col("sample_id").rlike("^[0-9A-Z:a-z.-]+$")).alias("printable")
+    counts = [
+        rows.groupBy("label")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sample_id").alias("n_ids"), printable)
+        .withColumn("family", F.lit(family))
+        for family, rows in read.families.items()
+    ]
+    return corpus.union_all(counts).select("family", "label", "n", "n_ids", "printable")
+
+
+_SPLIT_SIZES = """, sized_ AS (SELECT label, count(*) AS n FROM named WHERE n >= 5 AND {train} GROUP BY label),
+train AS (SELECT label, 'train' AS split, CAST(floor(n * 0.8::DOUBLE) AS BIGINT) AS n FROM sized_
+ UNION ALL SELECT label, 'val', CAST(floor(n * 0.1::DOUBLE) AS BIGINT) FROM sized_
+ {rest})
+SELECT label, split, n FROM train WHERE n > 0"""
+_TESTED = "UNION ALL SELECT label, 'test', count(*) FROM named WHERE n >= 5 AND {} GROUP BY label"
+_ORDER = ["capture_path", "first_pkt"]
+
+
+def _experiment(q, build):
+    samples = staged(corpus_features.corpus_features(_listed(q), "images", link="declared", min_samples=1), "samples")
+    pages = samples.filter("page_type <> 'aggregate'"), samples.filter("page_type = 'aggregate'")
+    return build(*pages).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "e5_homepage_experiment_from_files",
+    _FILE_FLOWS + _SPLIT_SIZES.format(train="part = 0", rest=_TESTED.format("part <> 0")),
+    ("packets",),
+)
+def _(q):
+    return _experiment(q, lambda b, a: corpus.homepage_experiment(b, a, order=_ORDER))
+
+
+@query(
+    "e6_all_pages_experiment_from_files",
+    _FILE_FLOWS + _SPLIT_SIZES.format(train="part <= 1", rest=_TESTED.format("part > 1")),
+    ("packets",),
+)
+def _(q):
+    return _experiment(q, lambda b, a: corpus.all_pages_experiment(b, a, order=_ORDER))
+
+
+@query(
+    "e7_aggregate_experiment_from_files",
+    _FILE_FLOWS
+    + _SPLIT_SIZES.format(
+        train="part > 1",
+        rest="UNION ALL SELECT label, 'test', n - CAST(floor(n * 0.8::DOUBLE) AS BIGINT) - CAST(floor(n * 0.1::DOUBLE) AS BIGINT) FROM sized_",
+    ),
+    ("packets",),
+)
+def _(q):
+    return _experiment(q, lambda b, a: corpus.aggregate_experiment(a, order=_ORDER))
+
+
+@query(
+    "s6_read_errors",
+    _BYTES_SQL
+    + """SELECT file_id AS capture_id, CASE file_id % 7 WHEN 3 THEN 'truncated frame' WHEN 5 THEN 'not a capture file' ELSE '' END AS error,
+ CASE WHEN file_id % 7 = 5 THEN 0 ELSE count(*) END AS n FROM sized GROUP BY file_id""",
+    ("packets",),
+)
+def _(q):
+    kind = F.col("capture_id") % 7
+    content = (
+        F.when(kind == 3, F.expr("substring(content, 1, length(content) - 5)"))
+        .when(kind == 5, F.encode(F.lit("neither format"), "UTF-8"))
+        .otherwise(F.col("content"))
+    )
+    packets = decode.packets_from_content(capture_bytes(q).withColumn("content", content), with_bytes=False)
+    return packets.groupBy("capture_id").agg(
+        F.coalesce(F.max("error"), F.lit("")).alias("error"), F.count("frame_len").alias("n")
+    )
+
+
 # --- label files ---
 
 

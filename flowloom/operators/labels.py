@@ -33,7 +33,8 @@ def dense_ids(classes: DataFrame, order: Sequence, out: str = "new_id") -> DataF
 
 
 def encode_labels(samples: DataFrame, label: str = "label", out: str = "label_id") -> DataFrame:
-    """Id of each label by sorted distinct value."""
+    """Id of each label by sorted distinct value; ids the rows had are replaced."""
+    samples = samples.drop(out)
     distinct = staged(samples.select(label).distinct(), "labels")
     return samples.join(dense_ids(distinct, [label], out), label)
 

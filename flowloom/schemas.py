@@ -31,5 +31,7 @@ PACKETS = T.StructType(
         T.StructField("ip_header", T.BinaryType()),
         T.StructField("l4_header", T.BinaryType()),
         T.StructField("payload", T.BinaryType()),
+        # why reading the capture stopped, on its cut last packet or on a row without one
+        T.StructField("error", T.StringType()),
     ]
 )

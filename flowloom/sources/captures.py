@@ -37,7 +37,8 @@ def captures_from_dirs(spark: SparkSession, root: str, min_bytes: int = 0) -> Da
 
 
 def large_enough(captures: DataFrame, min_bytes: int) -> DataFrame:
-    return captures.filter(F.col("length") >= min_bytes)
+    """Captures of at least ``min_bytes``; those of unknown size are kept."""
+    return captures.filter(F.col("length").isNull() | (F.col("length") >= min_bytes))
 
 
 def captures_from_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -36,10 +36,13 @@ SECTION_ORDER = 0x1A2B3C4D
 LINK_NULL, LINK_ETHERNET, LINK_RAW, LINK_SLL, LINK_SLL2 = 0, 1, 101, 113, 276
 ETHER_IPV4, ETHER_IPV6 = 0x0800, 0x86DD
 VLAN_TAGS = (0x8100, 0x88A8, 0x9100)
+ETHER_MPLS = (0x8847, 0x8848)
+# IPv6 extension headers: options, routing, mobility, identity; fragment; authentication
+IPV6_OPTIONS, IPV6_FRAGMENT, IPV6_AUTH = (0, 43, 60, 135, 139, 140), 44, 51
 NULL_IPV4, NULL_IPV6 = (2,), (24, 28, 30)
 
 # Bytes of a frame that can hold link, network and transport headers.
-HEADER_SNAP = 192
+HEADER_SNAP = 256
 READ_BUFFER = 4 * 1024 * 1024
 CHUNK_BYTES = 64 * 1024 * 1024
 # What a record may look like when its start has to be guessed.
@@ -246,10 +249,12 @@ def _content_reader(snap: int | None) -> Callable:
     return split
 
 
-def _decoding(reader: Callable, link: str, with_bytes: bool) -> Callable:
+def _decoding(
+    reader: Callable, link: str, with_bytes: bool, payload_bytes: int | None = None
+) -> Callable:
     def run(batches):
         for frames in reader(batches):
-            yield decode_batch(frames, link, with_bytes)
+            yield decode_batch(frames, link, with_bytes, payload_bytes)
 
     return run
 
@@ -277,11 +282,11 @@ def sequential_chunks(captures: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Da
                 yield from _batches(chunks(capture, path), _CHUNK_ARROW)
 
     def chunks(capture, path):
-        start, first, number, saved = None, 0, 0, None
+        start, stop, first, number, saved = None, None, 0, 0, None
         error = None
-        with _open(path) as handle:
-            stop = handle.seek(0, io.SEEK_END)
-            try:
+        try:
+            with _open(path) as handle:
+                stop = handle.seek(0, io.SEEK_END)
                 state = _begin(handle)
                 start, saved = state["at"], json.dumps(state)
                 for offset, *_ in _records(handle, state, state["at"], None):
@@ -290,8 +295,8 @@ def sequential_chunks(captures: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Da
                         # the state as of this record: interfaces declared so far
                         start, first, saved = offset, number, json.dumps(state)
                     number += 1
-            except (ValueError, IndexError, struct.error) as problem:
-                error = str(problem)
+        except (OSError, ValueError, IndexError, struct.error) as problem:
+            error = str(problem)
         yield capture, path, start, stop, first, saved, error
 
     manifest = _spread(captures.select("capture_id", "path"), "path")
@@ -356,7 +361,7 @@ def walk_ranges(captures: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
 
     def walk(batches):
         for batch in batches:
-            rows = [walked(row) for row in batch.to_pylist()]
+            rows = [attempted(row) for row in batch.to_pylist()]
             rows = [row for row in rows if row is not None]
             if rows:
                 columns = list(zip(*rows))
@@ -364,6 +369,12 @@ def walk_ranges(captures: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
                     [pa.array(c, type=f.type) for c, f in zip(columns, _RANGE_ARROW)], schema=_RANGE_ARROW
                 )
 
+    def attempted(row):
+        try:
+            return walked(row)
+        except OSError:  # the walk from the beginning meets it again and reports it
+            return None
+
     def walked(row):
         low, high = row["low"], row["low"] + chunk_bytes
         with _open(row["path"]) as handle:
@@ -506,7 +517,8 @@ def _by_size(captures: DataFrame, large_bytes: int) -> tuple[DataFrame, DataFram
     """Manifest of small files, and byte ranges of the large ones where sizes are known."""
     if "length" not in captures.columns:
         return _spread(captures.select("capture_id", "path"), "path"), None
-    small = captures.filter(F.col("length") < large_bytes).select("capture_id", "path")
+    # a capture of unknown size is read whole
+    small = captures.filter(F.coalesce("length", F.lit(0)) < large_bytes).select("capture_id", "path")
     large = capture_chunks(captures.filter(F.col("length") >= large_bytes))
     return _spread(small, "path"), _spread(large, "capture_id", "start")
 
@@ -531,15 +543,22 @@ def read_packets(
     link: str = "declared",
     with_bytes: bool = True,
     large_bytes: int = LARGE_BYTES,
+    payload_bytes: int | None = None,
 ) -> DataFrame:
-    """Packets of a captures table; without bytes only headers leave the reader."""
-    snap = None if with_bytes else HEADER_SNAP
+    """Packets of a captures table; without bytes only headers leave the reader.
+
+    With ``payload_bytes`` no more than that of a payload does. A capture that cannot
+    be opened or read to its end gives a row with the ``error``.
+    """
+    snap = HEADER_SNAP
+    if with_bytes:
+        snap = None if payload_bytes is None else HEADER_SNAP + payload_bytes
     small, large = _by_size(captures, large_bytes)
     schema = packet_schema(with_bytes)
-    packets = small.mapInArrow(_decoding(_path_reader(snap), link, with_bytes), schema)
+    packets = small.mapInArrow(_decoding(_path_reader(snap), link, with_bytes, payload_bytes), schema)
     if large is None:
         return packets
-    decoded = large.mapInArrow(_decoding(_chunk_reader(snap), link, with_bytes), schema)
+    decoded = large.mapInArrow(_decoding(_chunk_reader(snap), link, with_bytes, payload_bytes), schema)
     return packets.unionByName(decoded)
 
 
@@ -588,12 +607,44 @@ def _version_of_type(ethertype: np.ndarray) -> np.ndarray:
     return np.select([ethertype == ETHER_IPV4, ethertype == ETHER_IPV6], [4, 6], 0)
 
 
+def _behind_tags(data: _Bytes) -> tuple[np.ndarray, np.ndarray]:
+    """IP version and header offset of Ethernet frames behind any VLAN tags and MPLS labels."""
+    at = np.full(len(data.start), 12, np.int64)
+    while True:
+        tagged = np.isin(data.u16(at), VLAN_TAGS)  # reads past the end of a frame give 0
+        if not tagged.any():
+            break
+        at += np.where(tagged, 4, 0)
+    kind, at = data.u16(at), at + 2
+    labelled = np.isin(kind, ETHER_MPLS)
+    more = labelled.copy()
+    while more.any():
+        last = (data.u8(at + 2) & 1 == 1) | (data.start + at >= data.stop)
+        at += np.where(more, 4, 0)
+        more &= ~last
+    inner = data.u8(at) >> 4
+    behind = np.where(np.isin(inner, (4, 6)), inner, 0)
+    return np.where(labelled, behind, _version_of_type(kind)), at
+
+
+def _upper_layer(data: _Bytes, l3: np.ndarray, v6: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Protocol, header length and fragment offset of IPv6 packets behind extension headers."""
+    proto, at = data.u8(l3 + 6), l3 + 40
+    fragment = np.zeros(len(l3), np.int64)
+    while True:
+        options, auth, part = np.isin(proto, IPV6_OPTIONS), proto == IPV6_AUTH, proto == IPV6_FRAGMENT
+        step = v6 & (options | auth | part) & (at + 8 <= end) & (fragment == 0)
+        if not step.any():
+            return proto, at - l3, fragment
+        fragment = np.where(step & part, data.u16(at + 2) >> 3, fragment)
+        size = np.select([options, auth], [8 * (data.u8(at + 1) + 1), 4 * (data.u8(at + 1) + 2)], 8)
+        proto = np.where(step, data.u8(at), proto)
+        at = np.where(step, at + size, at)
+
+
 def _locate_ip(data: _Bytes, datalink: np.ndarray, link: str) -> tuple[np.ndarray, np.ndarray]:
     """IP version (0 where there is none) and offset of the IP header."""
-    tagged = np.isin(data.u16(np.int64(12)), VLAN_TAGS)
-    twice = tagged & np.isin(data.u16(np.int64(16)), VLAN_TAGS)
-    shift = 4 * (tagged.astype(np.int64) + twice)
-    ethernet, ethernet_at = _version_of_type(data.u16(12 + shift)), 14 + shift
+    ethernet, ethernet_at = _behind_tags(data)
     cooked = _version_of_type(data.u16(np.int64(14)))
     first = data.u8(np.int64(0))
     nibble = first >> 4
@@ -636,22 +687,29 @@ def packet_schema(with_bytes: bool) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns)
 
 
-def decode_batch(frames: pa.RecordBatch, link: str, with_bytes: bool) -> pa.RecordBatch:
-    """Packet rows of a batch of frames; rows without a frame are left out."""
-    frames = frames.filter(frames["frame"].is_valid())
+def decode_batch(
+    frames: pa.RecordBatch, link: str, with_bytes: bool, payload_bytes: int | None = None
+) -> pa.RecordBatch:
+    """Packet rows of a batch of frames; a row without a frame keeps its error.
+
+    ``payload_bytes`` cuts the stored payload; its length column stays that of the packet.
+    """
     data = _Bytes(frames["frame"])
-    size = frames["frame_len"].to_numpy(zero_copy_only=False).astype(np.int64)
-    datalink = frames["datalink"].to_numpy(zero_copy_only=False)
+    size = frames["frame_len"].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    datalink = frames["datalink"].fill_null(-1).to_numpy(zero_copy_only=False)
+    framed = frames["frame"].is_valid().to_numpy(zero_copy_only=False)
     version, l3 = _locate_ip(data, datalink, link)
     v4 = version == 4
     header = np.where(v4, (data.u8(l3) & 15) * 4, 40)
-    ip = (version > 0) & (size - l3 >= np.where(v4, 20, 40)) & (header >= 20)
+    ip = framed & (version > 0) & (size - l3 >= np.where(v4, 20, 40)) & (header >= 20)
     length = data.u16(l3 + np.where(v4, 2, 4))
     # an IPv4 length of 0 stands for "all of the frame"
     stated = np.where(v4 & (length == 0), size, l3 + length + np.where(v4, 0, 40))
     end = np.minimum(stated, size)
-    proto = data.u8(l3 + np.where(v4, 9, 6))
-    fragment = np.where(v4, data.u16(l3 + 6) & 0x1FFF, 0)
+    proto, beyond, later = _upper_layer(data, l3, ip & ~v4, end)
+    header = np.where(v4, header, beyond)
+    proto = np.where(v4, data.u8(l3 + 9), proto)
+    fragment = np.where(v4, data.u16(l3 + 6) & 0x1FFF, later)
     l4 = l3 + header
     smallest = np.select([proto == TCP, proto == UDP], [20, 8], 0)
     skip = np.where(proto == TCP, (data.u8(l4 + 12) >> 4) * 4, 8)
@@ -677,12 +735,14 @@ def decode_batch(frames: pa.RecordBatch, link: str, with_bytes: bool) -> pa.Reco
         "dport": ints(data.u16(l4 + 2), transport),
         "proto": ints(proto, transport | other),
         "frame_len": frames["frame_len"],
-        "payload_len": pa.array(np.where(transport, end - body, 0).astype(np.int32)),
+        "payload_len": pa.array(np.where(transport, end - body, 0).astype(np.int32), mask=~framed),
     }
     if with_bytes:
         columns["ip_header"] = data.cut(l3, np.where(v4, 20, 40), ip)
         columns["l4_header"] = data.cut(l4, smallest, transport)
-        columns["payload"] = data.cut(body, end - body, transport)
+        kept = end - body if payload_bytes is None else np.minimum(end - body, payload_bytes)
+        columns["payload"] = data.cut(body, kept, transport)
+    columns["error"] = frames["error"]
     return pa.RecordBatch.from_pydict(columns)
 
 
@@ -692,17 +752,18 @@ def decode_frames(frames: DataFrame, link: str = "declared", with_bytes: bool =
     ``link`` is "declared" (by the file's link type) or "probe" (Ethernet, then
     Linux cooked, then raw IP). Frames without an IP packet stay as rows with a
     null version, so that they can be counted. A TCP or UDP packet whose transport
-    header is missing or cut, or that is a later fragment, gets a null protocol.
+    header is missing or cut, or that is a later fragment, gets a null protocol. A
+    capture that could not be read to its end gives one more row with the ``error``.
     """
 
     def run(batches):
         for batch in batches:
             yield decode_batch(batch, link, with_bytes)
 
-    columns = ["capture_id", "pkt_no", "ts_us", "datalink", "frame_len", "frame"]
+    columns = ["capture_id", "pkt_no", "ts_us", "datalink", "frame_len", "frame", "error"]
     return frames.select(*columns).mapInArrow(run, packet_schema(with_bytes))
 
 
-def capture_errors(frames: DataFrame) -> DataFrame:
-    """Captures that could not be read completely, with the reason."""
-    return frames.filter(F.col("error").isNotNull()).select("capture_id", "pkt_no", "error")
+def capture_errors(rows: DataFrame) -> DataFrame:
+    """Captures that could not be read completely, with the reason; of frames or packets."""
+    return rows.filter(F.col("error").isNotNull()).select("capture_id", "pkt_no", "error")
