@@ -320,6 +320,17 @@ def _(q):
     return numbered.select("sample_id", *big("pos", "class_size"))
 
 
+@query(
+    "p24_valid_ratios",
+    """SELECT l_returnflag, abs(0.9::DOUBLE + l_discount + l_tax - 1.0::DOUBLE) < 0.000001::DOUBLE AS valid, count(*) AS n
+FROM (SELECT l_returnflag, CAST(l_discount AS DOUBLE) AS l_discount, CAST(l_tax AS DOUBLE) AS l_tax FROM lineitem) t GROUP BY ALL""",
+)
+def _(q):
+    ratios = F.lit(0.9), F.col("l_discount").cast("double"), F.col("l_tax").cast("double")
+    checked = q.table("lineitem").select("l_returnflag", splits.valid_ratios(*ratios).alias("valid"))
+    return checked.groupBy("l_returnflag", "valid").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "x1_global_split",
     f"SELECT sample_id, {_ASSIGN} AS split FROM (SELECT *, row_number() OVER (ORDER BY order_key, sample_id) AS rn, count(*) OVER () AS n FROM samples) t",

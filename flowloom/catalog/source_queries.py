@@ -671,10 +671,18 @@ def _(q):
     return rows.select("sample_id", "label", *big("label_id"), r6("bi_mean").alias("bi_mean"))
 
 
-@query("e3_split_fit_score")
+@query(
+    "e3_split_fit_score",
+    """WITH c AS (SELECT count(*) AS n FROM decided), s AS (SELECT 'val' AS split, CAST(floor(n * 0.1::DOUBLE) AS BIGINT) AS n FROM c
+ UNION ALL SELECT 'test', n - CAST(floor(n * 0.8::DOUBLE) AS BIGINT) - CAST(floor(n * 0.1::DOUBLE) AS BIGINT) FROM c)
+SELECT split, n, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS confidence_accuracy, 1.0::DOUBLE AS confidence_ratio FROM s""",
+    ("decided",),
+)
 def _(q):
-    rows = L.encode_labels(q.features())
-    return experiments.split_and_score(rows, ["f0", "f1", "f2", "f3", "f4"], trees=20, depth=8)
+    rows = L.encode_labels(q.view("decided"))
+    scores = experiments.split_and_score(rows, ["f0", "f1", "f2", "f3", "f4"], threshold=0.5)
+    rounded = [r6(c).alias(c) for c in ("accuracy", "confidence_accuracy", "confidence_ratio")]
+    return scores.select("split", *big("n"), *rounded)
 
 
 @query(

@@ -97,6 +97,14 @@ SELECT event_id AS sample_id, event_type AS label, CAST(user_id % 2 AS INT) AS d
  value * value AS f1, CAST(user_id AS DOUBLE) AS f2, CAST(event_id % 13 AS DOUBLE) AS f3, CAST(7 AS DOUBLE) AS f4 FROM events""",
         tables=("events",),
     ),
+    # f0 decides the label, the other columns tell nothing about it
+    "decided": View(
+        """
+SELECT event_id AS sample_id, event_type AS label, CAST(user_id % 2 AS INT) AS domain,
+ CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 10 WHEN 'purchase' THEN 20 WHEN 'signup' THEN 30 ELSE 40 END + event_id % 5 AS DOUBLE) AS f0,
+ value AS f1, CAST(user_id AS DOUBLE) AS f2, CAST(event_id % 13 AS DOUBLE) AS f3, CAST(7 AS DOUBLE) AS f4 FROM events""",
+        tables=("events",),
+    ),
     # check-only
     "samples": View(
         """

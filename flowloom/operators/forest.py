@@ -95,6 +95,16 @@ def feature_importance(model: RandomForestClassificationModel, columns: Sequence
     return SparkSession.builder.getOrCreate().createDataFrame(values, "feature string, importance double")
 
 
+def tree_importance(model: RandomForestClassificationModel, columns: Sequence[str]) -> DataFrame:
+    """Normalised importance per tree and feature."""
+    values = [
+        (i, c, float(v))
+        for i, tree in enumerate(model.trees)
+        for c, v in zip(columns, tree.featureImportances.toArray())
+    ]
+    return SparkSession.builder.getOrCreate().createDataFrame(values, "tree int, feature string, importance double")
+
+
 def top_features(importances: DataFrame, n: int = 10) -> DataFrame:
     return importances.orderBy(F.desc("importance"), F.asc("feature")).limit(n)
 

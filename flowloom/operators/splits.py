@@ -23,6 +23,11 @@ def check_ratios(train: float, val: float, test: float) -> None:
         raise ValueError(f"split ratios must sum to 1, got {train + val + test}")
 
 
+def valid_ratios(train: Column, val: Column, test: Column) -> Column:
+    """`check_ratios` for ratios that are columns of a table."""
+    return F.abs(train + val + test - 1.0) < 1e-6
+
+
 def assign(rank: Column, size: Column, train: float, val: float) -> Column:
     n_train = F.floor(size * F.lit(train))
     n_val = F.floor(size * F.lit(val))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.operators.features import flow_images, length_sequences
-from flowloom.operators.flows import FLOW_KEY, flow_packets
+from flowloom.operators.flows import FLOW_KEY, flow_id, flow_packets
 from flowloom.plans.corpus_features import corpus_features
 from flowloom.profiles import PROCESSOR_STATS, UNIFIED, FlowProfile
 from flowloom.sources import captures as C
@@ -95,6 +95,58 @@ def test_unusual_packets(spark):
     assert rows[1].src_ip_text is None and rows[1].src_ip is None
 
 
+def test_tag_stacks_and_extension_headers(spark):
+    udp = W.udp(9, 10, b"data")
+    inner = W.ipv4(A, B, 17, udp)
+    mac = b"\x02" * 12
+    labels = b"\x00\x01\x00\x40" + b"\x00\x02\x01\x40"  # the second is the bottom of the stack
+    hop = lambda nxt: bytes([nxt, 0]) + b"\x00" * 6
+    auth = lambda nxt: bytes([nxt, 4]) + b"\x00" * 22
+    part = lambda nxt, offset: bytes([nxt, 0]) + (offset << 3).to_bytes(2, "big") + b"\x00" * 4
+    frames = [
+        mac + b"\x81\x00\x00\x05" * 5 + b"\x08\x00" + inner,
+        mac + b"\x88\x47" + labels + inner,
+        mac + b"\x81\x00\x00\x05" + b"\x88\x48" + labels + W.ipv6(A6, B6, 17, udp),
+        W.link_frame(W.ETHERNET, W.ipv6(A6, B6, 0, hop(60) + hop(51) + auth(17) + udp)),
+        W.link_frame(W.ETHERNET, W.ipv6(A6, B6, 44, part(17, 0) + udp)),
+        W.link_frame(W.ETHERNET, W.ipv6(A6, B6, 44, part(17, 100) + udp)),
+        W.link_frame(W.ETHERNET, W.ipv6(A6, B6, 0, b"\x11")),
+        mac + b"\x81\x00\x00\x05" * 3,
+    ]
+    rows = packets_of(spark, W.pcap(frames))
+    assert [r.ip_version for r in rows] == [4, 4, 6, 6, 6, 6, 6, None]
+    assert [r.sport for r in rows] == [9, 9, 9, 9, 9, None, None, None]
+    assert [r.payload_len for r in rows] == [4, 4, 4, 4, 4, 0, 0, 0]
+
+
+def test_errors_stay_with_the_packets(spark, tmp_path):
+    good = tmp_path / "good.pcap"
+    good.write_bytes(W.pcap(talk(4)))
+    foreign = tmp_path / "foreign.pcap"
+    foreign.write_bytes(b"not a capture")
+    rows = [(1, str(good), None), (2, str(foreign), 13), (3, str(tmp_path / "absent.pcap"), 10)]
+    captures = spark.createDataFrame(rows, "capture_id bigint, path string, length bigint")
+    for large in (1 << 40, 1):  # whole files, and byte ranges
+        packets = D.read_packets(captures, with_bytes=False, large_bytes=large)
+        assert packets.filter("frame_len IS NOT NULL").groupBy("capture_id").count().collect() == [(1, 4)]
+        assert {r.capture_id for r in D.capture_errors(packets).collect()} == {2, 3}
+
+
+def test_payload_is_cut_in_the_reader(spark, tmp_path):
+    path = tmp_path / "a.pcap"
+    path.write_bytes(W.pcap([W.link_frame(W.ETHERNET, W.ipv4(A, B, 6, W.tcp(1, 2, b"x" * 1000)))]))
+    captures = spark.createDataFrame([(1, str(path), 1100)], "capture_id bigint, path string, length bigint")
+    (row,) = D.read_packets(captures, payload_bytes=240).collect()
+    assert len(row.payload) == 240 and row.payload_len == 1000
+
+
+def test_flow_ids_of_decoded_packets_are_text(spark):
+    packets = spark.createDataFrame([(1, bytearray(W.pcap(talk(4))))], "capture_id bigint, content binary")
+    keyed = flow_packets(D.packets_from_content(packets), UNIFIED)
+    ids = [r[0] for r in keyed.select(flow_id()).distinct().collect()]
+    assert ids and all(i.isascii() and i.isprintable() for i in ids)
+
+
 def test_probe_ignores_the_declared_link_type(spark):
     mixed = [W.link_frame(k, W.ipv4(A, B, 6, W.tcp(1, 2, b"abc"))) for k in (W.ETHERNET, W.SLL, W.RAW)]
     rows = packets_of(spark, W.pcap(mixed, link=W.NULL), link="probe")

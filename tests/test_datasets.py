@@ -281,3 +281,28 @@ def test_forest_learns(spark):
     assert scored.filter("label <> pred").count() == 0
     top = forest.top_features(forest.feature_importance(model, ["a", "b"]), 1).first()
     assert top.feature == "a"
+
+
+def test_sequential_split_takes_any_id_and_null_groups(spark):
+    rows = [(f"id-{i * 7919 % 1000:04d}", None if i % 3 == 0 else i % 3) for i in range(300)]
+    samples = spark.createDataFrame(rows, "sample_id string, label_id int")
+    out = splits.split_sequential(samples).collect()
+    assert len(out) == 300
+    for label in (None, 1, 2):
+        ordered = [r.split for r in sorted(out, key=lambda r: r.sample_id) if r.label_id == label]
+        assert ordered == ["train"] * 80 + ["val"] * 10 + ["test"] * 10
+
+
+def test_merged_names_that_collide_stay_two_classes(spark):
+    a = spark.createDataFrame([(1, "b_c"), (2, None)], "sample_id int, label string")
+    b = spark.createDataFrame([(3, "c")], "sample_id int, label string")
+    merged = corpus.merge_datasets({"a": a, "a_b": b}, full=True).collect()
+    assert len(merged) == 3 and len({r.label_id for r in merged}) == 3
+
+
+def test_diverged_epochs_never_win(spark):
+    rows = [("r", 1, 0.2), ("r", 2, float("nan")), ("r", 3, 0.5), ("r", 4, None), ("s", 1, float("nan"))]
+    history = spark.createDataFrame(rows, "run string, epoch int, metric double")
+    assert [(r.run, r.best_epoch) for r in metrics.best_epochs(history).collect()] == [("r", 3)]
+    best = {(r.run, r.epoch) for r in metrics.running_best(history).collect() if r.is_best}
+    assert best == {("r", 1), ("r", 3)}
