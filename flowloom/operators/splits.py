@@ -7,7 +7,7 @@ and the same in other engines.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,16 +39,43 @@ def assign(rank: Column, size: Column, train: float, val: float) -> Column:
 def _hash_split(
     samples: DataFrame,
     group: Sequence[str],
-    train: float,
-    val: float,
     seed: int | Column,
     row_id: str,
+    choose: Callable[[Column, Column], Column],
 ) -> DataFrame:
-    keyed = samples.withColumn("_key", hash_key(seed, row_id))
-    numbered = ranked(keyed, group, ["_key", row_id], hash_bucket("_key"), "_rank", "_size")
-    return numbered.withColumn(
-        "split", assign(F.col("_rank"), F.col("_size"), train, val)
-    ).drop("_key", "_rank", "_size")
+    """Split by place in the random order, without sorting the rows.
+
+    ``choose(rank, size)`` must be constant but for a few cuts. Rows are counted per
+    slice of the order; a slice whose first and last rows get the same split is decided
+    as a whole. Only the slices in which a cut falls, two per group at most, are ranked.
+    """
+    samples = samples.drop("split")
+    digits = 3 if group else 4
+    keyed = samples.withColumn("_key", hash_key(seed, row_id)).withColumn("_slice", F.substring("_key", 1, digits))
+    # structs compare null fields as equal, so a null group is one like any other
+    keyed = keyed.withColumn("_group", F.struct(*group) if group else F.struct(F.lit(0)))
+    whole = Window.partitionBy("_group")
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (
+        keyed.groupBy("_group", "_slice")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .withColumn("_size", F.sum("_n").over(whole))
+    )
+    first, last = F.col("_before") + 1, F.col("_before") + F.col("_n")
+    size = F.col("_size")
+    sure = F.when(choose(first, size) == choose(last, size), choose(first, size))
+    slices = staged(counts.select("_group", "_slice", "_before", "_size", sure.alias("split")), "slices")
+    placed = keyed.join(slices, ["_group", "_slice"])
+    inside = Window.partitionBy("_group", "_slice").orderBy("_key", row_id)
+    rank = F.col("_before") + F.row_number().over(inside)
+    cut = placed.filter(F.col("split").isNull()).withColumn("_rank", rank).withColumn("split", choose(F.col("_rank"), size))
+    out = [*samples.columns, "split"]
+    return placed.filter(F.col("split").isNotNull()).select(*out).unionByName(cut.select(*out))
+
+
+def _three_way(train: float, val: float) -> Callable[[Column, Column], Column]:
+    return lambda rank, size: assign(rank, size, train, val)
 
 
 def split_global(
@@ -56,7 +83,7 @@ def split_global(
 ) -> DataFrame:
     """Random split over all rows, without regard to class."""
     check_ratios(train, val, 1 - train - val)
-    return _hash_split(samples, [], train, val, seed, row_id)
+    return _hash_split(samples, [], seed, row_id, _three_way(train, val))
 
 
 def split_per_class(
@@ -69,7 +96,7 @@ def split_per_class(
 ) -> DataFrame:
     """Random split inside every class; small classes are dropped and ids closed up."""
     kept = L.drop_small_classes(samples, min_samples)
-    return _hash_split(kept, ["label_id"], train, val, seed, row_id)
+    return _hash_split(kept, ["label_id"], seed, row_id, _three_way(train, val))
 
 
 def required_class_size(min_samples: int, train: float, val: float, test: float) -> int:
@@ -92,7 +119,8 @@ def split_per_class_seeded(
     check_ratios(train, val, test)
     required = required_class_size(min_samples, train, val, test)
     kept = L.keep_valid(samples, L.class_table(samples), required)
-    return _hash_split(kept, ["label_id"], train, val, F.lit(seed) + F.col("label_id"), row_id)
+    seeds = F.lit(seed) + F.col("label_id")
+    return _hash_split(kept, ["label_id"], seeds, row_id, _three_way(train, val))
 
 
 def split_sequential(
@@ -171,12 +199,11 @@ def split_test_first(
     samples: DataFrame, test: float = 0.1, seed: int = 42, row_id: str = "sample_id"
 ) -> DataFrame:
     """Two-way split: the first ``int(n * test)`` rows of the random order are test."""
-    keyed = samples.withColumn("_key", hash_key(seed, row_id))
-    numbered = ranked(keyed, [], ["_key", row_id], hash_bucket("_key"), "_rank", "_size")
-    n_test = F.floor(F.col("_size") * F.lit(test))
-    return numbered.withColumn(
-        "split", F.when(F.col("_rank") <= n_test, "test").otherwise("train")
-    ).drop("_key", "_rank", "_size")
+
+    def choose(rank: Column, size: Column) -> Column:
+        return F.when(rank <= F.floor(size * F.lit(test)), "test").otherwise("train")
+
+    return _hash_split(samples, [], seed, row_id, choose)
 
 
 def batch_ids(samples: DataFrame, batch_size: int, seed: int = 42, row_id: str = "sample_id") -> DataFrame:
