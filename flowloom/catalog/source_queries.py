@@ -569,7 +569,7 @@ def _epoch_line():
 
 @query(
     "s21_epoch_history",
-    """SELECT run, CAST(epoch AS BIGINT) AS epoch, round(metric * 10, 5) AS train_loss, round(metric * 2, 5) AS val_acc, epoch % 3 = 1 AS is_best FROM history""",
+    """SELECT run, CAST(epoch AS BIGINT) AS epoch, round(metric * 10, 5) AS train_loss, round(metric * 2, 5) AS val_acc, epoch % 3 = 1 AS is_best FROM history WHERE NOT isnan(metric)""",
     ("history",),
 )
 def _(q):
@@ -589,8 +589,8 @@ def _result_lines(q):
     return _log_lines(q, F.coalesce(line, f1))
 
 
-_RESULTS = """SELECT run, round(max_by(metric, epoch) FILTER (WHERE epoch % 2 = 0), 6) AS accuracy,
- round(max_by(metric, epoch) FILTER (WHERE epoch % 2 = 1), 6) AS f1 FROM history GROUP BY run"""
+_RESULTS = """SELECT run, round(max_by(metric, epoch) FILTER (WHERE epoch % 2 = 0 AND NOT isnan(metric)), 6) AS accuracy,
+ round(max_by(metric, epoch) FILTER (WHERE epoch % 2 = 1 AND NOT isnan(metric)), 6) AS f1 FROM history GROUP BY run"""
 
 
 @query("s20_run_results", _RESULTS, ("history",))
@@ -609,11 +609,14 @@ def _(q):
 
 @query(
     "g40_experiment_summary",
-    f"SELECT count(*) AS n_runs, count(*) AS n_success, round(avg(accuracy), 6) AS mean_accuracy, round(avg(f1), 6) AS mean_f1 FROM ({_RESULTS}) r",
+    f"SELECT 2 * count(*) AS n_runs, count(*) AS n_success, round(avg(accuracy), 6) AS mean_accuracy, round(avg(f1), 6) AS mean_f1 FROM ({_RESULTS}) r",
     ("history",),
 )
 def _(q):
-    s = logs.experiment_summary(logs.run_results(_result_lines(q)))
+    lines = _result_lines(q)
+    # every run has a twin that failed: its log states no result
+    failed = lines.select(F.concat(F.lit("failed-"), "run").alias("run"), "line_no", F.lit("Traceback").alias("line"))
+    s = logs.experiment_summary(logs.run_results(lines.unionByName(failed)))
     return s.select(*big("n_runs", "n_success"), r6("mean_accuracy").alias("mean_accuracy"), r6("mean_f1").alias("mean_f1"))
 
 

@@ -18,19 +18,20 @@ EPOCH_FIELDS = ("train_loss", "train_acc", "val_acc", "val_f1")
 
 
 def read_log_lines(spark: SparkSession, path: str, run_folder: bool = False) -> DataFrame:
-    """Text lines of every log with its run and the line's position in the file.
+    """Text lines of every log with its run and a sort key of the line's place in the file.
 
     The run is the file name without suffix, or with ``run_folder`` the folder the
-    file is in (a leading ``key=`` is dropped). Each log is read whole, which keeps
-    the positions exact.
+    file is in (a leading ``key=`` is dropped). Logs are read line by line and large
+    ones in blocks; the key is the block's start and then the row's number in it.
     """
-    whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    read = spark.read.option("recursiveFileLookup", "true").text(path)
     file = F.url_decode(F.input_file_name())
     if run_folder:
         run = F.regexp_replace(F.element_at(F.split(file, "/"), -2), "^[^=]*=", "")
     else:
         run = F.regexp_replace(base_name(file), r"\.[^.]*$", "")
-    lines = whole.select(run.alias("run"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = read.select(run.alias("run"), place.alias("line_no"), F.col("value").alias("line"))
     return lines.filter(F.col("line") != "")
 
 
