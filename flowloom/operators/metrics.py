@@ -21,11 +21,20 @@ def confusion(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return predictions.groupBy(*by, "label", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _known_classes(counts: DataFrame, num_classes: int) -> DataFrame:
+    """``counts``; a class id that is null or not below ``num_classes`` is an error."""
+    both = F.col("label").between(0, num_classes - 1) & F.col("pred").between(0, num_classes - 1)
+    said = F.format_string("class ids (%s, %s) are not below %s", F.col("label").cast("string"), F.col("pred").cast("string"), F.lit(str(num_classes)))
+    kind = counts.schema["label"].dataType
+    checked = F.when(F.coalesce(both, F.lit(False)), F.col("label")).otherwise(F.raise_error(said).cast(kind))
+    return counts.withColumn("label", checked)
+
+
 def confusion_dense(counts: DataFrame, num_classes: int) -> DataFrame:
     """Every pair of class ids, 0 where it was not observed."""
     ids = F.sequence(F.lit(0), F.lit(num_classes - 1))
     grid = class_skeleton(counts.sparkSession, num_classes, "label").withColumn("pred", F.explode(ids))
-    return grid.join(counts, ["label", "pred"], "left").fillna({"n": 0})
+    return grid.join(_known_classes(counts, num_classes), ["label", "pred"], "left").fillna({"n": 0})
 
 
 def confusion_wide(counts: DataFrame, num_classes: int) -> DataFrame:
@@ -34,7 +43,7 @@ def confusion_wide(counts: DataFrame, num_classes: int) -> DataFrame:
         F.sum(F.when(F.col("pred") == c, F.col("n")).otherwise(0)).alias(f"pred_{c}")
         for c in range(num_classes)
     ]
-    rows = counts.groupBy("label").agg(*columns)
+    rows = _known_classes(counts, num_classes).groupBy("label").agg(*columns)
     return class_skeleton(counts.sparkSession, num_classes, "label").join(rows, "label", "left").fillna(0)
 
 
@@ -66,7 +75,7 @@ def class_scores(counts: DataFrame, num_classes: int | None = None) -> DataFrame
     With ``num_classes`` every id below it gets a row; without, only the classes
     that occur as label or prediction.
     """
-    outcomes = outcome_counts(counts)
+    outcomes = outcome_counts(counts if num_classes is None else _known_classes(counts, num_classes))
     if num_classes is not None:
         skeleton = class_skeleton(counts.sparkSession, num_classes, "class_id")
         outcomes = skeleton.join(outcomes, "class_id", "left").fillna({"tp": 0, "fp": 0, "fn": 0})

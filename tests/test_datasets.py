@@ -306,3 +306,11 @@ def test_diverged_epochs_never_win(spark):
     assert [(r.run, r.best_epoch) for r in metrics.best_epochs(history).collect()] == [("r", 3)]
     best = {(r.run, r.epoch) for r in metrics.running_best(history).collect() if r.is_best}
     assert best == {("r", 1), ("r", 3)}
+
+
+def test_class_ids_out_of_range_are_an_error(spark):
+    counts = spark.createDataFrame([(0, 1, 5), (1, 3, 2)], "label long, pred long, n long")
+    assert metrics.class_scores(counts, 4).count() == 4
+    for run in (metrics.class_scores, metrics.confusion_dense, metrics.confusion_wide):
+        with pytest.raises(Exception, match="not below 3"):
+            run(counts, 3).collect()
