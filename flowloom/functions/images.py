@@ -58,19 +58,14 @@ def image_from_blocks_hex(blocks: Column, size: int = BLOCK) -> Column:
     return F.concat(*[F.coalesce(F.get(blocks, i), empty) for i in range(IMAGE_PACKETS)])
 
 
-def _byte(data: Column, at: Column) -> Column:
-    return F.conv(F.hex(F.substring(data, at + 1, F.lit(1))), 16, 10).cast("int")
-
-
 def pixels(image: Column) -> Column:
-    """Byte values of a binary image, row-major."""
-
-    def values(data: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.octet_length(data) - 1), lambda i: _byte(data, i)
-        )
+    """Byte values of a binary image, row-major.
 
-    return bound(image, values)
+    In ISO-8859-1 every byte is the character with the same number, so the image is
+    decoded once and its characters are numbered.
+    """
+    characters = F.split(F.decode(image, "ISO-8859-1"), "")
+    return F.when(F.octet_length(image) == 0, F.array().cast("array<int>")).otherwise(F.transform(characters, F.ascii))
 
 
 def scaled_pixels(image: Column) -> Column:
