@@ -628,11 +628,11 @@ def _(q):
     """WITH marked AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY flow_id ORDER BY ts, pkt_id) >= 1800000000 THEN 1 ELSE 0 END AS fresh FROM flow_packets),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY flow_id ORDER BY ts, pkt_id ROWS UNBOUNDED PRECEDING) AS burst FROM marked),
 bursts AS (SELECT flow_id, burst, count(*) AS n_packets, CAST(sum(frame_len) AS BIGINT) AS n_bytes, max(epoch_us(ts)) AS last_us FROM numbered GROUP BY flow_id, burst)
-SELECT flow_id, n_packets, n_bytes, last_us FROM bursts WHERE last_us + 1799999999 <= (SELECT floor(max(epoch_us(ts)) / 1000) * 1000 FROM flow_packets)""",
+SELECT flow_id, n_packets, n_bytes, last_us FROM bursts""",
     ("flow_packets",),
 )
 def _(q):
-    """Bursts the watermark has closed once the whole table was streamed, at a 30-minute gap."""
+    """Bursts at a 30-minute gap: those the watermark closed on a stream, then the open ones."""
     events = q.table("events")
     stream = (
         q.spark.readStream.schema(events.schema)
@@ -652,7 +652,8 @@ def _(q):
         .start(path)
     )
     job.awaitTermination()
-    done = q.spark.read.schema(out.schema).parquet(path)
+    closed = q.spark.read.schema(out.schema).parquet(path)
+    done = closed.unionByName(stream_bursts.closing_bursts(q.keyed(), closed, 1800.0))
     return done.select(flow_key_id(), *big("n_packets", "n_bytes"), F.unix_micros("last_ts").alias("last_us"))
 
 

@@ -76,7 +76,11 @@ def apply_scaler(
     if by:
         joined = df.join(staged(params, "scaler"), list(by))
     else:
-        joined = df.crossJoin(F.broadcast(params))
+        # one row, whatever was given: more than one is an error
+        only = F.when(F.count(F.lit(1)) == 1, F.first(F.struct(*params.columns))).otherwise(
+            F.raise_error(F.lit("scaler parameters must be one row"))
+        )
+        joined = df.crossJoin(F.broadcast(params.agg(only.alias("_p")).select("_p.*")))
     scaled = {c: (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std") for c in columns}
     return joined.withColumns(scaled).select(*df.columns)
 

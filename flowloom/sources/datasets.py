@@ -141,6 +141,8 @@ def combine_splits(parts: dict[str, DataFrame | None]) -> DataFrame:
         if df is None:
             continue
         tables.append(df if name == "all" else df.withColumn("split", F.lit(name)))
+    if not tables:
+        raise ValueError("every part is missing")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 

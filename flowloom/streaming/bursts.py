@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.operators.bursts import split_at_gaps
 from flowloom.operators.flows import FLOW_KEY
 
 
@@ -33,3 +34,27 @@ def stream_bursts(
         )
         .drop("_window")
     )
+
+
+def closing_bursts(
+    packets: DataFrame, closed: DataFrame, gap_seconds: float, keys: Sequence[str] = tuple(FLOW_KEY)
+) -> DataFrame:
+    """Bursts still open when a stream ended, from the packets it read and what it emitted.
+
+    A key's bursts are emitted in order, so its packets after the last emitted burst
+    are those of the open ones. Together with ``closed`` every burst is there once.
+    """
+    keys = list(keys)
+    last = closed.groupBy(*keys).agg(F.max("last_ts").alias("_closed"))
+    rest = packets.join(last, keys, "left").filter(F.col("_closed").isNull() | (F.col("ts") > F.col("_closed")))
+    numbered = split_at_gaps(rest.drop("_closed"), gap_seconds, keys)
+    return (
+        numbered.groupBy(*keys, "burst")
+        .agg(
+            F.count(F.lit(1)).alias("n_packets"),
+            F.sum("frame_len").alias("n_bytes"),
+            F.min("ts").alias("first_ts"),
+            F.max("ts").alias("last_ts"),
+        )
+        .drop("burst")
+    )
