@@ -187,19 +187,56 @@ def _records(handle, state: dict, start: int, stop: int | None) -> Iterator[tupl
     return walk(handle, state, start, stop)
 
 
+def _pcap_frames(handle, state, start, stop, snap):
+    """(microseconds, link type, length, kept bytes, error) per classic record.
+
+    Records are unpacked from one buffer at a time; a record that does not end in it is
+    carried over to the next.
+    """
+    link, scale = state["interfaces"][0]
+    unpack = struct.Struct(state["endian"] + "IIII").unpack_from
+    handle.seek(start)
+    held, base, at = b"", start, 0
+    while True:
+        more = handle.read(READ_BUFFER)
+        held, base, at = held[at:] + more, base + at, 0
+        end = len(held)
+        while stop is None or base + at < stop:
+            if end - at < 16:
+                break
+            seconds, fraction, size, _ = unpack(held, at)
+            body = at + 16
+            if end - body < size and more:
+                break
+            whole = min(size, end - body)
+            kept = held[body : body + (whole if snap is None else min(whole, snap))]
+            ts = seconds * 1_000_000 + fraction * 1_000_000 // scale
+            yield ts, link, whole, kept, None if whole == size else "truncated frame"
+            at = body + whole
+        else:
+            return
+        if not more:
+            if at < end:
+                raise ValueError("truncated record header")
+            return
+
+
+def _pcapng_frames(handle, state, start, stop, snap):
+    for offset, ts, link, size in _pcapng_records(handle, state, start, stop):
+        handle.seek(offset + 28)
+        frame = handle.read(size)
+        error = None if len(frame) == size else "truncated frame"
+        yield ts, link, len(frame), frame if snap is None else frame[:snap], error
+
+
 def _frames(handle, capture, start=None, stop=None, first=0, state=None, snap=None):
     """Rows of FRAME_SCHEMA; a broken file ends with one row that carries the error."""
     number = first
     try:
         state = state or _begin(handle)
-        begin = state["at"] if start is None else start
-        lead = 16 if state["kind"] == "pcap" else 28
-        for offset, ts, link, size in _records(handle, state, begin, stop):
-            handle.seek(offset + lead)
-            frame = handle.read(size)
-            error = None if len(frame) == size else "truncated frame"
-            kept = frame if snap is None else frame[:snap]
-            yield capture, number, ts, link, len(frame), kept, error
+        walk = _pcap_frames if state["kind"] == "pcap" else _pcapng_frames
+        for ts, link, size, kept, error in walk(handle, state, state["at"] if start is None else start, stop, snap):
+            yield capture, number, ts, link, size, kept, error
             number += 1
     except (ValueError, IndexError, struct.error, OSError) as problem:
         yield capture, number, None, None, None, None, str(problem)
