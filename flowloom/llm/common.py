@@ -5,23 +5,63 @@
   ``spark.checkpoint.dir`` and read it back, which cuts lineage and survives lost
   executors; intermediates that no later step reads are removed.
 * ``components``: connected components by alternating large-star and small-star.
+* ``frugal`` / ``whole_texts``: bounds on what a Python worker holds.
 * ``word_hashes`` / ``shingle_hashes``: 64-bit hashes of the words of a text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.session import staging_path
 
-# words kept per Python worker between batches; the memo is emptied when full
-MEMO_WORDS = 400_000
+# entries of each memo of a Python worker; it is emptied when full and after each task
+MEMO_WORDS = 250_000
+# rows per Arrow batch: a worker holds a few batches of whole texts at a time
+BATCH_ROWS = 2000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHINGLE = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-_words: dict[bytes, int] = {}
+_memos: list[dict] = []
+
+
+def new_memo() -> dict:
+    """A dictionary that lives as long as a task does."""
+    memo: dict = {}
+    _memos.append(memo)
+    return memo
+
+
+def forget() -> None:
+    for memo in _memos:
+        memo.clear()
+
+
+def frugal(fn: Callable) -> Callable:
+    """``fn`` over the batches of a task, leaving no memo behind for the worker's next one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
+        try:
+            yield from fn(batches)
+        finally:
+            forget()
+
+    return run
+
+
+_words = new_memo()
+
+
+def whole_texts(df: DataFrame) -> DataFrame:
+    """``df``; batches of its session are kept small enough for long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -33,16 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import mix, stage
+from flowloom.llm.common import MEMO_WORDS, frugal, mix, new_memo, stage, whole_texts
 
 MASKS = ("11101100111", "11011010111", "10110111011", "11100111011")
 SPAN = len(MASKS[0])
 LEAST_ITEM, LEAST_WORDS, LEAST_SHARE, MISMATCH = 8, 12, 0.5, 2
 BROADCAST_SEEDS = 4_000_000
-MEMO_WORDS = 400_000
 _WORD = re.compile(r"\w+")
 _MULTIPLIERS = mix(np.arange(1, SPAN + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_memo: dict[str, int] = {}
+_memo = new_memo()
 RESULT = "doc_id long, item_id long, item_words int, equal_words int, run_words int, first_word long, share double"
 
 
@@ -171,7 +170,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """One row per contaminated document and item: ``<id>, item_id, item_words,
     equal_words, run_words, first_word, share``. Clean documents have no row."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tests = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
     tests = tests.where("item_id is not null and text is not null")
     words, _ = stage(tests.mapInPandas(_item_words, "item_id long, words binary").dropDuplicates(["item_id"]), "items")
@@ -179,11 +178,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     lengths = tuple(sorted(r["n"] for r in short.collect()))  # at most SPAN - LEAST_ITEM numbers
     seeds, _ = stage(tests.mapInPandas(_item_seeds(lengths), "seed long, item_id long, place long").distinct(), "seeds")
     if seeds.count() <= broadcast_seeds:
+        words = words.where(F.length("words") >= 8 * LEAST_ITEM)  # no more items than seeds
         items = {r["item_id"]: np.frombuffer(bytes(r["words"]), np.uint64) for r in words.collect()}
-        found = source.mapInPandas(_scan(seeds.toPandas(), items, lengths), RESULT)
+        found = source.mapInPandas(frugal(_scan(seeds.toPandas(), items, lengths)), RESULT)
     else:
         rows, _ = stage(source.where("text is not null").withColumn("row", F.monotonically_increasing_id()), "texts")
-        hits = rows.mapInPandas(_document_seeds(lengths), "seed long, row long, at long").join(seeds, "seed")
+        hits = rows.mapInPandas(frugal(_document_seeds(lengths)), "seed long, row long, at long").join(seeds, "seed")
         diagonals = hits.select("row", "item_id", (F.col("at") - F.col("place")).alias("_d")).groupBy("row", "item_id").agg(F.collect_set("_d").alias("diagonals"))
-        found = diagonals.join(words, "item_id").join(rows, "row").mapInPandas(_verify, RESULT)
+        found = diagonals.join(words, "item_id").join(rows, "row").mapInPandas(frugal(_verify), RESULT)
     return found.withColumnRenamed("doc_id", id_col)

@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.llm.common import whole_texts
+
 # fixed values: element names and the words in class, id and role that mark furniture
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer "
@@ -168,7 +170,7 @@ def weight(feature: str, inside: float = 0.0, total: float = 0.0) -> float:
 
 def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
     """Weights by feature, counted over all labelled pages; a few dozen rows are collected."""
-    parts = pages.select(F.col(html_col).cast("string").alias("html")).mapInPandas(_counted, "feature string, inside double, total double")
+    parts = whole_texts(pages).select(F.col(html_col).cast("string").alias("html")).mapInPandas(_counted, "feature string, inside double, total double")
     rows = parts.groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("total").alias("total")).collect()
     return {r["feature"]: weight(r["feature"], r["inside"], r["total"]) for r in rows}
 
@@ -202,6 +204,6 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             texts = [main_text(page, own) for page in batch["html"]]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    source = whole_texts(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = source.mapInPandas(run, "page_id long, url string, text string, n_chars long")
     return rows.withColumnsRenamed({"page_id": id_col, "url": url_col})

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from flowloom.llm.common import forget, frugal, whole_texts
+
 ORDER = 3
 TRAIN_DOCUMENTS = 500
 TRAIN_BYTES = 2_000_000
@@ -161,7 +163,7 @@ def is_held_out(doc_id) -> F.Column:
 
 def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ContextTrees:
     """Context trees from a bounded sample of the rows outside the held-out fold."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = whole_texts(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     labelled = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out("id"))
     labelled = labelled.where(F.octet_length("text") <= TRAIN_BYTES).withColumn("_h", F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000)))
     share = {r["lang"]: min(1.0, 2.0 * TRAIN_DOCUMENTS / r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -213,6 +215,7 @@ def has_language(trees: ContextTrees, least: float = LEAST_SCORE):
 
     @F.pandas_udf(T.BooleanType())
     def accepted(texts: pd.Series) -> pd.Series:
+        forget()
         language, score, _ = identify(trees, texts)
         return pd.Series((language != UNKNOWN) & (score >= least))
 
@@ -221,6 +224,6 @@ def has_language(trees: ContextTrees, least: float = LEAST_SCORE):
 
 def identify_languages(docs: DataFrame, trees: ContextTrees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id>, held_out, lang_pred, score, bits_per_byte`` for every row."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = source.mapInPandas(_identified(trees), "doc_id long, lang_pred string, score double, bits_per_byte double")
+    source = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = source.mapInPandas(frugal(_identified(trees)), "doc_id long, lang_pred string, score double, bits_per_byte double")
     return rows.select(F.col("doc_id").alias(id_col), is_held_out("doc_id").alias("held_out"), "lang_pred", "score", "bits_per_byte")

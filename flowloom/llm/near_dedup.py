@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import components, mix, remove, shingle_hashes, stage, word_hashes
+from flowloom.llm.common import components, frugal, mix, remove, shingle_hashes, stage, whole_texts, word_hashes
 
 ROWS, BANDS = 5, 40
 SIMILARITY = 75  # per cent
@@ -257,8 +257,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         spent.append(path)
         return staged
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profiles = kept(source.mapInPandas(_profiles, "doc_id long, n long, node long, bands array<long>"), "profiles")
+    source = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    profiles = kept(source.mapInPandas(frugal(_profiles), "doc_id long, n long, node long, bands array<long>"), "profiles")
     known = profiles.where("node is not null and doc_id is not null")
     entries = known.select("node", F.explode("bands").alias("bucket"))
     ends = entries.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("_last"))
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = kept(classes.join(together, "node"), "wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    sets = kept(source.join(wanted, "doc_id").select("node", "text").mapInPandas(_sets, "node long, shingles binary, signature binary"), "sets")
+    sets = kept(source.join(wanted, "doc_id").select("node", "text").mapInPandas(frugal(_sets), "node long, shingles binary, signature binary"), "sets")
     sets = kept(sets.dropDuplicates(["node"]), "distinct")
 
     near = kept(_links(_compare_pairs(stars, sets, False)), "near")

@@ -28,7 +28,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,14 +37,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from flowloom.llm.common import stage
+from flowloom.llm.common import frugal, new_memo, stage, whole_texts
 
 CAPACITY, END_ID = 1024, 2
 MAX_DOCUMENTS = 1024
 MAX_COST = 1024 * 1024
 WEIGHTS = (1.0, 0.1, 0.3)
 BUCKET_ROWS = 50_000
-MEMO_UNITS = 400_000
+MEMO_UNITS = 250_000
 GROUP_DOCUMENTS = 500
 # characters for which the two tokenizer libraries were compared; other texts are
 # encoded by the slower one, which is the definition
@@ -68,16 +68,22 @@ class Encoder:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        self.path = public_tokenizers.path(vocabulary)
         with open(public_tokenizers.path(ranks), "rb") as file:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.fast = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
         self.sizes = np.zeros(max(merges.values()) + 1, np.int64)  # bytes of each id
         for piece, i in merges.items():
             self.sizes[i] = len(piece)
-        self.units: dict[str, bytes] = {"": b""}
+        self.units = new_memo()
+
+    @cached_property
+    def whole(self):
+        """The defining tokenizer; large, so it is loaded by the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -87,7 +93,6 @@ class Encoder:
         memo = self.units
         if len(memo) > MEMO_UNITS:
             memo.clear()
-            memo[""] = b""
         self.learn({u for part in parts if part is not None for u in part if u not in memo})
         return [self.encode_alone(t) if part is None else b"".join([memo[u] for u in part]) for t, part in zip(texts, parts, strict=True)]
 
@@ -107,6 +112,7 @@ class Encoder:
         """Ids of new units; those that start with a space are encoded in one call and
         taken apart by the bytes that each id stands for."""
         memo, spaced = self.units, []
+        memo[""] = b""
         for unit in units:
             if len(unit) > 1 and unit[0] == " ":
                 spaced.append(unit)
@@ -249,7 +255,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, max_documents: int
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, max_documents: int = MAX_DOCUMENTS, max_cost: int = MAX_COST) -> DataFrame:
     """``<id>, piece, start, length, ids_crc32, sequence_id, offset`` per piece."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces, _ = stage(source.mapInPandas(_pieces(capacity, END_ID), kinds), "pieces")
+    pieces, _ = stage(source.mapInPandas(frugal(_pieces(capacity, END_ID)), kinds), "pieces")
     return pack_pieces(pieces, capacity, max_documents, max_cost).withColumnRenamed("doc_id", id_col)

@@ -32,15 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowloom.llm.common import MEMO_WORDS, frugal, new_memo, whole_texts
+
 BUCKETS, WIDTH, NONZERO, WINDOW = 4096, 64, 6, 2
 POOLED = 3 * WIDTH
 TRAIN_DOCUMENTS = 6000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 128, 3e-3, 1e-4
 FOLDS, HELD_OUT = 5, 0
 CUTOFF = 0.3
-MEMO_TOKENS = 400_000
+_ROWS = 256
+_ONE = np.uint32(1)  # of the type of the counts: any other is added many times slower
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
-_memo: dict[str, int] = {}
+_memo = new_memo()
 
 
 def _index_vectors() -> np.ndarray:
@@ -61,7 +64,7 @@ def _bucket(token: str) -> int:
 
 def token_buckets(text: str | None) -> np.ndarray:
     memo = _memo
-    if len(memo) > MEMO_TOKENS:
+    if len(memo) > MEMO_WORDS:
         memo.clear()
     tokens = _TOKEN.findall(text) if text else []
     found = list(map(memo.get, tokens))
@@ -73,26 +76,29 @@ def token_buckets(text: str | None) -> np.ndarray:
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    together = np.zeros(BUCKETS * BUCKETS, np.int64)
+    together = np.zeros(BUCKETS * BUCKETS, np.uint32)
     for batch in batches:
         for text in batch["text"]:
             tokens = token_buckets(text)
             for apart in range(1, WINDOW + 1):
                 if len(tokens) > apart:
-                    np.add.at(together, tokens[:-apart] * BUCKETS + tokens[apart:], 1)
+                    np.add.at(together, tokens[:-apart] * BUCKETS + tokens[apart:], _ONE)
     counts = together.reshape(BUCKETS, BUCKETS)
     used = np.flatnonzero(counts.any(1) | counts.any(0))
     if len(used):
-        index = _index_vectors()
-        sums = counts[used].astype(np.float64) @ index + counts[:, used].T.astype(np.float64) @ index
-        yield pd.DataFrame(sums, columns=[f"v{i}" for i in range(WIDTH)]).assign(bucket=used)
+        index, sums = _index_vectors(), np.zeros((BUCKETS, WIDTH))
+        for at in range(0, BUCKETS, _ROWS):  # a few rows at a time become floating point
+            some = counts[at : at + _ROWS].astype(np.float64)
+            sums[at : at + _ROWS] += some @ index
+            sums += some.T @ index[at : at + _ROWS]
+        yield pd.DataFrame(sums[used], columns=[f"v{i}" for i in range(WIDTH)]).assign(bucket=used)
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Unit word vector per token bucket, from all documents."""
     names = [f"v{i}" for i in range(WIDTH)]
     kinds = ", ".join(f"{n} double" for n in names) + ", bucket int"
-    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(_contexts, kinds)
+    parts = whole_texts(docs).select(F.col(text_col).cast("string").alias("text")).mapInPandas(frugal(_contexts), kinds)
     rows = parts.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).collect()
     vectors = np.zeros((BUCKETS, WIDTH))
     for row in rows:
@@ -132,7 +138,8 @@ class Network:
         return np.tanh((x - self.centre) / self.scale @ self.first + self.bias) @ self.second + self.offset
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
+        # nine digits: the last ones depend on which rows share a batch
+        return np.round(1.0 / (1.0 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500))), 9)
 
 
 def _loss(logits: np.ndarray, y: np.ndarray) -> float:
@@ -199,7 +206,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         for batch in batches:
             yield pd.DataFrame({"y": batch["y"], "x": [pooled(vectors, t).tobytes() for t in batch["text"]]})
 
-    rows = labelled_sample(docs, labels, label, TRAIN_DOCUMENTS, id_col, text_col).mapInPandas(pool, "y double, x binary").collect()
+    rows = labelled_sample(docs, labels, label, TRAIN_DOCUMENTS, id_col, text_col).mapInPandas(frugal(pool), "y double, x binary").collect()
     rows.sort(key=lambda r: bytes(r["x"]))  # the same fit whatever order rows arrive in
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float64).reshape(-1, POOLED)
     return vectors, fit_network(x, np.array([r["y"] for r in rows]))
@@ -213,8 +220,8 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: st
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": net.scores(pool_all(vectors, batch["text"]))})
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = source.mapInPandas(run, "doc_id long, score double")
+    source = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = source.mapInPandas(frugal(run), "doc_id long, score double")
     return rows.select(
         F.col("doc_id").alias(id_col), is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted")
     )

@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import mix
+from flowloom.llm.common import frugal, mix, new_memo, whole_texts
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-MEMO_UNITS = 400_000
+MEMO_UNITS = 250_000
 GROUP_CHARS = 2_000_000
 _PAIR_BITS = 21
 _START, _OUTSIDE = -1, -2
@@ -77,7 +77,7 @@ class PrefixCounter:
         self.present = np.zeros(1 << 20, bool)
         self.present[self.hashes >> np.uint64(44)] = True
         self.pairs = np.zeros(1 << _PAIR_BITS, np.uint64)  # direct-mapped: key * 2 + answer
-        self.units: dict[str, bytes] = {}
+        self.units = new_memo()
 
     @staticmethod
     def _hash(text: str) -> np.uint64:
@@ -239,8 +239,8 @@ def prefix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``steps`` is the stored prefix table (see ``tokens_at``); ``fit_chars`` is the
     longest prefix, in code points, of at most ``limit`` tokens.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = source.mapInPandas(_counted(model, limit, keep_steps), "doc_id long, n_bytes long, n_tokens long, fit_chars long, steps binary")
+    source = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = source.mapInPandas(frugal(_counted(model, limit, keep_steps)), "doc_id long, n_bytes long, n_tokens long, fit_chars long, steps binary")
     rows = rows.withColumnRenamed("doc_id", id_col).withColumn("over_limit", F.col("n_tokens") > limit)
     return rows if keep_steps else rows.drop("steps")
 

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.llm.common import MEMO_WORDS, frugal, whole_texts
 from flowloom.llm.quality import is_held_out, labelled_sample
 
 DIMENSIONS = 1 << 18
@@ -42,7 +43,6 @@ LEAST_RATIO = 2.0
 MARK_RATIO = 3.0
 CUTS = tuple(k / 20 for k in range(2, 11))
 ROUNDS, RATE, DECAY = 300, 0.05, 1e-4
-MEMO_WORDS = 400_000
 _EDGES = "".join(chr(c) for c in (*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F))) + "«»„“”‘’…–—¡¿"
 
 
@@ -128,7 +128,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             pairs = [text_features(t) for t in batch["text"]]
             yield pd.DataFrame({"y": batch["y"], "f": [f.astype(np.int32).tobytes() for f, _ in pairs], "v": [np.minimum(v, 60000).astype(np.uint16).tobytes() for _, v in pairs]})
 
-    rows = labelled_sample(docs, labels, label, TRAIN_DOCUMENTS, id_col, text_col).mapInPandas(featured, "y double, f binary, v binary").collect()
+    rows = labelled_sample(docs, labels, label, TRAIN_DOCUMENTS, id_col, text_col).mapInPandas(frugal(featured), "y double, f binary, v binary").collect()
     rows.sort(key=lambda r: bytes(r["f"]))  # the same fit whatever order rows arrive in
     features = [(np.frombuffer(bytes(r["f"]), np.int32), np.frombuffer(bytes(r["v"]), np.uint16)) for r in rows]
     return fit_ordinal(features, np.array([float(r["y"] > 0) for r in rows]))
@@ -164,6 +164,6 @@ def _graded(model: OrdinalModel):
 
 def grade_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id>, held_out, severity (0 to 3), grade, p_toxic, toxic`` for every row."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = source.mapInPandas(_graded(model), "doc_id long, severity double, grade int, p_toxic double")
+    source = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = source.mapInPandas(frugal(_graded(model)), "doc_id long, severity double, grade int, p_toxic double")
     return rows.select(F.col("doc_id").alias(id_col), is_held_out("doc_id").alias("held_out"), "severity", "grade", "p_toxic", (F.col("p_toxic") >= model.cut).alias("toxic"))
