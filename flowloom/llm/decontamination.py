@@ -3,11 +3,15 @@
 A seed is a hash of the words under a fixed mask; where the mask has a 0 the word may be
 anything, so a passage still shares seeds after words were replaced. Test items and
 documents are hashed with the same masks, equal hashes are joined, and each hit names a
-diagonal (place in the document minus place in the item). On a diagonal the words are
-compared one by one and the best run (+1 for an equal word, -``MISMATCH`` for a replaced
-one) is the overlap. A document is contaminated by an item when the run has at least
-``LEAST_WORDS`` equal words and ``LEAST_SHARE`` of the item's words (all of them, if it
-has fewer).
+diagonal (place in the document minus place in the item). Around the diagonals of an item
+the words of document and item are aligned, and the best stretch (+1 for an equal word,
+-``MISMATCH`` for a replaced, added or left-out one) is the overlap. A document is
+contaminated by an item when the stretch has at least ``LEAST_WORDS`` equal words and
+either ``LEAST_SHARE`` of the item's words (all of them, if it has fewer than
+``LEAST_WORDS``) or ``LONG_RUN`` equal words, however long the item is.
+
+Words may be added or left out anywhere as long as ``UNBROKEN`` words in a row stay equal
+somewhere, or a mask fits.
 
 The test side is broadcast while it has at most ``BROADCAST_SEEDS`` seeds; the join then
 happens while a document is read, and nothing is shuffled. Beyond that the hashes of both
@@ -35,9 +39,10 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.common import MEMO_WORDS, frugal, mix, new_memo, stage, whole_texts
 
-MASKS = ("11101100111", "11011010111", "10110111011", "11100111011")
+UNBROKEN = 5
+MASKS = ("11101100111", "11011010111", "10110111011", "11100111011", "1" * UNBROKEN)
 SPAN = len(MASKS[0])
-LEAST_ITEM, LEAST_WORDS, LEAST_SHARE, MISMATCH = 8, 12, 0.5, 2
+LEAST_ITEM, LEAST_WORDS, LONG_RUN, LEAST_SHARE, MISMATCH = 8, 12, 13, 0.5, 2
 BROADCAST_SEEDS = 4_000_000
 _WORD = re.compile(r"\w+")
 _MULTIPLIERS = mix(np.arange(1, SPAN + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -88,19 +93,72 @@ def overlap(document: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int,
     return int(equal[start:end].sum()), end - start, low + diagonal + start
 
 
+def aligned(document: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
+    """(equal words, words of the document, first word in the document) of the best stretch
+    in which words may be replaced, added or left out; it ends where its score is highest.
+    One pass over the item's words, with the document's words as columns."""
+    column = np.arange(len(document) + 1)
+    score, equal, peak, start = np.zeros_like(column), np.zeros_like(column), np.zeros_like(column), column
+    best = (0, 0, 0)
+    for word in item:
+        match = document == word
+        on, left_out = score[:-1] + np.where(match, 1, -MISMATCH), score[1:] - MISMATCH
+        skip = left_out > on
+        value = np.concatenate([[0], np.maximum(on, left_out)])
+        counts = np.concatenate([[0], np.where(skip, equal[1:], equal[:-1] + match)])
+        peaks = np.concatenate([[0], np.where(skip, peak[1:], peak[:-1])])
+        starts = np.concatenate([[0], np.where(skip, start[1:], start[:-1])])
+        fresh = value <= 0
+        value[fresh], counts[fresh], peaks[fresh], starts[fresh] = 0, 0, 0, column[fresh]
+        # words added in the document: the best earlier column, less the words in between
+        origin = np.maximum.accumulate((value + MISMATCH * column) * len(column) + column) % len(column)
+        score, equal, start = value[origin] - MISMATCH * (column - origin), counts[origin], starts[origin]
+        ends = (origin[1:] == column[1:]) & match & ~skip & (score[1:] >= peaks[1:])
+        peak = np.maximum(peaks[origin], score)
+        if ends.any():
+            at = int(np.argmax(np.where(ends, equal[1:], 0))) + 1
+            if (equal[at], -start[at]) > (best[0], -best[2]):
+                best = (int(equal[at]), int(at - start[at]), int(start[at]))
+    return best
+
+
 def needed(item_words: int) -> int:
-    return min(item_words, max(LEAST_WORDS, int(np.ceil(LEAST_SHARE * item_words))))
+    return min(item_words, max(LEAST_WORDS, min(LONG_RUN, int(np.ceil(LEAST_SHARE * item_words)))))
+
+
+def _windows(diagonals: list[int], item_words: int, document_words: int) -> list[tuple[int, int]]:
+    """Stretches of a document that an overlap on or next to the diagonals can reach; more
+    than half of the item's words added would outweigh all equal ones."""
+    slack, out = item_words // MISMATCH + 1, []
+    for diagonal in sorted(diagonals):
+        low, high = max(0, diagonal - slack), min(document_words, diagonal + item_words + slack)
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], high)
+        else:
+            out.append((low, high))
+    return out
 
 
 def _best(document: np.ndarray, pairs: list[tuple[int, int]], items: dict[int, np.ndarray]) -> list[tuple]:
     """Best overlap of a document with each item, of the (item, diagonal) pairs given."""
-    best: dict[int, tuple] = {}
+    diagonals: dict[int, list[int]] = {}
     for item, diagonal in pairs:
+        diagonals.setdefault(item, []).append(diagonal)
+    rows = []
+    for item, found in sorted(diagonals.items()):
         words = items[item]
-        equal, run, first = overlap(document, words, diagonal)
-        if equal >= needed(len(words)) and (equal, -first) > best.get(item, (0, 0))[:2]:
-            best[item] = (equal, -first, run)
-    return [(item, len(items[item]), e, run, -first, e / len(items[item])) for item, (e, first, run) in sorted(best.items())]
+        least = needed(len(words))
+        equal, negative, run = max((e, -first, run) for e, run, first in (overlap(document, words, d) for d in found))
+        if equal < len(words):
+            for low, high in _windows(found, len(words), len(document)):
+                part = document[low:high]
+                # neither side can have more equal words than words that stand in the other
+                if min(np.isin(part, words).sum(), np.isin(words, part).sum()) >= max(least, equal):
+                    e, r, first = aligned(part, words)
+                    equal, negative, run = max((equal, negative, run), (e, -(first + low), r))
+        if equal >= least:
+            rows.append((item, len(words), equal, run, -negative, equal / len(words)))
+    return rows
 
 
 def _item_seeds(lengths: tuple[int, ...]):

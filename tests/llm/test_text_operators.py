@@ -259,3 +259,29 @@ def test_contaminated_finds_every_whole_item(spark):
     norm = {r["item_id"]: f" {' '.join(D._WORD.findall(r['text'].lower()))} " for r in items.collect()}
     texts = {r["doc_id"]: f" {' '.join(D._WORD.findall((r['text'] or '').lower()))} " for r in docs.collect()}
     assert found == {(d, i) for d, t in texts.items() for i, n in norm.items() if n in t}
+
+
+@pytest.mark.parametrize("bound", [D.BROADCAST_SEEDS, 0])
+def test_contaminated_by_part_of_an_item_and_by_shifted_words(spark, bound):
+    long, middle, brief = ([f"{c}{i}" for i in range(n)] for c, n in (("l", 400), ("m", 59), ("b", 20)))
+    inserted = [*brief[:10], "new", *brief[10:]]
+    thirds = [*middle[:6], "new", *middle[6:12], *middle[13:18]]
+    texts = [["x", *long[100:299]], ["x", *middle[20:49]], ["x", *inserted], ["x", *brief[:10], *brief[11:]], thirds, long[:12], [*brief[:6], "x", "y", "z", *brief[6:11]]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", None, None, 0.0) for i, t in enumerate(texts)], DOCS)
+    items = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((long, middle, brief))], "item_id long, text string")
+    found = sorted((r["doc_id"], r["item_id"], r["equal_words"], r["run_words"], r["first_word"]) for r in D.contaminated(docs, items, broadcast_seeds=bound).collect())
+    assert found == [(0, 0, 199, 199, 1), (1, 1, 29, 29, 1), (2, 2, 20, 21, 1), (3, 2, 19, 19, 1), (4, 1, 17, 18, 0)]
+
+
+def test_alignment_is_that_of_the_plain_recursion():
+    draw = random.Random(5)
+    for _ in range(200):
+        document, item = ([draw.randrange(6) for _ in range(draw.randint(1, 25))] for _ in range(2))
+        best = 0
+        score = [[0] * (len(document) + 1) for _ in range(len(item) + 1)]
+        for i, w in enumerate(item, 1):
+            for j, v in enumerate(document, 1):
+                score[i][j] = max(0, score[i - 1][j - 1] + (1 if v == w else -D.MISMATCH), score[i - 1][j] - D.MISMATCH, score[i][j - 1] - D.MISMATCH)
+                best = max(best, score[i][j])
+        equal, run, first = D.aligned(np.array(document, np.uint64), np.array(item, np.uint64))
+        assert equal >= best and equal <= run + len(item) and first + run <= len(document)
