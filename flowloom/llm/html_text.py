@@ -6,6 +6,14 @@ of page furniture negative. One linear scan finds the contiguous stretch with th
 sum, which is the content region; furniture inside it (an advert in the middle of an
 article) is left out of the text.
 
+Furniture is named by tags and by words of class, id and role, and so is all that stands in
+it. Two things overrule the names. The counted odds: a name under which most words of the
+labelled pages are content (a form round every page) marks no furniture anywhere. And
+``article`` and ``main``: those with the fewest furniture elements round them are content
+for all that they inherit, so a wrapper loses no article, and a comment or teaser marked as
+an article stays where it is. What stands inside the content is left out by its own name
+only; as its label says nothing about it, it is not counted for the names.
+
 The weights are log odds of lying inside the content, counted over all labelled pages and
 smoothed with a prior. Labelled are pages with exactly one ``article`` or ``main``
 element: what is inside is content. Pages without that mark are scored with the weights
@@ -48,6 +56,8 @@ FURNITURE_WORDS = frozenset(
     "pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signup skip "
     "social sponsor sponsored subscribe toolbar widget".split()
 )
+# class names such as has-sidebar and overflow-hidden say how an element stands, not what it is
+STATE_WORDS = frozenset("has no not overflow with without".split())
 FURNITURE_STEMS = ("advert", "comment", "cookie", "navig", "newsletter", "sidebar", "sponsor")
 PRIOR_ROWS = 50.0
 _PRIOR = {"text": 0.85, "link": 0.5, "furniture": 0.02, "inline": 0.6, "block": 0.35, "container": 0.2}
@@ -64,33 +74,55 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
-def is_furniture(name: str, attributes: str, in_content: bool) -> bool:
-    if name in FURNITURE_TAGS and not (name == "header" and in_content):
-        return True
-    if not attributes or name in ("body", "html", "article", "main"):
-        return False
-    words = {w.lower() for value in _NAMES.findall(attributes) for w in _PARTS.findall(value)}
-    if in_content:
-        words -= {"header"}
-    return bool(words & FURNITURE_WORDS) or any(w.startswith(FURNITURE_STEMS) for w in words) or _HIDDEN.search(attributes) is not None
-
-
-def elements(page: str) -> list[tuple[str, str, int, bool]]:
+def furniture_names(name: str, attributes: str, in_content: bool) -> frozenset[str]:
+    """What marks an element as furniture: its tag, words of its names, ``hidden``."""
+    if name in ("body", "html", "article", "main"):
+        return frozenset()
+    found = {name} if name in FURNITURE_TAGS else set()
+    if attributes:
+        for value in _NAMES.findall(attributes):
+            for token in value.strip("\"'").split():
+                words = {w.lower() for w in _PARTS.findall(token)}
+                if not words & STATE_WORDS:
+                    found |= words & FURNITURE_WORDS
+                    found.update(stem for stem in FURNITURE_STEMS if any(w.startswith(stem) for w in words))
+        if _HIDDEN.search(attributes):
+            found.add("hidden")
+    return frozenset(found - {"header"} if in_content else found)
+
+
+def elements(page: str, harmless: frozenset[str] = frozenset(), names: Counter | None = None) -> list[tuple[str, str, int, bool]]:
     """(feature, text, words, inside article or main) in page order; tags have no text.
 
     Features: ``w:text``, ``w:h``, ``w:li`` ... for words by their block, ``w:link`` for
     words of links, ``w:furniture``; ``t:name`` for tags. A tag that ends a block is
-    marked by a line end as its text."""
+    marked by a line end as its text. ``harmless`` names mark no furniture; ``names``
+    collects the words below each furniture name outside the content, by whether they are
+    inside it."""
+    out, depth = _elements(page, harmless, names, 0)
+    if depth:
+        if names is not None:
+            names.clear()
+        out, _ = _elements(page, harmless, names, depth)
+    return out
+
+
+def _elements(page: str, harmless: frozenset[str], names: Counter | None, reset: int) -> tuple[list[tuple[str, str, int, bool]], int]:
+    """The elements, if ``article`` and ``main`` below at most ``reset`` pieces of furniture
+    are content, and the least number of pieces above one of them."""
     out: list[tuple[str, str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, content
-    block, link = "text", False
+    stack: list[tuple[str, int, bool, frozenset[str]]] = []  # name, furniture above and here, content, names outside the content
+    block, link, least = "text", False, None
 
     def words(raw: str) -> None:
         text = html.unescape(raw)
         count = len(text.split())
-        furniture, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        _, furniture, content, marks = stack[-1] if stack else ("", 0, False, frozenset())
         kind = "furniture" if furniture else "link" if link else block
         out.append((f"w:{kind}", text, count, content))
+        if names is not None:
+            for mark in marks:
+                names[mark, content] += count
 
     last = 0
     for match in _TOKEN.finditer(page):
@@ -118,18 +150,24 @@ def elements(page: str) -> list[tuple[str, str, int, bool]]:
                     block = "text"
                 inside = content and (name in LEAF or bool(stack) and stack[-1][2])
             else:
-                above = stack[-1] if stack else ("", False, False)
+                _, furniture, _, marks = stack[-1] if stack else ("", 0, False, frozenset())
                 inside = content
                 block = "h" if name[0] == "h" and name[1:].isdigit() else name if name in ("li", "td", "th", "dd", "dt", "pre") else "text"
                 if name not in LEAF:
-                    furniture = above[1] or is_furniture(name, match.group(4), above[2])
-                    stack.append((name, furniture, above[2] or name in ("article", "main")))
+                    if name in ("article", "main"):
+                        if not content:
+                            least = furniture if least is None else min(least, furniture)
+                            furniture = 0 if furniture <= reset else furniture
+                        stack.append((name, furniture, True, marks))
+                    else:
+                        found = furniture_names(name, match.group(4), content)
+                        stack.append((name, furniture + bool(found - harmless), content, marks if content else marks | found))
             out.append((f"t:{name}", "\n", 0, inside))
         else:
             out.append((f"t:{name if name in INLINE else 'other'}", "", 0, content))
     if last < len(page):
         words(page[last:])
-    return out
+    return out, least or 0
 
 
 def _marks(page: str) -> int:
@@ -141,16 +179,22 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for page in batch["html"]:
             if page and _marks(page) == 1:
-                for feature, _, count, content in elements(page):
+                names: Counter = Counter()
+                for feature, _, count, content in elements(page, names=names):
                     size = count if feature[0] == "w" else 1
                     every[feature] += size
                     if content:
                         inside[feature] += size
+                for (name, content), count in names.items():
+                    every[f"f:{name}"] += count
+                    inside[f"f:{name}"] += count * content
     yield pd.DataFrame([(f, float(inside[f]), float(n)) for f, n in every.items()], columns=["feature", "inside", "total"])
 
 
 def _prior(feature: str) -> float:
     kind, name = feature.split(":", 1)
+    if kind == "f":
+        return _PRIOR["furniture"]
     if kind == "w":
         return _PRIOR.get(name, _PRIOR["text"])
     if name in INLINE or name in LEAF:
@@ -160,9 +204,12 @@ def _prior(feature: str) -> float:
 
 def weight(feature: str, inside: float = 0.0, total: float = 0.0) -> float:
     """Log odds of the content, words of plain blocks above zero, all else below; kept in
-    narrow bounds, so that a short paragraph outweighs an advert's tags before it."""
+    narrow bounds, so that a short paragraph outweighs an advert's tags before it. The odds
+    of a furniture name have no bounds: above zero its words are those of plain blocks."""
     prior = _prior(feature)
     odds = float(np.log((inside + PRIOR_ROWS * prior) / (total - inside + PRIOR_ROWS * (1 - prior))))
+    if feature[0] == "f":
+        return odds
     if feature in ("w:furniture", "w:link"):
         return min(max(odds, -0.3), -0.2)
     return min(max(odds, 0.3), 2.0) if feature[0] == "w" else min(max(odds, -1.0), -0.1)
@@ -178,7 +225,7 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
-    sequence = elements(page)
+    sequence = elements(page, frozenset(name[2:] for name, value in weights.items() if name[0] == "f" and value > 0))
     best = total = 0.0
     start = first = end = 0
     for i, (feature, _, count, _) in enumerate(sequence):

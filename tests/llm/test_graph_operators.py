@@ -46,6 +46,27 @@ def test_components(spark, kind):
     assert {r["node"]: r["component"] for r in components(df).collect()} == classes(edges)
 
 
+
+BODY = "<article><h1>Head line</h1><p>Text body of the page</p></article>"
+
+
+@pytest.mark.parametrize("wrapper", ['form id="aspnetForm"', 'div class="has-sidebar"', 'div class="page no-sidebar"', 'div class="overflow-hidden"', 'div class="search-results"', 'div id="site-navigation"'])
+def test_html_article_in_a_furniture_wrapper(wrapper):
+    page = f"<body><{wrapper}><nav><a href=x>Home</a></nav>{BODY}<div class='related'><article><p>other news to read</p></article></div></{wrapper.split()[0]}></body>"
+    assert H.main_text(page, {}) == "Head line Text body of the page"
+    bare = f"<body><{wrapper}><p>Text body of the page</p></{wrapper.split()[0]}></body>"
+    assert H.main_text(bare, {}) == ("" if wrapper.startswith("form") or "search" in wrapper or "navigation" in wrapper else "Text body of the page")
+
+
+def test_html_counted_odds_overrule_the_names(spark):
+    words = " ".join(["some words here"] * 30)
+    labelled = [f"<form id=aspnetForm><nav>menu words</nav><article><p>{words}</p></article></form>"] * 5
+    plain = "<form id=aspnetForm><nav>menu words</nav><div><p>text without a label</p></div></form>"
+    pages = spark.createDataFrame([(i, "u", h, 1, 2) for i, h in enumerate([*labelled, plain])], PAGES)
+    got = {r["page_id"]: r["text"] for r in H.extract_text(pages).collect()}
+    assert got == {**{i: words for i in range(5)}, 5: "text without a label"}
+
+
 # --- URLs -----------------------------------------------------------------------
 
 
