@@ -21,11 +21,14 @@ learned from the others, and by the prior alone if there are none.
 
 Text: character references decoded, white space inside a block turned into one space,
 blocks joined in page order by one space. Inline tags do not part words, block tags and
-line breaks do. Scripts, styles, comments, templates and the head are never text.
+line breaks do. Scripts, styles, comments, templates, titles and drawings are never text; the
+text of formulas (without their source in another notation) and of embedded objects is.
 
 Defined cases: null and empty pages, and pages in which nothing scores above zero, give
-the empty text; unclosed comments and scripts reach to the end of the page; text without
-any markup is one block of content. Further columns are ignored.
+the empty text; unclosed comments and scripts reach to the end of the page, an unclosed
+drawing or formula source to the next block tag, and a self-closed one is empty; the head
+needs no end tag, as nothing in it but what is named above has text; text without any markup
+is one block of content. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,6 +50,11 @@ BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
+HEAD = frozenset("base head link meta".split())
+MATH = frozenset(
+    "maction math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub "
+    "msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
 LEAF = frozenset("br h1 h2 h3 h4 h5 h6 hr p".split())  # blocks that hold no other blocks
 INLINE = frozenset("a abbr b cite code em i img q s small span strong sub sup time u wbr".split())
 FURNITURE_TAGS = frozenset("aside button dialog fieldset footer form header menu nav select".split())
@@ -62,10 +70,12 @@ FURNITURE_STEMS = ("advert", "comment", "cookie", "navig", "newsletter", "sideba
 PRIOR_ROWS = 50.0
 _PRIOR = {"text": 0.85, "link": 0.5, "furniture": 0.02, "inline": 0.6, "block": 0.35, "container": 0.2}
 
+_BREAKOUT = "|".join(sorted(BLOCK | {"math"}, key=lambda name: (-len(name), name)))
 _TOKEN = re.compile(
     r"<!--(?:.*?--!?>|.*\Z)"
-    r"|<(script|style|template|noscript|title|textarea|iframe|svg|math|object|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>"
+    r"|<(script|style|template|noscript|title|textarea|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)"
+    rf"|<(?P<drawing>svg|annotation(?:-xml)?)(?=[\s/>])(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=drawing)\s*>|(?=</?(?:{_BREAKOUT})\b)|\Z))"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -129,13 +139,15 @@ def _elements(page: str, harmless: frozenset[str], names: Counter | None, reset:
         if match.start() > last:
             words(page[last : match.start()])
         last = match.end()
-        name = match.group(3)
+        name = match["name"]
         if name is None:
-            if match.group(1):
+            if match["drawing"]:
+                out.append(("t:drawing", "", 0, bool(stack) and stack[-1][2]))
+            elif match.group(1):
                 out.append(("t:raw", "\n", 0, bool(stack) and stack[-1][2]))
             continue
         name = name.lower()
-        closing = bool(match.group(2))
+        closing = bool(match["end"])
         content = bool(stack) and stack[-1][2]
         if name == "a":
             link = not closing
@@ -160,11 +172,12 @@ def _elements(page: str, harmless: frozenset[str], names: Counter | None, reset:
                             furniture = 0 if furniture <= reset else furniture
                         stack.append((name, furniture, True, marks))
                     else:
-                        found = furniture_names(name, match.group(4), content)
+                        found = furniture_names(name, match["attributes"], content)
                         stack.append((name, furniture + bool(found - harmless), content, marks if content else marks | found))
             out.append((f"t:{name}", "\n", 0, inside))
         else:
-            out.append((f"t:{name if name in INLINE else 'other'}", "", 0, content))
+            kind = name if name in INLINE else "head" if name in HEAD else "math" if name in MATH else "other"
+            out.append((f"t:{kind}", "", 0, content))
     if last < len(page):
         words(page[last:])
     return out, least or 0
@@ -197,7 +210,7 @@ def _prior(feature: str) -> float:
         return _PRIOR["furniture"]
     if kind == "w":
         return _PRIOR.get(name, _PRIOR["text"])
-    if name in INLINE or name in LEAF:
+    if name in INLINE or name in LEAF or name in ("math", "drawing"):
         return _PRIOR["inline"]
     return _PRIOR["block"] if name in ("li", "td", "tr", "th", "blockquote", "pre", "dd", "dt") else _PRIOR["container"]
 

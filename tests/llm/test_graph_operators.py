@@ -67,6 +67,19 @@ def test_html_counted_odds_overrule_the_names(spark):
     assert got == {**{i: words for i in range(5)}, 5: "text without a label"}
 
 
+def test_html_head_and_drawings_end_where_they_end():
+    cases = {
+        f"<html><head><title>t</title><meta charset=utf-8><body>{BODY}</body></html>": "Head line Text body of the page",
+        f"<html><head><title>t</title><link rel=x href=y><script>var a = '<p>';</script>{BODY}": "Head line Text body of the page",
+        '<p>a<svg class="i"/>b</p>': "ab",
+        "<article><p>before <svg viewBox='0 0 1 1' /> after</p><svg><text>no</text></svg><p>last</p></article>": "before after last",
+        "<article><p>before <svg><path d='m0'><text>no</text></p><p>last words of it</p></article>": "before last words of it",
+        "<article><p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding='tex'>x=1</annotation></semantics></math> holds<math/> always</p></article>": "so x=1 holds always",
+        "<article><p>see <object data='a.pdf'>the printed page</object> for more</p></article>": "see the printed page for more",
+    }
+    assert [H.main_text(page, {}) for page in cases] == list(cases.values())
+
+
 # --- URLs -----------------------------------------------------------------------
 
 
