@@ -8,8 +8,10 @@ verdict is allow.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, fits no rule
 and has no aliases; a null page has no links; equal URLs on several pages are one node;
-relative link targets other than root-relative ones are ignored; an empty table gives
-no rows; further columns of the input are ignored.
+link targets are decoded (decimal, hexadecimal and the common named references), cut at
+their quotes and resolved against the page's URL, whatever their form; other schemes without
+``//`` (mailto:, javascript:) lead nowhere; an empty table gives no rows; further columns of
+the input are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +31,13 @@ RULES = (
 MAX_RULES = 256
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>;]+)"""
+# attribute values with their quotes, so that a quoted one may hold what ends an unquoted one
+_VALUE = r"""("[^"]*"|'[^']*'|["']?[^\s>"'][^\s>]*)"""
+_CANONICAL = rf"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?(?<![\w-])href\s*=\s*{_VALUE}"""
+_REFRESH = rf"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?(?<![\w-])content\s*=\s*{_VALUE}"""
+# what a refresh leads to: its own quotes end it, or else the end of the value
+_REFRESH_URL = r"""(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*(?:"([^"]*)|'([^']*)|(.*))"""
+_REFERENCES = (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("nbsp", " "), ("amp", "&"))
 
 
 def host_of(url: Column) -> Column:
@@ -61,14 +68,57 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return chosen
 
 
+def _decoded(value: Column) -> Column:
+    """``value`` without its quotes, character references decoded from left to right."""
+    bare = F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$|^["']""", "$2")
+    names = "|".join(name for name, _ in _REFERENCES)
+    # each part but the first had an ampersand before it
+    parts = F.split(bare, "&")
+    reference = rf"(?s)^(?:#([0-9]{{1,7}});?|#[xX]([0-9a-fA-F]{{1,6}});?|({names})(?:;|(?![A-Za-z0-9=])))(.*)$"
+
+    def found(part: Column, group: int) -> Column:
+        return F.regexp_extract(part, reference, group)
+
+    def decoded(part: Column) -> Column:
+        code = F.coalesce(F.when(found(part, 1) != "", found(part, 1).cast("int")), F.conv(F.when(found(part, 2) != "", found(part, 2)), 16, 10).cast("int"))
+        named = F.lit(None).cast("string")
+        for name, sign in _REFERENCES:
+            named = F.when(found(part, 3) == name, F.lit(sign)).otherwise(named)
+        # Spark's chr() knows one byte only: other characters are decoded from UTF-32
+        sign = F.coalesce(named, F.when(code.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+        return F.when(sign.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(sign, found(part, 4)))
+
+    return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that starts with ``/``, its ``.`` and ``..`` parts taken away."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, part: F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(part == ".", done).otherwise(F.concat(done, F.array(part))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+
+
 def _target(link: Column, url: Column) -> Column:
-    """Absolute form of a link found on a page: absolute, scheme- or root-relative."""
+    """Absolute form of a link found on a page."""
+    link = F.regexp_replace(F.regexp_replace(link, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    site = F.concat(scheme, F.lit("://"), host_of(url))
+    page = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
+    path, query = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(page, r"(?s)^(.*/)", 1)
     return (
-        F.when(link == "", F.lit(None))
+        F.when((link == "") | link.startswith("#"), F.lit(None))
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), link))
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (host_of(url) == ""), F.lit(None))
+        .when(link.startswith("/"), F.concat(site, _without_dots(path), query))
+        .when(path == "", F.concat(site, page, query))
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, path)), query))
     )
 
 
@@ -80,12 +130,14 @@ def page_links(pages: DataFrame, rules=RULES) -> DataFrame:
         host_of(url).alias("host"),
         path_of(url).alias("path"),
         node_of(url).alias("node"),
-        F.array_compact(
-            F.array(
-                *(node_of(_target(F.replace(F.regexp_extract("html", p, 1), F.lit("&amp;"), F.lit("&")), url)) for p in (_CANONICAL, _REFRESH))
-            )
-        ).alias("targets"),
+        F.regexp_extract("html", _CANONICAL, 1).alias("_canonical"),
+        F.regexp_extract("html", _REFRESH, 1).alias("_refresh"),
+        "url",
     )
+    rows = rows.withColumns({name: _decoded(F.col(name)) for name in ("_canonical", "_refresh")})
+    rows = rows.withColumn("_refresh", F.concat(*(F.regexp_extract("_refresh", _REFRESH_URL, i) for i in (1, 2, 3))))
+    targets = F.array_compact(F.array(*(node_of(_target(F.col(name), url)) for name in ("_canonical", "_refresh"))))
+    rows = rows.withColumn("targets", targets)
     decided = rows.withColumn("_r", matching_rule(F.col("host"), F.col("path"), rules))
     return decided.select("page_id", "host", "path", "_r.rule", "_r.verdict", "node", "targets")
 

@@ -11,7 +11,7 @@ import pytest
 from flowloom.llm import html_text as H
 from flowloom.llm import near_dedup as N
 from flowloom.llm.common import components
-from flowloom.llm.url_filter import judge_pages
+from flowloom.llm.url_filter import judge_pages, page_links
 from flowloom.llm.vector_neighbours import linked_pairs, near_vectors
 from tests.conftest import SMALL
 
@@ -127,6 +127,32 @@ def test_url_rules_and_aliases(spark):
     assert judge_pages(pages.limit(0)).count() == 0
 
 
+def test_url_targets_are_decoded_whole_and_resolved(spark):
+    def refresh(content):
+        return f'<head><meta http-equiv="refresh" content="{content}"></head>'
+
+    cases = [
+        (refresh("0; url=http://a.com/x?p=1&amp;q=2"), ["a.com/x?p=1&q=2"]),
+        (refresh("0;URL='http://a.com/x;jsessionid=5?p=1'"), ["a.com/x;jsessionid=5?p=1"]),
+        (refresh("0; url=http://a.com/?x=1&#38;y=&#x32;&copy=3&ampx=4"), ["a.com/?x=1&y=2&copy=3&ampx=4"]),
+        ("<meta http-equiv=refresh content=0;url='/m;n'>", ["h.com/m;n"]),
+        (refresh("5"), []),
+        (refresh("0; url=page2.html"), ["h.com/d/page2.html"]),
+        (refresh("0; url=../x"), ["h.com/x"]),
+        (refresh("0; url=?id=1"), ["h.com/d/p?id=1"]),
+        ("<link rel=canonical href=./a/../../../b/./c/..>", ["h.com/b/"]),
+        ('<link rel="canonical" href="page 2?u=/x/../y#f">', ["h.com/d/page 2?u=/x/../y"]),
+        ('<link rel="canonical" href="mailto:me@h.com">', []),
+        ('<link rel="canonical" href="/k&#233;">' + refresh("0; url=//I.com/"), ["h.com/k\u00e9", "i.com/"]),
+    ]
+    pages = spark.createDataFrame([(i, "http://H.com/d/p?q=1", h, 1, 2) for i, (h, _) in enumerate(cases)], PAGES)
+    got = {r["page_id"]: r["targets"] for r in page_links(pages).collect()}
+    assert got == {i: targets for i, (_, targets) in enumerate(cases)}
+    rows = [(1, "http://a.com/d/1", refresh("0; url=../x?p=1&amp;q=2")), (2, "http://a.com/x?p=1&q=2", '<link rel="canonical" href="http://spam.net/;s=1">')]
+    judged = judge_pages(spark.createDataFrame([(*r, 1, 2) for r in rows], PAGES))
+    assert {r["page_id"]: r["verdict"] for r in judged.collect()} == {1: "block", 2: "block"}
+
+
 def test_url_plan_has_no_python(spark):
     plan = judge_pages(spark.read.parquet(f"{SMALL}/pages.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
