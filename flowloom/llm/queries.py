@@ -8,12 +8,15 @@ from flowloom.llm.common import table
 from flowloom.llm.decontamination import contaminated
 from flowloom.llm.html_text import extract_text
 from flowloom.llm.language_id import identify_languages, learn_languages
+from flowloom.llm.lexical_search import search
 from flowloom.llm.near_dedup import near_duplicates
 from flowloom.llm.packing import pack_documents
 from flowloom.llm.quality import fit_quality, score_quality
+from flowloom.llm.source_mix import mix_sources
 from flowloom.llm.token_counts import prefix_counts
 from flowloom.llm.toxicity import fit_toxicity, grade_toxicity
 from flowloom.llm.url_filter import judge_pages
+from flowloom.llm.vector_codes import compress_vectors
 from flowloom.llm.vector_neighbours import near_vectors
 from flowloom.session import configure
 
@@ -83,6 +86,21 @@ def op6_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return contaminated(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
 
+@_register
+def op11_source_mix(spark: SparkSession, root: str) -> DataFrame:
+    return mix_sources(table(spark, root, "documents"))
+
+
+@_register
+def op12_vector_codes(spark: SparkSession, root: str) -> DataFrame:
+    return compress_vectors(table(spark, root, "embeddings"))
+
+
+@_register
+def op13_lexical_search(spark: SparkSession, root: str) -> DataFrame:
+    return search(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
 # --- SQL, where it can state the result ------------------------------------------
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -127,3 +145,36 @@ edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.l
 {_REACH}, least_ AS (SELECT n, min(m) AS m FROM reach GROUP BY n), counted AS (SELECT a, count(*) AS links FROM edges GROUP BY a)
 SELECT vec_id, coalesce(links, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
 FROM embeddings LEFT JOIN least_ ON vec_id = n LEFT JOIN counted ON vec_id = a"""
+
+
+def _assigned(round_: int) -> str:
+    """Every part with the nearest entry of the codebooks of a round."""
+    return f"""a{round_} AS MATERIALIZED (SELECT r, p, any_value(v) AS v, min({{'d': list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i]))), 'e': e}}) AS best
+ FROM parts JOIN b{round_} USING (p) GROUP BY r, p)"""
+
+
+def _averaged(round_: int) -> str:
+    """Codebooks of the next round."""
+    return f"""m{round_} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, best.e AS e, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n, (s - ((s % n) + n) % n) // n AS m
+ FROM a{round_}, range(1, len(v) + 1) t(i) GROUP BY p, best.e, i) GROUP BY p, e),
+b{round_ + 1} AS MATERIALIZED (SELECT b{round_}.p, b{round_}.e, coalesce(m{round_}.c, b{round_}.c) AS c FROM b{round_} LEFT JOIN m{round_} USING (p, e))"""
+
+
+ORACLES["op12_vector_codes"] = f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, vec_id, p, q[1 + p * (len(q) // 16) : (p + 1) * (len(q) // 16)] AS v FROM kept, range(16) t(p)),
+b0 AS MATERIALIZED (SELECT p, e, v AS c FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < 64),
+{_assigned(0)}, {_averaged(0)}, {_assigned(1)}, {_averaged(1)}, {_assigned(2)},
+coded AS (SELECT r, string_agg(printf('%02x', CAST(best.e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+ (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256 FROM kept JOIN coded USING (r)"""
+
+ORACLES["op13_lexical_search"] = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+sizes AS (SELECT r, doc_id, len(ts) AS n_terms FROM d WHERE len(ts) > 0), held AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t),
+whole AS (SELECT count(*) AS docs, CAST(sum(n_terms) AS BIGINT) AS terms FROM sizes),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM held GROUP BY t), whole),
+wanted AS (SELECT DISTINCT item_id, text, t FROM (SELECT item_id, text, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)),
+scored AS (SELECT item_id, text, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n_terms * docs) // terms))))) AS BIGINT) AS score
+ FROM wanted JOIN weights USING (t) JOIN held USING (t) JOIN sizes USING (r), whole GROUP BY item_id, text, r, doc_id),
+placed AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM placed WHERE rank <= 10"""
