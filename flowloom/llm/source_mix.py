@@ -10,8 +10,8 @@ what they were, and no word owed is lost, so a source's words stay at its target
 The pairs form a tree. Documents of a source are dealt to groups by a hash of their id;
 a group folds its documents one after another into one that is still owed a fraction,
 and those of all groups are dealt to groups again, until a source has few left. Groups
-hold documents of like size (within a factor of two), and of each size a few documents are
-held back from the tree. At the root of a source's tree one document is left; it is paired
+hold documents of like size (within a factor of two), and of each size some documents, 16
+to 512, are held back from the tree. At the root of a source's tree one document is left; it is paired
 with all those held back, taken together, and then each of them, by descending size, with
 those after it. They are owed the same fraction, and go on sharing one, so this is the
 same rule with a pool as partner: words move until the document or the pool is owed none
@@ -32,7 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import stage
@@ -198,13 +198,17 @@ def round_copies(units: DataFrame, seed: int, group_rows: int = GROUP, last_rows
     """
     kind = units.schema["doc_id"].dataType.simpleString()
     scale = F.length(F.bin("size"))
-    at_scale, _ = stage(units.groupBy("source_no", scale.alias("scale")).agg(F.count("*").alias("n")), "scales")
+    at_scale = units.groupBy("source_no", scale.alias("scale")).agg(F.count("*").alias("n"))
+    # of each size as many as make up for two of the source's longest documents, within bounds
+    longest = F.max("scale").over(Window.partitionBy("source_no"))
+    make_up = F.least(F.lit(last_rows), F.greatest(F.lit(_HELD_BACK), F.pow(F.lit(2.0), longest - F.col("scale") + 1)))
+    at_scale, _ = stage(at_scale.withColumn("_keep", make_up), "scales")
     rows = units.withColumn("scale", scale).join(at_scale, ["source_no", "scale"])
     # a number in [0, 1) per unit and level deals it to a group
     place = F.pmod(F.xxhash64(F.lit(seed), F.lit("deal"), "key"), F.lit(2**31)) / F.lit(float(2**31))
-    rows = rows.withColumn("_held", place * F.col("n") < _HELD_BACK)
+    rows = rows.withColumn("_held", place * F.col("n") < F.col("_keep"))
     rows = rows.withColumn("_group", F.floor(place * F.ceil(F.col("n") / group_rows)))
-    rows, _ = stage(rows.drop("n"), "units")
+    rows, _ = stage(rows.drop("n", "_keep"), "units")
     level, done = rows.where("not _held"), []
     while True:
         folds, _ = stage(_groups(level, [*_SOURCE, "scale", "_group"], ["key"], kind, seed), "folds")

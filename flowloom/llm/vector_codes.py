@@ -78,6 +78,8 @@ def nearest_entries(parts: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np
     those whose search has ended are taken out once they are a fifth of the rest.
     """
     size, width = book.shape
+    if not len(parts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sums = book.sum(axis=1)
     order = np.argsort(sums, kind="stable")
     # an entry beyond reach at either end stands for "none left on this side"
