@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import packets as P
 from flowloom.functions.text import flow_name
-from flowloom.operators.ranking import block_bucket, first_rows, ranked, time_bucket
+from flowloom.operators.ranking import BUCKET_ROWS, block_bucket, bounded_buckets, first_rows, long_digits, ranked
 from flowloom.profiles import FlowProfile
 
 FLOW_KEY = ["capture_id", "proto", "ep_a", "port_a", "ep_b", "port_b"]
@@ -90,19 +90,27 @@ def first_packets(
     return cut
 
 
+def time_positions(tie: str = "pkt_no") -> list[Column]:
+    """Place of a packet in time order as digits, coarse to fine; ``tie`` decides within a microsecond."""
+    return [*long_digits(P.micros("ts")), *long_digits(F.col(tie).cast("bigint"))]
+
+
 def number_packets(
-    keyed: DataFrame, profile: FlowProfile, block_rows: int = 65536, slice_seconds: float = 60.0
+    keyed: DataFrame,
+    profile: FlowProfile,
+    rows: int = BUCKET_ROWS,
+    group: Sequence[str] = tuple(FLOW_KEY),
+    rank: str = "pkt_seq",
 ) -> DataFrame:
-    """Position of every packet in its flow, for flows of any length.
+    """Position of every packet in its flow, for flows of any length and density.
 
-    The work is split into blocks of positions or slices of time, so the longest
-    flow costs one task no more than what a link carries in ``slice_seconds``.
+    The work is split into blocks of positions or stretches of time of at most ``rows``
+    packets of a flow, however many of them a second holds.
     """
     if profile.time_ordered:
-        bucket = time_bucket(P.micros("ts"), slice_seconds)
-    else:
-        bucket = block_bucket("pkt_no", block_rows)
-    return ranked(keyed, FLOW_KEY, profile.order, bucket, "pkt_seq")
+        cut = bounded_buckets(keyed, group, time_positions(), rows)
+        return ranked(cut, group, profile.order, F.col("_radix"), rank).drop("_radix")
+    return ranked(keyed, group, profile.order, block_bucket("pkt_no", rows), rank)
 
 
 def at_least(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:

@@ -12,6 +12,9 @@ from flowloom.session import staged
 
 Window = w.Window
 
+# rows of a group that are sorted in one task
+BUCKET_ROWS = 1_000_000
+
 
 def hash_key(seed: int | Column, row_id: str | Column) -> Column:
     """Reproducible pseudo-random order key: md5 of "seed:id"."""
@@ -22,7 +25,7 @@ def hash_key(seed: int | Column, row_id: str | Column) -> Column:
 
 def hash_bucket(key: str | Column) -> Column:
     """First three hex digits: 4096 equal slices in key order."""
-    return F.substring(F.col(key) if isinstance(key, str) else key, 1, 3)
+    return hex_digits(key, 1)[0]
 
 
 def block_bucket(position: str | Column, rows: int = 65536) -> Column:
@@ -42,8 +45,54 @@ def range_bucketed(df: DataFrame, order: Sequence[str], bucket: str = "_range")
     return staged(ranged, "ranges")
 
 
-def time_bucket(ts_micros: Column, seconds: float) -> Column:
-    return F.floor(ts_micros / F.lit(int(seconds * 1_000_000)))
+def long_digits(value: Column) -> list[Column]:
+    """A 64-bit integer as four digits, coarse to fine: the top 28 bits, then 12 each.
+
+    Of a time in microseconds the first digit is 19 hours, the second 17 seconds,
+    the third 4 milliseconds.
+    """
+    parts = [F.shiftright(value, 12 * k) for k in (3, 2, 1, 0)]
+    return [parts[0], *[p.bitwiseAND(F.lit(4095)) for p in parts[1:]]]
+
+
+def hex_digits(key: str | Column, digits: int = 4) -> list[Column]:
+    """A hexadecimal key as digits of three characters, 4096 values each."""
+    column = F.col(key) if isinstance(key, str) else key
+    return [F.substring(column, 1 + 3 * k, 3) for k in range(digits)]
+
+
+def bounded_buckets(
+    df: DataFrame,
+    group: Sequence[str],
+    digits: Sequence[Column],
+    rows: int = BUCKET_ROWS,
+    bucket: str = "_radix",
+) -> DataFrame:
+    """``df`` with a bucket of at most ``rows`` rows of its group, not decreasing along ``digits``.
+
+    ``digits`` tell the position of a row, coarse to fine. Rows are counted by group and
+    first digit; only where a count exceeds ``rows`` is the next digit looked at, and so
+    on, so a group of ordinary size costs one counter and a crowded stretch of any group,
+    however short, is cut until it fits. Counts are combined before they are shuffled, and
+    what is joined back are the crowded prefixes alone. Rows that agree in all digits
+    stay together. Null positions are a bucket of their own, which is not cut.
+    """
+    names = [f"_digit{k}" for k in range(len(digits))]
+    out = df.withColumn("_group", F.struct(*group) if group else F.struct(F.lit(0)))
+    out = out.withColumn(names[0], digits[0])
+    inside = out
+    used = 1
+    while used < len(digits):
+        prefix = ["_group", *names[:used]]
+        sizes = inside.groupBy(*prefix).agg(F.count(F.lit(1)).alias("_n"))
+        crowded = staged(sizes.where(F.col("_n") > rows).select(*prefix, F.lit(True).alias("_crowded")), "crowded")
+        if crowded.isEmpty():
+            break
+        out = out.join(crowded, prefix, "left").withColumn(names[used], F.when(F.col("_crowded"), digits[used]))
+        out = out.drop("_crowded")
+        used += 1
+        inside = out.where(F.col(names[used - 1]).isNotNull())
+    return out.withColumn(bucket, F.struct(*names[:used])).select(*df.columns, bucket)
 
 
 def ranked(

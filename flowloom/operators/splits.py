@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.stats import percent_of
 from flowloom.operators import labels as L
-from flowloom.operators.ranking import hash_bucket, hash_key, range_bucketed, ranked
+from flowloom.operators.ranking import BUCKET_ROWS, bounded_buckets, hash_key, hex_digits, range_bucketed, ranked
 from flowloom.session import staged
 
 
@@ -42,36 +42,56 @@ def _hash_split(
     seed: int | Column,
     row_id: str,
     choose: Callable[[Column, Column], Column],
+    rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Split by place in the random order, without sorting the rows.
 
     ``choose(rank, size)`` must be constant but for a few cuts. Rows are counted per
     slice of the order; a slice whose first and last rows get the same split is decided
-    as a whole. Only the slices in which a cut falls, two per group at most, are ranked.
+    as a whole. The slices in which a cut falls, two per group at most, are counted again
+    by further digits of the order while they hold more than ``rows`` rows, and what is
+    then left of them is ranked.
     """
     samples = samples.drop("split")
-    digits = 3 if group else 4
-    keyed = samples.withColumn("_key", hash_key(seed, row_id)).withColumn("_slice", F.substring("_key", 1, digits))
+    keyed = samples.withColumn("_key", hash_key(seed, row_id))
     # structs compare null fields as equal, so a null group is one like any other
     keyed = keyed.withColumn("_group", F.struct(*group) if group else F.struct(F.lit(0)))
-    whole = Window.partitionBy("_group")
-    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = (
-        keyed.groupBy("_group", "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .withColumn("_size", F.sum("_n").over(whole))
-    )
-    first, last = F.col("_before") + 1, F.col("_before") + F.col("_n")
-    size = F.col("_size")
-    sure = F.when(choose(first, size) == choose(last, size), choose(first, size))
-    slices = staged(counts.select("_group", "_slice", "_before", "_size", sure.alias("split")), "slices")
-    placed = keyed.join(slices, ["_group", "_slice"])
-    inside = Window.partitionBy("_group", "_slice").orderBy("_key", row_id)
-    rank = F.col("_before") + F.row_number().over(inside)
-    cut = placed.filter(F.col("split").isNull()).withColumn("_rank", rank).withColumn("split", choose(F.col("_rank"), size))
+    digits = hex_digits("_key", 5)
     out = [*samples.columns, "split"]
-    return placed.filter(F.col("split").isNotNull()).select(*out).unionByName(cut.select(*out))
+    prefix, open_rows, result = ["_group"], keyed, None
+    while True:
+        name = f"_slice{len(prefix)}"
+        cut = open_rows.withColumn(name, digits[len(prefix) - 1])
+        slices = staged(_slices(cut, prefix, name, choose, len(prefix) == 1), "slices")
+        prefix = [*prefix, name]
+        placed = cut.drop("_base", "_size").join(slices.drop("_n"), prefix)
+        decided = placed.filter(F.col("split").isNotNull()).select(*out)
+        result = decided if result is None else result.unionByName(decided)
+        open_rows = placed.filter(F.col("split").isNull())
+        crowded = slices.where(F.col("split").isNull() & (F.col("_n") > rows))
+        if len(prefix) > len(digits) or crowded.isEmpty():
+            break
+        open_rows = open_rows.drop("split")
+    inside = Window.partitionBy(*prefix).orderBy("_key", row_id)
+    rank = F.col("_base") + F.row_number().over(inside)
+    last = open_rows.withColumn("_rank", rank).withColumn("split", choose(F.col("_rank"), F.col("_size")))
+    return result.unionByName(last.select(*out))
+
+
+def _slices(cut: DataFrame, prefix: list[str], name: str, choose, whole_group: bool) -> DataFrame:
+    """Per slice the rows before it, the size of its group, and its split if it has one."""
+    parent = Window.partitionBy(*prefix)
+    earlier = parent.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    counts = [F.count(F.lit(1)).alias("_n")]
+    if not whole_group:
+        counts += [F.min("_base").alias("_start"), F.min("_size").alias("_size")]
+    sized = cut.groupBy(*prefix, name).agg(*counts)
+    if whole_group:
+        sized = sized.withColumn("_start", F.lit(0)).withColumn("_size", F.sum("_n").over(parent))
+    sized = sized.withColumn("_base", F.col("_start") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    size = F.col("_size")
+    first, last = choose(F.col("_base") + 1, size), choose(F.col("_base") + F.col("_n"), size)
+    return sized.select(*prefix, name, "_n", "_base", "_size", F.when(first == last, first).alias("split"))
 
 
 def _three_way(train: float, val: float) -> Callable[[Column, Column], Column]:
@@ -177,12 +197,20 @@ def stratified_quotas(classes: DataFrame, val: float, test: float) -> DataFrame:
     return sized.select("label_id", "n", "n_train", "n_val")
 
 
+def _random_ranks(
+    samples: DataFrame, group: Sequence[str], seed: int, row_id: str, rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """``_rank`` of every row in the random order of its group; no task ranks more than ``rows``."""
+    keyed = samples.withColumn("_key", hash_key(seed, row_id))
+    cut = bounded_buckets(keyed, group, hex_digits("_key"), rows)
+    return ranked(cut, group, ["_key", row_id], F.col("_radix"), "_rank").drop("_key", "_radix")
+
+
 def split_stratified(
     samples: DataFrame, val: float = 0.1, test: float = 0.1, seed: int = 42, row_id: str = "sample_id"
 ) -> DataFrame:
     quotas = staged(stratified_quotas(L.class_table(samples), val, test), "quotas")
-    keyed = samples.withColumn("_key", hash_key(seed, row_id))
-    numbered = ranked(keyed, ["label_id"], ["_key", row_id], hash_bucket("_key"), "_rank")
+    numbered = _random_ranks(samples, ["label_id"], seed, row_id)
     split = (
         F.when(F.col("_rank") <= F.col("n_train"), "train")
         .when(F.col("_rank") <= F.col("n_train") + F.col("n_val"), "val")
@@ -191,7 +219,7 @@ def split_stratified(
     return (
         numbered.join(quotas.select("label_id", "n_train", "n_val"), "label_id")
         .withColumn("split", split)
-        .drop("_key", "_rank", "n_train", "n_val")
+        .drop("_rank", "n_train", "n_val")
     )
 
 
@@ -206,11 +234,12 @@ def split_test_first(
     return _hash_split(samples, [], seed, row_id, choose)
 
 
-def batch_ids(samples: DataFrame, batch_size: int, seed: int = 42, row_id: str = "sample_id") -> DataFrame:
+def batch_ids(
+    samples: DataFrame, batch_size: int, seed: int = 42, row_id: str = "sample_id", rows: int = BUCKET_ROWS
+) -> DataFrame:
     """Batch number of every row in the global random order."""
-    keyed = samples.withColumn("_key", hash_key(seed, row_id))
-    numbered = ranked(keyed, [], ["_key", row_id], hash_bucket("_key"), "_rank")
-    return numbered.withColumn("batch_id", F.floor((F.col("_rank") - 1) / batch_size)).drop("_key", "_rank")
+    numbered = _random_ranks(samples, [], seed, row_id, rows)
+    return numbered.withColumn("batch_id", F.floor((F.col("_rank") - 1) / batch_size)).drop("_rank")
 
 
 def split_statistics(split: DataFrame) -> DataFrame:
