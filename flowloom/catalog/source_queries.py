@@ -11,12 +11,14 @@ from flowloom.operators import corpus
 from flowloom.operators import features as X
 from flowloom.operators import labels as L
 from flowloom.operators import splits
+from flowloom.operators.bursts import FLOW_TIMEOUT
 from flowloom.operators.flows import flow_packets
 from flowloom.plans import corpus_features, experiments
 from flowloom.profiles import UNIFIED
 from flowloom.session import staged, staging_path
 from flowloom.sources import captures, datasets, decode, logs
 from flowloom.streaming import bursts as stream_bursts
+from flowloom.streaming.growing import ingest_growing
 from flowloom.streaming.ingest import ingest
 
 # --- capture bytes ---
@@ -219,7 +221,22 @@ _FILES_SQL = """, files AS (SELECT file_id, concat('site', CAST(capture_id % 3 A
     ("packets",),
 )
 def _(q):
-    listed = captures.captures_from_dirs(q.spark, written_captures(q), min_bytes=20480)
+    return _label_sizes(captures.captures_from_dirs(q.spark, written_captures(q), min_bytes=20480))
+
+
+@query(
+    "s1_captures_listed_by_tasks",
+    _BYTES_SQL
+    + _FILES_SQL
+    + "SELECT label, count(*) AS n, CAST(sum(length) AS BIGINT) AS n_bytes FROM files WHERE length >= 20480 GROUP BY label",
+    ("packets",),
+)
+def _(q):
+    root = written_captures(q)
+    return _label_sizes(captures.captures_from_dirs(q.spark, root, 20480, captures.list_tree))
+
+
+def _label_sizes(listed):
     return listed.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.sum("length").cast("bigint").alias("n_bytes")
     )
@@ -262,6 +279,16 @@ def _(q):
     return _traffic(q.spark.read.parquet(out))
 
 
+@query("r3_growing_captures", _BYTES_SQL + _TRAFFIC_SQL, ("packets",))
+def _(q):
+    """The same packets from a stream of byte ranges; the second run finds that nothing has grown."""
+    root = written_captures(q)
+    out, checkpoint = staging_path(q.spark, "grown"), staging_path(q.spark, "grown-checkpoint")
+    for _run in range(2):
+        ingest_growing(q.spark, root, out, checkpoint, with_bytes=False, chunk_bytes=32 * 1024).awaitTermination()
+    return _traffic(q.spark.read.parquet(out))
+
+
 # --- captures to features and experiments ---
 
 _FILE_FLOWS = (
@@ -623,16 +650,25 @@ def _(q):
 # --- streams ---
 
 
-@query(
-    "r1_stream_bursts",
-    """WITH marked AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY flow_id ORDER BY ts, pkt_id) >= 1800000000 THEN 1 ELSE 0 END AS fresh FROM flow_packets),
+_STREAMED = """WITH marked AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY flow_id ORDER BY ts, pkt_id) >= {gap} THEN 1 ELSE 0 END AS fresh FROM flow_packets),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY flow_id ORDER BY ts, pkt_id ROWS UNBOUNDED PRECEDING) AS burst FROM marked),
 bursts AS (SELECT flow_id, burst, count(*) AS n_packets, CAST(sum(frame_len) AS BIGINT) AS n_bytes, max(epoch_us(ts)) AS last_us FROM numbered GROUP BY flow_id, burst)
-SELECT flow_id, n_packets, n_bytes, last_us FROM bursts""",
-    ("flow_packets",),
-)
+SELECT flow_id, n_packets, n_bytes, last_us FROM bursts"""
+
+
+@query("r1_stream_bursts", _STREAMED.format(gap=1800000000), ("flow_packets",))
+def _(q):
+    """Bursts at a 30-minute gap: those the watermark closed on a stream, and those still in its state."""
+    return _streamed(q, 1800.0)
+
+
+@query("r2_stream_flow_timeout", _STREAMED.format(gap=60000000), ("flow_packets",))
 def _(q):
-    """Bursts at a 30-minute gap: those the watermark closed on a stream, then the open ones."""
+    """Flows ended by a minute of silence, on a stream."""
+    return _streamed(q, FLOW_TIMEOUT)
+
+
+def _streamed(q, gap):
     events = q.table("events")
     stream = (
         q.spark.readStream.schema(events.schema)
@@ -643,7 +679,7 @@ def _(q):
     sql = VIEWS["packets"].sql.replace("FROM events)", "FROM streamed_events)")
     rows = q.spark.sql(sql).withColumnRenamed("pkt_id", "pkt_no")
     packets = flow_packets(rows.withColumn("ts", F.col("ts").cast("timestamp")), UNIFIED)
-    out = stream_bursts.stream_bursts(packets, 1800.0, late="0 seconds")
+    out = stream_bursts.stream_bursts(packets, gap, late="0 seconds")
     path, checkpoint = staging_path(q.spark, "bursts"), staging_path(q.spark, "bursts-checkpoint")
     job = (
         out.writeStream.format("parquet")
@@ -653,7 +689,7 @@ def _(q):
     )
     job.awaitTermination()
     closed = q.spark.read.schema(out.schema).parquet(path)
-    done = closed.unionByName(stream_bursts.closing_bursts(q.keyed(), closed, 1800.0))
+    done = closed.unionByName(stream_bursts.open_bursts(q.spark, checkpoint))
     return done.select(flow_key_id(), *big("n_packets", "n_bytes"), F.unix_micros("last_ts").alias("last_us"))
 
 

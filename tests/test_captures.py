@@ -13,6 +13,7 @@ from flowloom.plans.corpus_features import corpus_features
 from flowloom.profiles import PROCESSOR_STATS, UNIFIED, FlowProfile
 from flowloom.sources import captures as C
 from flowloom.sources import decode as D
+from flowloom.streaming import growing as G
 from flowloom.streaming.ingest import ingest
 from tests import capture_files as W
 
@@ -214,6 +215,22 @@ def test_ablation_tree(spark, tmp_path):
     ]
 
 
+def test_tree_listed_by_tasks(spark, tmp_path):
+    """Level by level, the same files as the file source lists, hidden names left out."""
+    for i in range(300):
+        folder = tmp_path / f"site {i % 9}" / f"day={i % 4}" / ("deep/er" if i % 50 == 0 else "")
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{i}.{'pcap' if i % 3 else 'txt'}").write_bytes(b"x" * (i + 1))
+    for hidden in ("_temporary/1.pcap", ".git/2.pcap", "site 1/_3.pcap", "empty folder/.4.pcap"):
+        (tmp_path / hidden).parent.mkdir(exist_ok=True)
+        (tmp_path / hidden).write_bytes(b"y")
+    for glob in (None, "*.pcap", "1?.*"):
+        listed = sorted(map(tuple, C.list_tree(spark, str(tmp_path), glob).collect()))
+        assert listed == sorted(map(tuple, C.list_files(spark, str(tmp_path), glob).collect())) and listed
+    by_tasks = C.captures_from_dirs(spark, str(tmp_path), 10, C.list_tree)
+    assert sorted(map(tuple, by_tasks.collect())) == sorted(map(tuple, C.captures_from_dirs(spark, str(tmp_path), 10).collect()))
+
+
 def test_sample_tree(spark, tmp_path):
     for name in ["train/b/1.json", "train/a/2.pcap", "val/b/3.png", "val/b/ignored.txt"]:
         path = tmp_path / name
@@ -301,6 +318,53 @@ def test_incremental_ingest_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, stream.collect()), key=repr) == sorted(map(tuple, batch.collect()), key=repr)
 
 
+@pytest.mark.parametrize("with_bytes", [True, False])
+def test_growing_captures_resume_inside_files(spark, tmp_path, with_bytes):
+    """Files cut anywhere, also inside a record header, and completed between the runs."""
+    root, out, checkpoint = tmp_path / "in", tmp_path / "out", tmp_path / "check"
+    (root / "deep").mkdir(parents=True)
+    whole = {
+        "a.pcap": W.pcap(talk(300, payload=b"data" * 40), start=1_700_000_000),
+        "deep/b.pcap": W.pcap(talk(180), endian=">", nano=True, start=1_700_000_000),
+        "c.pcapng": W.pcapng(talk(150), start=1_700_000_000),
+        "d.pcap": W.pcap(lookalikes(30)),
+        "other.txt": b"no capture",
+    }
+    for share in (0.0005, 0.31, 0.313, 0.9, 1.0, 1.0):
+        for name, content in whole.items():
+            (root / name).write_bytes(content[: int(len(content) * share)])
+        G.ingest_growing(spark, str(root), str(out), str(checkpoint), with_bytes=with_bytes, chunk_bytes=2500).awaitTermination()
+    got = spark.read.parquet(str(out))
+    assert got.filter("error is not null").count() == 0
+    batch = D.decode_frames(D.frames_from_content(D.captures_with_content(spark, str(root))), with_bytes=with_bytes)
+    columns = [c for c in batch.columns if c != "pkt_no"]
+    assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted(map(tuple, batch.select(*columns).collect()), key=repr)
+    # offsets order the packets of a capture as their numbers do, and nothing is there twice
+    order = lambda rows: [[r.ts for r in sorted(rows, key=lambda r: r.pkt_no) if r.capture_id == c] for c in sorted({r.capture_id for r in rows})]
+    assert order(got.select("capture_id", "pkt_no", "ts").collect()) == order(batch.select("capture_id", "pkt_no", "ts").collect())
+
+
+def test_a_large_growing_capture_is_many_tasks(tmp_path):
+    (tmp_path / "a.pcap").write_bytes(W.pcap(talk(400), start=1_700_000_000))
+    (tmp_path / "b.pcapng").write_bytes(W.pcapng(talk(100)))
+    reader = G.GrowingReader(str(tmp_path), "declared", True, 4000)
+    end = reader.latestOffset()
+    assert {p.rsplit("/", 1)[1] for p in end} == {"a.pcap", "b.pcapng"} and all(p.startswith("file:/") for p in end)
+    parts = reader.partitions({}, end)
+    assert len([p for p in parts if p.path.endswith("a.pcap")]) > 8
+    assert len([p for p in parts if p.path.endswith("b.pcapng")]) == 1
+    read = [sum(b.num_rows for b in reader.read(p)) for p in parts]
+    assert sum(read) == 500 and max(read[:-1]) < 100
+    assert reader.partitions(end, reader.latestOffset()) == []
+
+
+def test_growing_captures_report_what_is_no_capture(spark, tmp_path):
+    (tmp_path / "bad.pcap").write_bytes(b"nothing" * 10)
+    G.ingest_growing(spark, str(tmp_path), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    (row,) = D.capture_errors(spark.read.parquet(str(tmp_path / "out"))).collect()
+    assert row.error == "not a capture file"
+
+
 def test_numeric_and_text_key_order_differ(spark):
     rows = spark.createDataFrame([(1, bytearray(W.pcap(talk(3))))], "capture_id bigint, content binary")
     packets = D.decode_frames(D.frames_from_content(rows))
