@@ -93,6 +93,27 @@ def _(q):
     return _vector(X.flow_statistics(q.keyed(PROCESSOR_STATS), PROCESSOR_STATS))
 
 
+# flows of any length: all packets, and cuts that no array of packets would hold
+@query("g10_stats54_whole_flows", stats54_sql(_FIRST.format(n=10**9), 1, 4), U)
+def _(q):
+    return _vector(X.flow_statistics(q.keyed(), UNIFIED, max_packets=None))
+
+
+@query("g10_stats54_first_million", stats54_sql(_FIRST.format(n=10**6), 1, 4), U)
+def _(q):
+    return _vector(X.flow_statistics(q.keyed(), UNIFIED, max_packets=10**6))
+
+
+@query("g10_stats54_proportional_million", stats54_sql(_SHARE.format(n=10**6), 1, 4), U)
+def _(q):
+    return _vector(X.flow_statistics(q.keyed(), UNIFIED_PROPORTIONAL, max_packets=10**6))
+
+
+@query("g10_stats54_processor_million", stats54_sql(_CLIENT.replace("260", "1000000"), -1, 3), C)
+def _(q):
+    return _vector(X.flow_statistics(q.keyed(PROCESSOR_STATS), PROCESSOR_STATS, max_packets=10**6))
+
+
 def _one_direction(columns):
     """Some statistics of the both-directions block, as their own query."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -49,6 +49,25 @@ def mad_sql(values: str) -> str:
     return f"get(transform(array({median_sql(values)}), m -> {inner}), 0)"
 
 
+def percentile_of_counts(
+    value: str, upto: str, size: str, fraction: float, over: WindowSpec | None = None
+) -> Column:
+    """Linear-interpolation percentile of values given with running counts; null when empty.
+
+    ``upto`` is the number of items up to and with the row's ``value``, ``size`` that of
+    all. An aggregate, or a window function ``over`` a window.
+    """
+    place = (F.col(size) - 1) * F.lit(fraction)
+
+    def at(index: Column) -> Column:
+        found = F.min(F.when((F.col(upto) > index) & (F.col(size) > 0), F.col(value)))
+        return found if over is None else found.over(over)
+
+    low, high = at(F.floor(place)), at(F.ceil(place))
+    whole = F.max(place - F.floor(place)) if over is None else place - F.floor(place)
+    return low + (high - low) * whole
+
+
 def finite_or_zero(x: Column) -> Column:
     """NaN, infinities and null become 0."""
     x = x.cast("double")

@@ -10,7 +10,7 @@ from flowloom.functions import images
 from flowloom.functions import packets as P
 from flowloom.functions import stats as S
 from flowloom.functions.sequences import fixed_length, ordered_values
-from flowloom.operators.flows import FLOW_KEY, at_least, first_packets
+from flowloom.operators.flows import FLOW_KEY, at_least, first_packets, flow_clients, number_packets
 from flowloom.operators.ranking import first_rows
 from flowloom.profiles import FlowProfile
 
@@ -19,6 +19,8 @@ BLOCK_STATS = (
     ["count", "min", "max", "mean", "std", "var", "skew", "kurt", "mad"] + [f"p{p}" for p in DECILES]
 )
 DIRECTIONS = ("in", "out", "bi")
+# above this many packets a flow's lengths are counted, not listed
+LONG_FLOW = 5000
 FEATURE_NAMES = [f"{d}_{s}" for d in DIRECTIONS for s in BLOCK_STATS]
 
 
@@ -89,7 +91,11 @@ def proportional_packets(
         quota_out.alias("_max_out"),
         (F.lit(max_packets) - quota_out).alias("_max_in"),
     )
-    cut = first_rows(keyed, [*FLOW_KEY, "dir"], profile.order, max_packets, "_dir_seq")
+    if max_packets > LONG_FLOW:
+        cut = number_packets(keyed, profile, group=[*FLOW_KEY, "dir"], rank="_dir_seq")
+        cut = cut.filter(F.col("_dir_seq") <= max_packets)
+    else:
+        cut = first_rows(keyed, [*FLOW_KEY, "dir"], profile.order, max_packets, "_dir_seq")
     quota = F.when(out, F.col("_max_out")).otherwise(F.col("_max_in"))
     return (
         cut.join(counts, FLOW_KEY)
@@ -136,13 +142,97 @@ def statistics(cut: DataFrame, profile: FlowProfile, keys: list[str] | None = No
     return grouped.selectExpr("*", *ordered).selectExpr(*keys, *named)
 
 
+def statistics_by_counts(
+    packets: DataFrame, profile: FlowProfile, min_packets: int = 1, keys: list[str] | None = None
+) -> DataFrame:
+    """The 54 columns of `statistics` for flows of any length.
+
+    Lengths are small integers, so a flow is told by how often each occurs: packets are
+    counted by flow and length before anything is shuffled, and from then on a flow has as
+    many rows as it has different lengths. Order statistics are read off running counts;
+    for the median absolute deviation they run once more in order of the distance from
+    the median. No array of a flow's packets is ever built.
+    """
+    keys = keys or FLOW_KEY
+    outgoing = F.coalesce(F.col("dir") == profile.outgoing, F.lit(False))
+    known = F.col("frame_len").isNotNull()
+    rows = packets.groupBy(*keys, F.col("frame_len").cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_packets"),
+        F.count_if(known & ~outgoing).alias("_in"),
+        F.count_if(known & outgoing).alias("_out"),
+        F.count_if(known).alias("_bi"),
+    )
+    flow = Window.partitionBy(*keys)
+    until = (Window.unboundedPreceding, 0)
+    rows = rows.withColumns(
+        {
+            "_total": F.sum("_packets").over(flow),
+            **{f"_{d}_n": F.sum(f"_{d}").over(flow) for d in DIRECTIONS},
+            **{f"_{d}_sum": F.sum(F.col(f"_{d}") * F.col("_v")).over(flow) for d in DIRECTIONS},
+            **{f"_{d}_upto": F.sum(f"_{d}").over(flow.orderBy("_v").rowsBetween(*until)) for d in DIRECTIONS},
+        }
+    ).filter(F.col("_total") >= min_packets)
+    middle = {f"_{d}_mid": S.percentile_of_counts("_v", f"_{d}_upto", f"_{d}_n", 0.5, flow) for d in DIRECTIONS}
+    rows = rows.withColumns(middle)
+    rows = rows.withColumns(
+        {f"_{d}_off": F.when(F.col(f"_{d}") > 0, F.abs(F.col("_v") - F.col(f"_{d}_mid"))) for d in DIRECTIONS}
+    )
+    rows = rows.withColumns(
+        {f"_{d}_near": F.sum(f"_{d}").over(flow.orderBy(f"_{d}_off", "_v").rowsBetween(*until)) for d in DIRECTIONS}
+    )
+    aggregates = [e for d in DIRECTIONS for e in _moments_of_counts(d, profile)]
+    grouped = rows.groupBy(*keys).agg(*aggregates)
+    return grouped.select(*keys, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in FEATURE_NAMES])
+
+
+def _moments_of_counts(name: str, profile: FlowProfile) -> list[Column]:
+    """Aggregates of one direction over rows of a length and how often it occurs."""
+    n, value, times = F.max(f"_{name}_n").cast("double"), F.col("_v"), F.col(f"_{name}")
+    mean = F.try_divide(F.col(f"_{name}_sum"), F.col(f"_{name}_n"))
+    present = F.when(times > 0, value)
+    off = {p: F.try_divide(F.sum(F.when(times > 0, times * F.pow(value - mean, p))), n) for p in (2, 3, 4)}
+    varies = F.min(present) < F.max(present)
+    skew = F.when(varies & (n >= 3), F.try_divide(off[3], F.pow(off[2], 1.5)))
+    kurt = F.when(varies & (n >= profile.kurtosis_min_n), F.try_divide(off[4], off[2] * off[2]) - 3)
+    found = {
+        "count": n,
+        "min": F.min(present),
+        "max": F.max(present),
+        "mean": F.max(mean),
+        "std": F.sqrt(off[2]),
+        "var": off[2],
+        "skew": skew,
+        "kurt": kurt,
+        "mad": S.percentile_of_counts(f"_{name}_off", f"_{name}_near", f"_{name}_n", 0.5),
+        **{f"p{p}": S.percentile_of_counts("_v", f"_{name}_upto", f"_{name}_n", p / 100) for p in DECILES},
+    }
+    return [column.alias(f"{name}_{stat}") for stat, column in found.items()]
+
+
 def flow_statistics(
     keyed: DataFrame,
     profile: FlowProfile,
     min_packets: int = fixed.STATS_MIN,
-    max_packets: int = fixed.STATS_MAX,
+    max_packets: int | None = fixed.STATS_MAX,
 ) -> DataFrame:
-    return statistics(stats_packets(keyed, profile, min_packets, max_packets), profile)
+    """54 columns per flow of at least ``min_packets``, over its first ``max_packets`` or all packets.
+
+    Up to `LONG_FLOW` packets the lengths of a flow are sorted as an array; beyond, and
+    without a limit, they are counted.
+    """
+    if max_packets is None:
+        return statistics_by_counts(keyed, profile, min_packets)
+    if max_packets <= LONG_FLOW:
+        return statistics(stats_packets(keyed, profile, min_packets, max_packets), profile)
+    if profile.proportional:
+        return statistics_by_counts(proportional_packets(keyed, profile, min_packets, max_packets), profile)
+    first = number_packets(keyed, profile).filter(F.col("pkt_seq") <= max_packets)
+    if profile.direction == "client":
+        sender = flow_clients(keyed, profile.order)
+        forward = F.col("src_ip_text") == F.col("client_ip")
+        sign = F.when(forward, F.lit(profile.outgoing)).otherwise(F.lit(-profile.outgoing))
+        first = first.join(sender, FLOW_KEY).withColumn("dir", sign)
+    return statistics_by_counts(first, profile, min_packets)
 
 
 def flow_images(
