@@ -9,9 +9,10 @@ from flowloom.functions import text as X
 from flowloom.operators import corpus, flows, funnel, splits
 from flowloom.operators import labels as L
 from flowloom.operators.ranking import block_bucket, ranked
-from flowloom.session import staged
+from flowloom.session import staged, staging_path
 from flowloom.sources import captures as sources
 from flowloom.sources import datasets
+from flowloom.sources.commits import build_pending, completed_classes, read_committed, write_classes
 
 S = ("samples",)
 
@@ -144,6 +145,17 @@ def _(q):
     return L.not_completed(rows, done).select("sample_id", "label")
 
 
+@query("j6_resume_after_interruption", "SELECT sample_id, label, n_chars FROM samples", S)
+def _(q):
+    """Built in three calls: one ends after two commits, one is lost before its manifest."""
+    path, rows = staging_path(q.spark, "committed"), staged(q.samples(), "samples")
+    build_pending(rows, lambda part: part, path, classes_per_commit=10, max_commits=2)
+    left = L.not_completed(rows, completed_classes(q.spark, path))
+    write_classes(L.first_labels(left, 5).withColumn("n_chars", F.lit(-1)), path)
+    build_pending(rows, lambda part: part, path, classes_per_commit=25)
+    return read_committed(q.spark, path).select("sample_id", "label", "n_chars")
+
+
 # --- label text ---
 
 

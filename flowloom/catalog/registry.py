@@ -80,6 +80,18 @@ class Inputs:
             F.when(F.col("_k") == 0, F.col("_p")).otherwise(1 - F.col("_p")).alias("prob"),
         )
 
+    def many_votes(self) -> DataFrame:
+        """A hundred trees, each with a vector of a thousand probabilities, generated per supplier."""
+        trees = self.table("supplier").select(
+            F.col("s_suppkey").alias("sample_id"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("tree")
+        )
+        first = F.pmod(F.col("sample_id") * 17 + F.pmod(F.col("sample_id") + F.col("tree"), F.lit(3)), F.lit(1000))
+        step = F.pmod(F.col("sample_id") * 7 + F.col("tree") * 3, F.lit(50)).cast("double")
+        sides = trees.withColumn("_a", first).withColumn("_p", F.lit(0.25) + step / 100)
+        sides = sides.withColumn("_b", F.pmod(F.col("_a") + 1 + F.col("tree") % 2, F.lit(1000)))
+        vector = F.expr("transform(sequence(0, 999), c -> CASE WHEN c = _a THEN _p WHEN c = _b THEN 1 - _p ELSE 0D END)")
+        return sides.select("sample_id", "tree", vector.alias("probabilities"))
+
     def history(self) -> DataFrame:
         return self.view("history")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowloom.catalog.registry import big, query, r6
@@ -88,6 +89,18 @@ def _(q):
     return wide.select(*big("label", *[f"pred_{c}" for c in range(N)]))
 
 
+@query(
+    "g21_confusion_matrix_thousand_classes",
+    """WITH n AS (SELECT label, pred, count(*) AS n FROM many_classes GROUP BY label, pred),
+cells AS (SELECT l.i AS label, p.i AS pred, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, 1000)) AS i) l CROSS JOIN (SELECT unnest(range(0, 1000)) AS i) p LEFT JOIN n ON n.label = l.i AND n.pred = p.i)
+SELECT label, string_agg(CAST(n AS VARCHAR), ',' ORDER BY pred) AS counts FROM cells GROUP BY label""",
+    ("many_classes",),
+)
+def _(q):
+    rows = metrics.confusion_rows(metrics.confusion(q.view("many_classes")), 1000)
+    return rows.select(*big("label"), F.array_join(F.transform("counts", lambda n: n.cast("string")), ",").alias("counts"))
+
+
 @query("g22_outcome_counts", _SCORES + "SELECT class_id, tp, fp, fn, tn FROM scores", P)
 def _(q):
     return _scores(q).select(*big("class_id", "tp", "fp", "fn", "tn"))
@@ -275,6 +288,30 @@ def _(q):
     return forest.weighted_vote(*tables, 0.6).select(*big("sample_id", "pred"), F.round("confidence", 9).alias("confidence"))
 
 
+@query(
+    "g35_soft_vote_thousand_classes",
+    _VOTE.format("SELECT sample_id, class_id, round(sum(prob) / 100, 9) AS p FROM many_votes GROUP BY sample_id, class_id"),
+    ("many_votes",),
+)
+def _(q):
+    best = forest.soft_vote_vectors(q.many_votes(), 100)
+    return best.select(*big("sample_id", "pred"), F.round("confidence", 9).alias("confidence"))
+
+
+@query(
+    "g36_weighted_ensemble_thousand_classes",
+    _VOTE.format(
+        """SELECT sample_id, class_id, round(sum(prob * CASE WHEN tree = 0 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END), 9) AS p
+FROM many_votes WHERE tree < 2 GROUP BY sample_id, class_id"""
+    ),
+    ("many_votes",),
+)
+def _(q):
+    first, second = [q.many_votes().filter(F.col("tree") == t) for t in (0, 1)]
+    best = forest.weighted_vote_vectors(first, second, 0.6)
+    return best.select(*big("sample_id", "pred"), F.round("confidence", 9).alias("confidence"))
+
+
 @query(
     "g37_mean_importance",
     "SELECT class_id AS feature, round(avg(prob), 6) AS importance FROM votes GROUP BY class_id",
@@ -358,10 +395,19 @@ def _(q):
     return _split_scores(forest.train_and_score(halves, _COLUMNS, threshold=0.5), "dataset", "split")
 
 
-@query("t5_top_features", "SELECT feature FROM (SELECT 'f0' AS feature, count(*) AS n FROM decided) d", ("decided",))
+@query(
+    "t5_top_features",
+    "SELECT concat('g', CAST(i AS VARCHAR)) AS feature, TRUE AS in_order FROM (SELECT unnest(range(0, 10)) AS i) t WHERE (SELECT count(*) FROM graded) > 0",
+    ("graded",),
+)
 def _(q):
-    model = forest.fit_forest(_labelled(q).filter("split = 'train'"), _COLUMNS)
-    return forest.top_features(forest.feature_importance(model, _COLUMNS), 1).select("feature")
+    """The ten of thirteen columns that follow the label, by descending importance."""
+    columns = [f"g{k}" for k in range(10)] + [f"h{k}" for k in range(3)]
+    rows = staged(split_global(L.encode_labels(q.view("graded"))), "graded")
+    model = forest.fit_forest(rows.filter("split = 'train'"), columns)
+    top = forest.top_features(forest.feature_importance(q.spark, model, columns))
+    after = F.lead("importance").over(Window.orderBy(F.desc("importance"), "feature"))
+    return top.select("feature", F.coalesce(F.col("importance") >= after, F.lit(True)).alias("in_order"))
 
 
 @query(
@@ -370,6 +416,6 @@ def _(q):
 )
 def _(q):
     model = forest.fit_forest(_labelled(q).filter("split = 'train'"), _COLUMNS)
-    mean = forest.mean_importance(forest.tree_importance(model, _COLUMNS)).withColumnRenamed("importance", "mean")
-    both = mean.join(forest.feature_importance(model, _COLUMNS), "feature")
+    mean = forest.mean_importance(forest.tree_importance(q.spark, model, _COLUMNS)).withColumnRenamed("importance", "mean")
+    both = mean.join(forest.feature_importance(q.spark, model, _COLUMNS), "feature")
     return both.select("feature", (F.abs(F.col("mean") - F.col("importance")) < 1e-9).alias("as_in_model"))

@@ -105,6 +105,32 @@ SELECT event_id AS sample_id, event_type AS label, CAST(user_id % 2 AS INT) AS d
  value AS f1, CAST(user_id AS DOUBLE) AS f2, CAST(event_id % 13 AS DOUBLE) AS f3, CAST(7 AS DOUBLE) AS f4 FROM events""",
         tables=("events",),
     ),
+    # ten columns follow the label, three tell nothing
+    "graded": View(
+        "SELECT event_id AS sample_id, event_type AS label, "
+        + ", ".join(
+            f"CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 10 WHEN 'purchase' THEN 20 WHEN 'signup' THEN 30 ELSE 40 END + event_id % {5 + k} AS DOUBLE) AS g{k}"
+            for k in range(10)
+        )
+        + ", "
+        + ", ".join(f"CAST({k} AS DOUBLE) AS h{k}" for k in range(3))
+        + " FROM events",
+        tables=("events",),
+    ),
+    # a thousand classes, some of which are predicted one off
+    "many_classes": View(
+        "SELECT o_orderkey AS sample_id, CAST(o_custkey % 1000 AS BIGINT) AS label, CAST((o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) % 1000 AS BIGINT) AS pred FROM orders",
+        tables=("orders",),
+    ),
+    # check-only: a hundred trees, each with two of a thousand classes
+    "many_votes": View(
+        """
+SELECT s_suppkey AS sample_id, tree, (c + k * (1 + tree % 2)) % 1000 AS class_id, CASE WHEN k = 0 THEN p ELSE 1 - p END AS prob
+FROM (SELECT s_suppkey, tree, CAST(s_suppkey * 17 + (s_suppkey + tree) % 3 AS BIGINT) AS c, CAST(0.25 AS DOUBLE) + CAST((s_suppkey * 7 + tree * 3) % 50 AS DOUBLE) / 100 AS p
+ FROM supplier CROSS JOIN (SELECT n_nationkey * 4 + r_regionkey AS tree FROM nation CROSS JOIN region WHERE r_regionkey < 4) t) v
+CROSS JOIN (SELECT r_regionkey AS k FROM region WHERE r_regionkey < 2) kk""",
+        tables=("supplier", "nation", "region"),
+    ),
     # check-only
     "samples": View(
         """

@@ -6,8 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.operators import metrics
@@ -89,20 +90,24 @@ def train_and_score(
     return union_all(results)
 
 
-def feature_importance(model: RandomForestClassificationModel, columns: Sequence[str]) -> DataFrame:
+def feature_importance(
+    spark: SparkSession, model: RandomForestClassificationModel, columns: Sequence[str]
+) -> DataFrame:
     """Normalised mean importance per feature (one row per column)."""
     values = [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())]
-    return SparkSession.builder.getOrCreate().createDataFrame(values, "feature string, importance double")
+    return spark.createDataFrame(values, "feature string, importance double")
 
 
-def tree_importance(model: RandomForestClassificationModel, columns: Sequence[str]) -> DataFrame:
+def tree_importance(
+    spark: SparkSession, model: RandomForestClassificationModel, columns: Sequence[str]
+) -> DataFrame:
     """Normalised importance per tree and feature."""
     values = [
         (i, c, float(v))
         for i, tree in enumerate(model.trees)
         for c, v in zip(columns, tree.featureImportances.toArray())
     ]
-    return SparkSession.builder.getOrCreate().createDataFrame(values, "tree int, feature string, importance double")
+    return spark.createDataFrame(values, "tree int, feature string, importance double")
 
 
 def top_features(importances: DataFrame, n: int = 10) -> DataFrame:
@@ -145,3 +150,52 @@ def weighted_vote(first: DataFrame, second: DataFrame, weight: float, digits: in
     ]
     total = union_all(scaled).groupBy("sample_id", "class_id").agg(F.sum("prob").alias("prob"))
     return _argmax(total, digits)
+
+
+# --- votes as one probability vector per row, for many classes ---
+
+
+def _vector(df: DataFrame, name: str) -> Column:
+    """The column as a vector; arrays of numbers are taken as one value per class."""
+    return F.col(name) if df.schema[name].dataType.typeName() == "vectorudt" else array_to_vector(name)
+
+
+def _best_class(total: Column, digits: int) -> tuple[Column, Column]:
+    """Position and value of the largest entry; equal entries, once rounded, go to the lower id."""
+    rounded = F.transform(total, lambda p: F.round(p, digits))
+    place = F.array_position(rounded, F.array_max(rounded))
+    return place - 1, F.get(total, (place - 1).cast("int"))
+
+
+def _vector_argmax(totals: DataFrame, digits: int) -> DataFrame:
+    pred, confidence = _best_class(F.col("_total"), digits)
+    return totals.select("sample_id", pred.alias("pred"), confidence.alias("confidence"))
+
+
+def soft_vote_vectors(
+    votes: DataFrame, n_trees: int, digits: int = 9, probabilities: str = "probabilities"
+) -> DataFrame:
+    """`soft_vote` of (sample, tree) rows that hold one probability per class.
+
+    Vectors are added up inside each task before they are shuffled, so a sample costs one
+    row per task however many trees and classes there are. All rows have as many classes.
+    """
+    slim = votes.select("sample_id", _vector(votes, probabilities).alias("_v"))
+    sums = slim.groupBy("sample_id").agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias("_sum"))
+    mean = F.transform("_sum", lambda p: p / n_trees)
+    return _vector_argmax(sums.select("sample_id", mean.alias("_total")), digits)
+
+
+def weighted_vote_vectors(
+    first: DataFrame, second: DataFrame, weight: float, digits: int = 9, probabilities: str = "probabilities"
+) -> DataFrame:
+    """`weighted_vote` of two tables with one row and one probability vector per sample.
+
+    A sample missing from one table counts as probability 0 there.
+    """
+    sides = [
+        df.select("sample_id", _vector(df, probabilities).alias("_v"), F.lit(w).alias("_w"))
+        for df, w in ((first, weight), (second, 1 - weight))
+    ]
+    total = vector_to_array(Summarizer.sum(F.col("_v"), F.col("_w")))
+    return _vector_argmax(union_all(sides).groupBy("sample_id").agg(total.alias("_total")), digits)

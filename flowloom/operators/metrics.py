@@ -37,14 +37,20 @@ def confusion_dense(counts: DataFrame, num_classes: int) -> DataFrame:
     return grid.join(_known_classes(counts, num_classes), ["label", "pred"], "left").fillna({"n": 0})
 
 
+def confusion_rows(counts: DataFrame, num_classes: int) -> DataFrame:
+    """One row per true class with the counts of all predicted classes as an array."""
+    row = F.sort_array(F.collect_list(F.struct("pred", "n")))
+    rows = confusion_dense(counts, num_classes).groupBy("label").agg(row.alias("_row"))
+    return rows.select("label", F.transform("_row", lambda cell: cell["n"]).alias("counts"))
+
+
 def confusion_wide(counts: DataFrame, num_classes: int) -> DataFrame:
-    """One row per true class, one column per predicted class."""
-    columns = [
-        F.sum(F.when(F.col("pred") == c, F.col("n")).otherwise(0)).alias(f"pred_{c}")
-        for c in range(num_classes)
-    ]
-    rows = _known_classes(counts, num_classes).groupBy("label").agg(*columns)
-    return class_skeleton(counts.sparkSession, num_classes, "label").join(rows, "label", "left").fillna(0)
+    """One row per true class, one column per predicted class.
+
+    The columns are entries of one array, so their number does not grow the aggregate.
+    """
+    columns = [F.get("counts", F.lit(c)).alias(f"pred_{c}") for c in range(num_classes)]
+    return confusion_rows(counts, num_classes).select("label", *columns)
 
 
 def outcome_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

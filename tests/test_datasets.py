@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowloom.functions import images as I
@@ -12,7 +16,7 @@ from flowloom.functions import text as X
 from flowloom.operators import corpus, forest, metrics, scaling, splits
 from flowloom.operators import labels as L
 from flowloom.session import staged, staging_root
-from flowloom.sources import datasets, logs
+from flowloom.sources import commits, datasets, logs
 
 
 @pytest.fixture(scope="module")
@@ -279,7 +283,7 @@ def test_forest_learns(spark):
     model = forest.fit_forest(rows.filter("split = 'train'"), ["a", "b"], trees=5, depth=3)
     scored = forest.predict(model, rows, ["a", "b"])
     assert scored.filter("label <> pred").count() == 0
-    top = forest.top_features(forest.feature_importance(model, ["a", "b"]), 1).first()
+    top = forest.top_features(forest.feature_importance(spark, model, ["a", "b"]), 1).first()
     assert top.feature == "a"
 
 
@@ -314,3 +318,106 @@ def test_class_ids_out_of_range_are_an_error(spark):
     for run in (metrics.class_scores, metrics.confusion_dense, metrics.confusion_wide):
         with pytest.raises(Exception, match="not below 3"):
             run(counts, 3).collect()
+
+
+# --- builds that are interrupted ---
+
+
+def built(spark, path):
+    return sorted(map(tuple, commits.read_committed(spark, path).select("label", "v").collect()))
+
+
+@pytest.fixture
+def classes(spark):
+    rows = [(f"c/{i % 7:03d}", i) for i in range(100)] + [("007", 1), (None, 5)]
+    return spark.createDataFrame(rows, "label string, v long")
+
+
+@pytest.mark.parametrize("stop", ["before the rows", "between rows and manifest", "before the manifest is in place"])
+def test_a_build_that_stops_loses_and_doubles_no_class(spark, classes, tmp_path, monkeypatch, stop):
+    path, made = str(tmp_path / "set"), []
+
+    def build(part):
+        made.append(sorted(r.label for r in part.select("label").distinct().collect()))
+        if len(made) == 2 and stop == "before the rows":
+            raise RuntimeError("stopped")
+        return part
+
+    name = "_file_system" if stop == "before the manifest is in place" else "record_commit"
+    real = getattr(commits, name)
+
+    def stopping(*args):
+        after_rename = name == "record_commit" or "/_commits/" in args[1]
+        if len(made) == 2 and stop != "before the rows" and after_rename:
+            raise RuntimeError("stopped")
+        return real(*args)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(commits, name, stopping)
+        with pytest.raises(RuntimeError, match="stopped"):
+            commits.build_pending(classes, build, path, classes_per_commit=3)
+    done = [r.label for r in commits.completed_classes(spark, path).collect()]
+    assert sorted(done) == made[0] and {label for label, _ in built(spark, path)} == set(made[0])
+    assert commits.build_pending(classes, build, path, classes_per_commit=3) == 2
+    assert built(spark, path) == sorted(map(tuple, classes.where("label is not null").collect()))
+    assert sorted(label for part in [made[0], *made[2:]] for label in part) == sorted({r.label for r in classes.collect() if r.label})
+    assert commits.build_pending(classes, build, path) == 0
+
+
+def test_classes_without_rows_are_done(spark, classes, tmp_path):
+    path = str(tmp_path / "set")
+    assert commits.build_pending(classes, lambda part: part.where("v < 0"), path) == 1
+    assert {r.label: r.n for r in commits.completed_classes(spark, path).collect()} == {**{f"c/{i:03d}": 0 for i in range(7)}, "007": 0}
+    assert commits.read_committed(spark, path, classes.schema).collect() == []
+    assert commits.build_pending(classes, lambda part: part, path) == 0
+
+
+def test_a_class_written_again_is_replaced(spark, tmp_path):
+    path = str(tmp_path / "set")
+    for value in (1, 2):
+        commits.write_classes(spark.createDataFrame([("a", value), (f"only {value}", 0)], "label string, v long"), path)
+    rows = spark.read.parquet(path).select("label", "v").collect()
+    assert sorted(map(tuple, rows)) == [("a", 2), ("only 1", 0), ("only 2", 0)]
+
+
+# --- many classes ---
+
+
+def test_votes_as_vectors_equal_votes_as_rows(spark):
+    rng = random.Random(9)
+    rows = [(s, t, [round(rng.random(), 3) if rng.random() < 0.3 else 0.0 for _ in range(40)]) for s in range(12) for t in range(5)]
+    rows += [(99, t, [0.25] * 40) for t in range(5)]  # equal everywhere: the lower id
+    wide = spark.createDataFrame(rows, "sample_id long, tree int, probabilities array<double>").repartition(7)
+    long = wide.select("sample_id", "tree", F.posexplode("probabilities").alias("class_id", "prob"))
+    key = lambda df: sorted((r.sample_id, r.pred, round(r.confidence, 9)) for r in df.collect())
+    assert key(forest.soft_vote_vectors(wide, 5)) == key(forest.soft_vote(long, 5))
+    assert key(forest.soft_vote_vectors(wide.withColumn("probabilities", array_to_vector("probabilities")), 5)) == key(forest.soft_vote(long, 5))
+    one, two = [wide.filter(F.col("tree") == t).filter(F.col("sample_id") != t) for t in (0, 1)]
+    tables = [df.select("sample_id", F.posexplode("probabilities").alias("class_id", "prob")) for df in (one, two)]
+    assert key(forest.weighted_vote_vectors(one, two, 0.6)) == key(forest.weighted_vote(*tables, 0.6))
+    plan = forest.soft_vote_vectors(wide, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and "partial_" in plan and "Generate" not in plan
+
+
+def test_confusion_rows(spark):
+    counts = metrics.confusion(spark.createDataFrame([(0, 1), (0, 1), (2, 2), (1, 0)], "label long, pred long"))
+    assert {r.label: r.counts for r in metrics.confusion_rows(counts, 4).collect()} == {0: [0, 2, 0, 0], 1: [1, 0, 0, 0], 2: [0, 0, 1, 0], 3: [0] * 4}
+
+
+# --- random order ---
+
+
+@pytest.mark.parametrize("group", [[], ["label_id"]])
+def test_crowded_slices_of_a_split_are_counted_again(spark, group):
+    """Slices larger than the bound are refined; the result is that of a full sort."""
+    rows = spark.range(9000).select(F.col("id").alias("sample_id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5).alias("label_id"))
+    choose = splits._three_way(0.8, 0.1)
+    got = {r.sample_id: r.split for r in splits._hash_split(rows, group, 42, "sample_id", choose, rows=1).collect()}
+    order = Window.partitionBy(*group).orderBy(splits.hash_key(42, "sample_id"), "sample_id")
+    whole = rows.withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(*group)))
+    assert got == {r.sample_id: r.split for r in whole.select("sample_id", choose(F.col("_r"), F.col("_n")).alias("split")).collect()}
+
+
+def test_batches_do_not_depend_on_the_bound(spark):
+    rows = spark.range(5000).withColumnRenamed("id", "sample_id")
+    assert sorted(splits.batch_ids(rows, 7, rows=1).collect()) == sorted(splits.batch_ids(rows, 7).collect())
