@@ -174,15 +174,16 @@ def _(q):
 @query(
     "s7_link_probe",
     _BYTES_SQL
-    + """SELECT file_id AS capture_id, count(*) AS n FROM sized WHERE ip_version IS NOT NULL AND kind <= 2 GROUP BY file_id""",
+    + """SELECT file_id AS capture_id, count(*) AS n_frames, count(CASE WHEN ip_version IS NOT NULL AND kind <= 2 THEN 1 END) AS n FROM sized GROUP BY file_id""",
     ("packets",),
 )
 def _(q):
-    frames = decode.frames_from_content(capture_bytes(q), snap=decode.HEADER_SNAP)
-    # the probe knows Ethernet, cooked v1 and raw; the other link types are not part of it
-    probed = frames.filter(F.col("datalink").isin(1, 101, 113))
-    packets = decode.decode_frames(probed, link="probe", with_bytes=False).filter("ip_version = 4")
-    return packets.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n"))
+    """Every frame is probed; cooked v2 and loopback frames are not among what a probe finds."""
+    frames = decode.frames_from_content(capture_bytes(q))
+    packets = decode.decode_frames(frames, link="probe", with_bytes=False)
+    return packets.groupBy("capture_id").agg(
+        F.count(F.lit(1)).alias("n_frames"), F.count_if(F.col("ip_version") == 4).alias("n")
+    )
 
 
 def written_captures(q) -> str:
@@ -267,7 +268,7 @@ def _(q):
 def _(q):
     listed = staged(captures.captures_from_dirs(q.spark, written_captures(q)), "listed")
     chunks = decode.capture_chunks(listed, chunk_bytes=32 * 1024)
-    return _traffic(decode.decode_frames(decode.frames_from_chunks(chunks, decode.HEADER_SNAP), with_bytes=False))
+    return _traffic(decode.packets_from_chunks(chunks, with_bytes=False))
 
 
 @query("r3_incremental_ingest", _BYTES_SQL + _TRAFFIC_SQL, ("packets",))

@@ -41,8 +41,6 @@ ETHER_MPLS = (0x8847, 0x8848)
 IPV6_OPTIONS, IPV6_FRAGMENT, IPV6_AUTH = (0, 43, 60, 135, 139, 140), 44, 51
 NULL_IPV4, NULL_IPV6 = (2,), (24, 28, 30)
 
-# Bytes of a frame that can hold link, network and transport headers.
-HEADER_SNAP = 256
 READ_BUFFER = 4 * 1024 * 1024
 CHUNK_BYTES = 64 * 1024 * 1024
 # What a record may look like when its start has to be guessed.
@@ -270,9 +268,8 @@ def packets_from_content(
     contents: DataFrame, link: str = "declared", with_bytes: bool = True
 ) -> DataFrame:
     """Packets of (capture_id, content) rows, framed and decoded in one pass."""
-    reader = _content_reader(None if with_bytes else HEADER_SNAP)
     return contents.select("capture_id", "content").mapInArrow(
-        _decoding(reader, link, with_bytes), packet_schema(with_bytes)
+        _decoding(_content_reader(None), link, with_bytes), packet_schema(with_bytes)
     )
 
 
@@ -544,12 +541,17 @@ def packets_from_paths(
     captures: DataFrame, link: str = "declared", with_bytes: bool = True
 ) -> DataFrame:
     """Packets of whole files in the partitions the manifest already has; also for streams."""
-    reader = _path_reader(None if with_bytes else HEADER_SNAP)
     return captures.select("capture_id", "path").mapInArrow(
-        _decoding(reader, link, with_bytes), packet_schema(with_bytes)
+        _decoding(_path_reader(None), link, with_bytes), packet_schema(with_bytes)
     )
 
 
+def packets_from_chunks(chunks: DataFrame, link: str = "declared", with_bytes: bool = True) -> DataFrame:
+    """Packets of record-aligned byte ranges, framed and decoded by one task per range."""
+    spread = _spread(chunks, "capture_id", "start")
+    return spread.mapInArrow(_decoding(_chunk_reader(None), link, with_bytes), packet_schema(with_bytes))
+
+
 def _by_size(captures: DataFrame, large_bytes: int) -> tuple[DataFrame, DataFrame | None]:
     """Manifest of small files, and byte ranges of the large ones where sizes are known."""
     if "length" not in captures.columns:
@@ -565,6 +567,8 @@ def read_frames(
 ) -> DataFrame:
     """Frames of every capture of a (capture_id, path, length) table.
 
+    ``snap`` keeps only that many bytes of a frame; headers beyond are lost to a decoder.
+
     Captures of at least ``large_bytes`` are first cut into byte ranges, so one
     huge file does not become one task.
     """
@@ -582,20 +586,18 @@ def read_packets(
     large_bytes: int = LARGE_BYTES,
     payload_bytes: int | None = None,
 ) -> DataFrame:
-    """Packets of a captures table; without bytes only headers leave the reader.
+    """Packets of a captures table; without bytes no header or payload bytes leave the reader.
 
-    With ``payload_bytes`` no more than that of a payload does. A capture that cannot
+    With ``payload_bytes`` no more than that of a payload does. Frames are decoded whole,
+    so headers may lie as deep in a frame as they like. A capture that cannot
     be opened or read to its end gives a row with the ``error``.
     """
-    snap = HEADER_SNAP
-    if with_bytes:
-        snap = None if payload_bytes is None else HEADER_SNAP + payload_bytes
     small, large = _by_size(captures, large_bytes)
     schema = packet_schema(with_bytes)
-    packets = small.mapInArrow(_decoding(_path_reader(snap), link, with_bytes, payload_bytes), schema)
+    packets = small.mapInArrow(_decoding(_path_reader(None), link, with_bytes, payload_bytes), schema)
     if large is None:
         return packets
-    decoded = large.mapInArrow(_decoding(_chunk_reader(snap), link, with_bytes, payload_bytes), schema)
+    decoded = large.mapInArrow(_decoding(_chunk_reader(None), link, with_bytes, payload_bytes), schema)
     return packets.unionByName(decoded)
 
 

@@ -77,7 +77,7 @@ def _first_record(handle, state: dict, low: int) -> int | None:
     return _reaching(handle, state, state["at"], low)
 
 
-def _frames_between(handle, part: ByteRange, snap: int | None) -> Iterator[tuple]:
+def _frames_between(handle, part: ByteRange) -> Iterator[tuple]:
     """(offset, microseconds, link type, length, kept bytes) of the records of a range."""
     state = D._begin(handle)
     if state["kind"] == "pcap":
@@ -85,7 +85,7 @@ def _frames_between(handle, part: ByteRange, snap: int | None) -> Iterator[tuple
         if at is None or at >= part.high:
             return
         try:
-            for ts, link, size, kept, error in D._pcap_frames(handle, state, at, part.high, snap):
+            for ts, link, size, kept, error in D._pcap_frames(handle, state, at, part.high, None):
                 end = at + 16 + size
                 if error or end > part.high:  # not complete in this range
                     return
@@ -100,21 +100,20 @@ def _frames_between(handle, part: ByteRange, snap: int | None) -> Iterator[tuple
             end = offset + 28 + size
             if part.low < end <= part.high:
                 handle.seek(offset + 28)
-                frame = handle.read(size)
-                yield offset, ts, link, size, frame if snap is None else frame[:snap]
+                yield offset, ts, link, size, handle.read(size)
     except ValueError as problem:
         if "truncated" not in str(problem):
             raise
 
 
-def _rows(part: ByteRange, snap: int | None) -> Iterator[tuple]:
+def _rows(part: ByteRange) -> Iterator[tuple]:
     capture = xxhash.xxh64_intdigest(part.path.encode(), seed=42)
     capture -= (capture >> 63) << 64
     try:
         with D._open(part.path) as handle:
             if handle.seek(0, io.SEEK_END) < 24:
                 return
-            for offset, ts, link, size, kept in _frames_between(handle, part, snap):
+            for offset, ts, link, size, kept in _frames_between(handle, part):
                 yield capture, offset, ts, link, size, kept, None
     except (ValueError, IndexError, OSError) as problem:
         yield capture, part.low, None, None, None, None, str(problem)
@@ -167,8 +166,7 @@ class GrowingReader(DataSourceStreamReader):
         return ranges
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        snap = None if self.with_bytes else D.HEADER_SNAP
-        for frames in D._batches(_rows(partition, snap), D._FRAME_ARROW):
+        for frames in D._batches(_rows(partition), D._FRAME_ARROW):
             yield D.decode_batch(frames, self.link, self.with_bytes)
 
 

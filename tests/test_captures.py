@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -290,7 +291,34 @@ def test_parallel_ranges_cover_regular_captures(spark, tmp_path):
     assert sum(r.n for r in ranges) == 400
 
 
-def test_header_snap_gives_the_same_packets_without_bytes(spark, tree):
+def test_headers_deep_in_a_frame(spark, tmp_path):
+    """Chains of tags and extension headers over 256 bytes, in every way of reading."""
+    body = W.udp(40000, 443, b"q" * 400)
+    tags = b"\x81\x00\x00\x05" * 70
+    long_options = struct.pack(">BB", 17, 37) + b"\x00" * 302  # one options header of 304 bytes
+    six = bytearray(W.ipv6(A6, B6, 0, long_options + body))
+    frames = [b"\x02" * 12 + tags + b"\x08\x00" + W.ipv4(A, B, 17, body), W.link_frame(W.ETHERNET, bytes(six))]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pcap").write_bytes(W.pcap(frames * 20, start=1_700_000_000))
+    files = C.list_files(spark, str(tmp_path / "in")).withColumn("capture_id", C.capture_id(F.col("path")))
+    G.ingest_growing(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c"), with_bytes=False).awaitTermination()
+    ways = [
+        D.read_packets(files),
+        D.read_packets(files, with_bytes=False),
+        D.read_packets(files, payload_bytes=240),
+        D.read_packets(files, with_bytes=False, large_bytes=1000),
+        D.packets_from_paths(files, with_bytes=False),
+        D.packets_from_chunks(D.capture_chunks(files, 3000), with_bytes=False),
+        spark.read.parquet(str(tmp_path / "out")),
+    ]
+    for packets in ways:
+        rows = packets.select("proto", "sport", "payload_len").collect()
+        assert len(rows) == 40 and {tuple(r) for r in rows} == {(17, 40000, 400)}
+    kept = {bytes(r.payload) for r in D.read_packets(files, payload_bytes=240).select("payload").collect()}
+    assert kept == {b"q" * 240}
+
+
+def test_packets_are_the_same_without_bytes(spark, tree):
     captures = C.captures_from_dirs(spark, str(tree))
     slim = D.read_packets(captures, with_bytes=False)
     full = D.read_packets(captures).select(slim.columns)
