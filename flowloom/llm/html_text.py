@@ -17,7 +17,13 @@ only; as its label says nothing about it, it is not counted for the names.
 The weights are log odds of lying inside the content, counted over all labelled pages and
 smoothed with a prior. Labelled are pages with exactly one ``article`` or ``main``
 element: what is inside is content. Pages without that mark are scored with the weights
-learned from the others, and by the prior alone if there are none.
+learned from the others, and by the prior alone if there are none. On a page with the mark
+the odds are certain: words inside score above zero whatever element they stand in, so that
+links, lists and tables at the edges of an article stay, and all outside scores below; a
+mark inside furniture must hold most of the words for that.
+
+Tags are found by a scanner that only moves forward, so a page costs what it is long,
+closed tags and quotes or not.
 
 Text: character references decoded, white space inside a block turned into one space,
 blocks joined in page order by one space. Inline tags do not part words, block tags and
@@ -28,7 +34,8 @@ Defined cases: null and empty pages, and pages in which nothing scores above zer
 the empty text; unclosed comments and scripts reach to the end of the page, an unclosed
 drawing or formula source to the next block tag, and a self-closed one is empty; the head
 needs no end tag, as nothing in it but what is named above has text; text without any markup
-is one block of content. Further columns are ignored.
+is one block of content; a tag that never ends is text. Repeated rows are extracted one by
+one, an empty table gives an empty result, and further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -68,22 +75,91 @@ FURNITURE_WORDS = frozenset(
 STATE_WORDS = frozenset("has no not overflow with without".split())
 FURNITURE_STEMS = ("advert", "comment", "cookie", "navig", "newsletter", "sidebar", "sponsor")
 PRIOR_ROWS = 50.0
+# weights of a word or tag of a page with an article or main element, inside and outside of it
+_INSIDE, _OUTSIDE = 1.0, -2.0
 _PRIOR = {"text": 0.85, "link": 0.5, "furniture": 0.02, "inline": 0.6, "block": 0.35, "container": 0.2}
 
 _BREAKOUT = "|".join(sorted(BLOCK | {"math"}, key=lambda name: (-len(name), name)))
-_TOKEN = re.compile(
-    r"<!--(?:.*?--!?>|.*\Z)"
-    r"|<(script|style|template|noscript|title|textarea|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)"
-    rf"|<(?P<drawing>svg|annotation(?:-xml)?)(?=[\s/>])(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=drawing)\s*>|(?=</?(?:{_BREAKOUT})\b)|\Z))"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_RAW = frozenset("script style template noscript title textarea iframe".split())
+_DRAWINGS = frozenset("svg annotation annotation-xml".split())
+_START = re.compile(r"<(?:(?P<comment>!--)|(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
+_MARKUP_END = re.compile("[>\"']")
+_COMMENT_END = re.compile("--!?>")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
+_DRAWING_END = {name: re.compile(rf"</{name}\s*>|(?=</?(?:{_BREAKOUT})\b)", re.I) for name in _DRAWINGS}
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
+class _Scanner:
+    """Tags of a page, in one pass that never goes back.
+
+    A quoted attribute value may hold ``>``. Once quotes turn out not to be closed, and
+    once no ``>`` is left, that holds for the rest of the page, so neither is looked for
+    again and a page costs what it is long.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.quotes = self.tags = True
+
+    def _end(self, at: int) -> int:
+        """Position after the ``>`` of a tag whose attributes begin at ``at``, or -1."""
+        if not self.tags:
+            return -1
+        page, start = self.page, at
+        while self.quotes:
+            found = _MARKUP_END.search(page, at)
+            if found is None:
+                break
+            at = found.end()
+            if found[0] == ">":
+                return at
+            before = found.start() - 1
+            while before > start and page[before].isspace():
+                before -= 1
+            if page[before] != "=":
+                continue
+            closed = page.find(found[0], at)
+            if closed < 0:
+                break
+            at = closed + 1
+        self.quotes = False
+        end = page.find(">", start)
+        self.tags = end >= 0
+        return end + 1 if self.tags else -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, kind, is an end tag, attributes); kind is a tag's name, or ``#raw``,
+        ``#drawing`` or ``#other`` for what has no text."""
+        page, at = self.page, 0
+        while (found := _START.search(page, at)) is not None:
+            start, after = found.span()
+            at = after
+            if found["comment"]:
+                close = _COMMENT_END.search(page, after)
+                at = close.end() if close else len(page)
+                yield start, at, "#other", False, ""
+                continue
+            end = self._end(after)
+            if end < 0:
+                continue
+            name, closing = (found["name"] or "").lower(), bool(found["end"])
+            at = end
+            if name in _RAW and not closing:
+                close = _RAW_END[name].search(page, end)
+                at = close.end() if close else len(page)
+                yield start, at, "#raw", False, ""
+            elif name in _DRAWINGS and not closing:
+                if page[end - 2] != "/":
+                    close = _DRAWING_END[name].search(page, end)
+                    at = close.end() if close else len(page)
+                yield start, at, "#drawing", False, ""
+            else:
+                yield start, at, name or "#other", closing, page[after : end - 1]
+
+
 def furniture_names(name: str, attributes: str, in_content: bool) -> frozenset[str]:
     """What marks an element as furniture: its tag, words of its names, ``hidden``."""
     if name in ("body", "html", "article", "main"):
@@ -109,12 +185,24 @@ def elements(page: str, harmless: frozenset[str] = frozenset(), names: Counter |
     marked by a line end as its text. ``harmless`` names mark no furniture; ``names``
     collects the words below each furniture name outside the content, by whether they are
     inside it."""
+    return _parsed(page, harmless, names)[0]
+
+
+def _parsed(page: str, harmless: frozenset[str], names: Counter | None = None) -> tuple[list[tuple[str, str, int, bool]], bool]:
+    """The elements, and whether the content stands in furniture."""
     out, depth = _elements(page, harmless, names, 0)
     if depth:
         if names is not None:
             names.clear()
         out, _ = _elements(page, harmless, names, depth)
-    return out
+    return out, depth > 0
+
+
+def _is_marked(sequence: list[tuple[str, str, int, bool]], in_furniture: bool) -> bool:
+    """Whether the page says itself what its content is. A mark that stands in furniture
+    counts if no more words are outside of it than inside, else it may be a teaser."""
+    inside, outside = (sum(n for f, _, n, content in sequence if f != "w:furniture" and content is side) for side in (True, False))
+    return inside > 0 and (not in_furniture or inside >= outside)
 
 
 def _elements(page: str, harmless: frozenset[str], names: Counter | None, reset: int) -> tuple[list[tuple[str, str, int, bool]], int]:
@@ -122,6 +210,7 @@ def _elements(page: str, harmless: frozenset[str], names: Counter | None, reset:
     are content, and the least number of pieces above one of them."""
     out: list[tuple[str, str, int, bool]] = []
     stack: list[tuple[str, int, bool, frozenset[str]]] = []  # name, furniture above and here, content, names outside the content
+    standing: Counter = Counter()  # open elements by name
     block, link, least = "text", False, None
 
     def words(raw: str) -> None:
@@ -135,20 +224,15 @@ def _elements(page: str, harmless: frozenset[str], names: Counter | None, reset:
                 names[mark, content] += count
 
     last = 0
-    for match in _TOKEN.finditer(page):
-        if match.start() > last:
-            words(page[last : match.start()])
-        last = match.end()
-        name = match["name"]
-        if name is None:
-            if match["drawing"]:
-                out.append(("t:drawing", "", 0, bool(stack) and stack[-1][2]))
-            elif match.group(1):
-                out.append(("t:raw", "\n", 0, bool(stack) and stack[-1][2]))
-            continue
-        name = name.lower()
-        closing = bool(match["end"])
+    for begin, end, name, closing, attributes in _Scanner(page):
+        if begin > last:
+            words(page[last:begin])
+        last = end
         content = bool(stack) and stack[-1][2]
+        if name[0] == "#":
+            if name != "#other":
+                out.append(("t:drawing", "", 0, content) if name == "#drawing" else ("t:raw", "\n", 0, content))
+            continue
         if name == "a":
             link = not closing
         if name in BLOCK:
@@ -156,9 +240,12 @@ def _elements(page: str, harmless: frozenset[str], names: Counter | None, reset:
             if closing:
                 if name in LEAF:
                     block = "text"
-                elif any(entry[0] == name for entry in stack):
-                    while stack.pop()[0] != name:
-                        pass
+                elif standing[name]:
+                    while True:
+                        gone = stack.pop()[0]
+                        standing[gone] -= 1
+                        if gone == name:
+                            break
                     block = "text"
                 inside = content and (name in LEAF or bool(stack) and stack[-1][2])
             else:
@@ -166,13 +253,14 @@ def _elements(page: str, harmless: frozenset[str], names: Counter | None, reset:
                 inside = content
                 block = "h" if name[0] == "h" and name[1:].isdigit() else name if name in ("li", "td", "th", "dd", "dt", "pre") else "text"
                 if name not in LEAF:
+                    standing[name] += 1
                     if name in ("article", "main"):
                         if not content:
                             least = furniture if least is None else min(least, furniture)
                             furniture = 0 if furniture <= reset else furniture
                         stack.append((name, furniture, True, marks))
                     else:
-                        found = furniture_names(name, match["attributes"], content)
+                        found = furniture_names(name, attributes, content)
                         stack.append((name, furniture + bool(found - harmless), content, marks if content else marks | found))
             out.append((f"t:{name}", "\n", 0, inside))
         else:
@@ -238,13 +326,18 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
-    sequence = elements(page, frozenset(name[2:] for name, value in weights.items() if name[0] == "f" and value > 0))
+    sequence, in_furniture = _parsed(page, frozenset(name[2:] for name, value in weights.items() if name[0] == "f" and value > 0))
+    marked = _is_marked(sequence, in_furniture)
     best = total = 0.0
     start = first = end = 0
-    for i, (feature, _, count, _) in enumerate(sequence):
-        value = weights.get(feature)
-        if value is None:
-            value = weights[feature] = weight(feature)
+    for i, (feature, _, count, content) in enumerate(sequence):
+        if marked:
+            # the page says itself where its content begins and ends
+            value = _OUTSIDE if not content else _INSIDE if feature[0] == "w" and feature != "w:furniture" else 0.0
+        else:
+            value = weights.get(feature)
+            if value is None:
+                value = weights[feature] = weight(feature)
         total += value * count if feature[0] == "w" else value
         if total <= 0:
             total, start = 0.0, i + 1

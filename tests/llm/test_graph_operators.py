@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -58,6 +59,75 @@ def test_html_article_in_a_furniture_wrapper(wrapper):
     assert H.main_text(bare, {}) == ("" if wrapper.startswith("form") or "search" in wrapper or "navigation" in wrapper else "Text body of the page")
 
 
+TOWN = "<p>The bridge over the river will be built next year, the council says.</p>"
+SAID = "The bridge over the river will be built next year, the council says."
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<nav><a>Home</a></nav><article><h1><a href=x>Bridge plan</a></h1>{TOWN}</article>", f"Bridge plan {SAID}"),
+        (f"<article>{TOWN}<p><a href=x>Read the plan</a></p></article><footer>Imprint</footer>", f"{SAID} Read the plan"),
+        (f"<article>{TOWN}<p>Sources: <a href=x>the town paper</a></p></article>", f"{SAID} Sources: the town paper"),
+        (f"<article>{TOWN}<ul><li>one</li><li>two</li><li>six</li></ul></article>", f"{SAID} one two six"),
+        (f"<article>{TOWN}<table><tr><td>1</td><td>2</td></tr><tr><td>30</td></tr></table></article>", f"{SAID} 1 2 30"),
+        (f"<div><p>Weather today is fine and warm in all parts of the land</p></div><article>{TOWN}</article>", SAID),
+        (f"<article>{TOWN}</article><div class=voices><p>Anna writes that this is far too dear and far too late for all of us here</p></div>", SAID),
+        (f"<main>{TOWN}<aside>Other news of the day</aside>{TOWN}</main>", f"{SAID} {SAID}"),
+        (f"<div class=related><article>Teaser words</article></div>{TOWN * 3}", f"{SAID} {SAID} {SAID}"),
+    ],
+)
+def test_html_edges_of_a_marked_article(page, text):
+    assert H.main_text(f"<html><body>{page}</body></html>", {}) == text
+
+
+def test_html_broken_markup_costs_what_it_is_long():
+    size = 4000
+    pages = {
+        "<a " + "\"x'y" * size: None, "<a b " * size: None, "<svg " * size: None, "<svg>" * size: "", "<!--" * size: "",
+        "<p title='" * size: None, '<p title="x>' * (size + 1): None, "<script>" * size: "", "<" * size: "<" * size,
+        "<div>" * size + "</section>" * size + "word": "word", "<p class=" + " a" * size + ">word</p>": "word",
+    }
+    began = time.perf_counter()
+    for page, text in pages.items():
+        got = H.main_text(page, {})
+        assert text is None or got == text
+    assert time.perf_counter() - began < 5
+
+
+def test_html_scanner_and_quotes():
+    assert H.main_text("<p title='a > b'>one</p><p data-x = \"c>d\">two</p><p it's>three</p><p x=\"open>four</p>", {}) == "one two three four"
+    assert H.main_text("1 < 2 and 3 <4 but <b>5</b> > 4 <unclosed", {}) == "1 < 2 and 3 <4 but 5 > 4 <unclosed"
+
+
+def best_stretch(sequence, values):
+    """Largest sum over all contiguous stretches, by trying them all."""
+    return max((sum(values[i:j]) for i in range(len(values)) for j in range(i + 1, len(values) + 1)), default=0.0)
+
+
+def test_html_region_is_a_best_scoring_one():
+    rng = random.Random(11)
+    pieces = ["<p>plain words of a text</p>", "<nav><a>Home</a></nav>", "<div>", "</div>", "<ul><li>x</li></ul>", "<h2>Head</h2>", "<a>link to it</a>", "<aside>advert words here</aside>", "<b>bold</b>"]
+    for _ in range(40):
+        page = "".join(rng.choices(pieces, k=rng.randrange(1, 14)))
+        sequence = H.elements(page)
+        values = [H.weight(f) * (n if f[0] == "w" else 1) for f, _, n, _ in sequence]
+        best = best_stretch(sequence, values)
+        got = H.main_text(page, {})
+        stretches = {
+            " ".join("".join(t for f, t, _, _ in sequence[i:j] if f != "w:furniture").split())
+            for i in range(len(values)) for j in range(i + 1, len(values) + 1) if abs(sum(values[i:j]) - best) < 1e-9
+        }
+        assert got in stretches if best > 0 else got == ""
+
+
+def test_html_repeated_rows_and_no_rows(spark):
+    page = f"<article>{TOWN}</article>"
+    rows = H.extract_text(spark.createDataFrame([(1, "u", page, 1, 2)] * 2 + [(None, None, None, 1, 2)], PAGES)).collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted([(1, "u", SAID, len(SAID))] * 2 + [(None, None, "", 0)], key=repr)
+    assert H.extract_text(spark.createDataFrame([], PAGES)).collect() == []
+
+
 def test_html_counted_odds_overrule_the_names(spark):
     words = " ".join(["some words here"] * 30)
     labelled = [f"<form id=aspnetForm><nav>menu words</nav><article><p>{words}</p></article></form>"] * 5
