@@ -326,8 +326,11 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
-    sequence, in_furniture = _parsed(page, frozenset(name[2:] for name, value in weights.items() if name[0] == "f" and value > 0))
+    harmless = frozenset(name[2:] for name, value in weights.items() if name[0] == "f" and value > 0)
+    sequence, in_furniture = _parsed(page, harmless)
     marked = _is_marked(sequence, in_furniture)
+    if in_furniture and not marked:
+        sequence, _ = _elements(page, harmless, None, 0)
     best = total = 0.0
     start = first = end = 0
     for i, (feature, _, count, content) in enumerate(sequence):
