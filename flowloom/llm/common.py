@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.session import staging_path
@@ -64,6 +64,17 @@ def whole_texts(df: DataFrame) -> DataFrame:
     return df
 
 
+def hash_rank(ident: str, seed: int) -> Column:
+    """A row's place in a random order fixed by its id, from 0 to 2**63 - 1."""
+    return F.shiftrightunsigned(F.xxhash64(ident, F.lit(seed)), 1)
+
+
+def hash_limit(wanted: int, rows: int) -> int:
+    """The highest `hash_rank` of a sample of about ``wanted`` of ``rows`` rows; whole
+    numbers, so the share of a table of any size is above 0."""
+    return min(2**63 - 1, wanted * 2**63 // max(rows, 1))
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 

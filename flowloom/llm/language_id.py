@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from flowloom.llm.common import forget, frugal, whole_texts
+from flowloom.llm.common import forget, frugal, hash_limit, hash_rank, whole_texts
 
 ORDER = 3
 TRAIN_DOCUMENTS = 500
@@ -165,14 +165,14 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Context trees from a bounded sample of the rows outside the held-out fold."""
     rows = whole_texts(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     labelled = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out("id"))
-    labelled = labelled.where(F.octet_length("text") <= TRAIN_BYTES).withColumn("_h", F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000)))
-    share = {r["lang"]: min(1.0, 2.0 * TRAIN_DOCUMENTS / r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labelled = labelled.where(F.octet_length("text") <= TRAIN_BYTES).withColumn("_h", hash_rank("id", 17))
+    share = {r["lang"]: hash_limit(2 * TRAIN_DOCUMENTS, r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
         return ContextTrees({})
-    limit = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(v * 1_000_000))))
+    limit = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, v)))
     order = Window.partitionBy("lang").orderBy("_h", "id", F.xxhash64("text"))
     chosen = (
-        labelled.where(F.col("_h") < F.element_at(limit, F.col("lang")))
+        labelled.where(F.col("_h") <= F.element_at(limit, F.col("lang")))
         .withColumn("_n", F.row_number().over(order))
         .where(F.col("_n") <= TRAIN_DOCUMENTS)
         .withColumn("_b", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import MEMO_WORDS, frugal, new_memo, whole_texts
+from flowloom.llm.common import MEMO_WORDS, frugal, hash_limit, hash_rank, new_memo, whole_texts
 
 BUCKETS, WIDTH, NONZERO, WINDOW = 4096, 64, 6, 2
 POOLED = 3 * WIDTH
@@ -188,14 +188,19 @@ def is_held_out(doc_id: str, folds: int = FOLDS, fold: int = HELD_OUT) -> F.Colu
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, fold: int = HELD_OUT) -> DataFrame:
-    """``text, y`` of about ``bound`` labelled documents outside the held-out fold, chosen
-    by a hash of the id. The chosen ids, at most ``bound`` rows, are broadcast."""
+    """``text, y`` of ``bound`` labelled documents outside the held-out fold, or of all if
+    they are fewer: the first in an order by a hash of the id, so that the sample is the
+    same in every run. The chosen ids, at most ``bound`` rows, are broadcast. Of rows that
+    repeat an id one text is taken, the least."""
     named = labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y")).where("id is not null and y is not null")
     named = named.where(~is_held_out("id", folds, fold)).groupBy("id").agg(F.max("y").alias("y"))
-    share = int(1_000_000 * min(1.0, bound / max(named.count(), 1)))
-    chosen = named.where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1_000_000)) < share).limit(bound)
+    ranked = named.withColumn("_h", hash_rank("id", 29))
+    # twice as many as wanted pass the threshold, so that no more have to be sorted
+    some = ranked.where(F.col("_h") <= hash_limit(2 * bound, named.count()))
+    chosen = some.orderBy("_h", "id").limit(bound).select("id", "y")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("text", "y")
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    return found.select("text", "y")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> tuple[np.ndarray, Network]:

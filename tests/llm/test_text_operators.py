@@ -18,6 +18,7 @@ from flowloom.llm import packing as P
 from flowloom.llm import quality as Q
 from flowloom.llm import token_counts as K
 from flowloom.llm import toxicity as X
+from flowloom.llm.common import hash_limit
 from tests.conftest import SMALL
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -103,6 +104,32 @@ def test_quality_held_out(spark):
     assert found.score.between(0, 1).all()
 
 
+def test_shares_of_samples_at_any_size():
+    assert hash_limit(1000, 10**13) > 0 and hash_limit(12_000, 10**10) / 2**63 == pytest.approx(1.2e-6)
+    assert hash_limit(1000, 0) == hash_limit(1000, 999) == 2**63 - 1
+
+
+@pytest.mark.parametrize("bound", [40, 10**6])
+def test_labelled_samples_do_not_depend_on_partitions(spark, bound):
+    """As many as the bound says, one row per id, the same in every run."""
+    docs = spark.createDataFrame([(i % 300, f"text {i % 300} {i % 7}") for i in range(6000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 350, i % 2) for i in range(900)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    samples = [
+        sorted(map(tuple, Q.labelled_sample(docs.repartition(n), labels.repartition(m), "quality", bound).collect()))
+        for n, m in ((1, 5), (9, 2))
+    ]
+    assert samples[0] == samples[1]
+    ids = [int(text.split()[1]) for text, _ in samples[0]]
+    assert len(ids) == len(set(ids)) and all(zlib.crc32(str(i).encode()) % 5 for i in ids)
+    assert len(ids) <= bound and (len(ids) > 25 if bound == 40 else len(ids) == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(300)))
+
+
+def test_language_samples_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    one, many = (L.identify_languages(docs, L.learn_languages(docs.repartition(n))) for n in (1, 6))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
 def test_quality_odd_rows(spark):
     docs, labels = tables(spark, SMALL)
     model = Q.fit_quality(docs, labels)
