@@ -31,6 +31,8 @@ RULES = (
 MAX_RULES = 256
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
+# what holds no tags, whatever it looks like; unclosed, it reaches to the end of the page
+_NO_TAGS = r"(?is)<!--.*?(?:--!?>|\z)|<(script|style|template|textarea|title)\b.*?(?:</\1\s*>|\z)"
 # attribute values with their quotes, so that a quoted one may hold what ends an unquoted one
 _VALUE = r"""("[^"]*"|'[^']*'|["']?[^\s>"'][^\s>]*)"""
 _CANONICAL = rf"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?(?<![\w-])href\s*=\s*{_VALUE}"""
@@ -130,10 +132,14 @@ def page_links(pages: DataFrame, rules=RULES) -> DataFrame:
         host_of(url).alias("host"),
         path_of(url).alias("path"),
         node_of(url).alias("node"),
-        F.regexp_extract("html", _CANONICAL, 1).alias("_canonical"),
-        F.regexp_extract("html", _REFRESH, 1).alias("_refresh"),
+        F.regexp_replace("html", _NO_TAGS, " ").alias("_tags"),
         "url",
     )
+    rows = rows.select(
+        *[c for c in rows.columns if c != "_tags"],
+        F.regexp_extract("_tags", _CANONICAL, 1).alias("_canonical"),
+        F.regexp_extract("_tags", _REFRESH, 1).alias("_refresh"),
+    )
     rows = rows.withColumns({name: _decoded(F.col(name)) for name in ("_canonical", "_refresh")})
     rows = rows.withColumn("_refresh", F.concat(*(F.regexp_extract("_refresh", _REFRESH_URL, i) for i in (1, 2, 3))))
     targets = F.array_compact(F.array(*(node_of(_target(F.col(name), url)) for name in ("_canonical", "_refresh"))))

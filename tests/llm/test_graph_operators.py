@@ -213,6 +213,10 @@ def test_url_targets_are_decoded_whole_and_resolved(spark):
         ("<link rel=canonical href=./a/../../../b/./c/..>", ["h.com/b/"]),
         ('<link rel="canonical" href="page 2?u=/x/../y#f">', ["h.com/d/page 2?u=/x/../y"]),
         ('<link rel="canonical" href="mailto:me@h.com">', []),
+        ('<!-- <link rel="canonical" href="http://x.net/"> --><link rel="canonical" href="/real">', ["h.com/real"]),
+        ("<script>var t = '<link rel=canonical href=http://x.net/>';</SCRIPT ><p>no link</p>", []),
+        ("<template><link rel=canonical href=http://x.net/></template><style>" + refresh("0; url=/a") + "</style>", []),
+        ("<!-- never closed <link rel=canonical href=http://x.net/>", []),
         ('<link rel="canonical" href="/k&#233;">' + refresh("0; url=//I.com/"), ["h.com/k\u00e9", "i.com/"]),
     ]
     pages = spark.createDataFrame([(i, "http://H.com/d/p?q=1", h, 1, 2) for i, (h, _) in enumerate(cases)], PAGES)
