@@ -3,9 +3,9 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return
 the columns of ``docs``. ``run`` writes every stage to the shared folder and reads it again.
 
-Rows without an id pass the stages that decide by text alone (language, quality); a near
-duplicate or contaminated row without an id cannot be named and stays. Of rows that repeat
-an id with equal text one stays. Empty and null texts have no language and go first.
+Decisions are taken for rows, which are told by id and text: of rows that share an id, or
+have none, a near duplicate or contaminated one goes and the others stay. Of rows that
+repeat an id with equal text one stays. Empty and null texts have no language and go first.
 """
 
 from __future__ import annotations
@@ -20,15 +20,15 @@ from flowloom.llm.near_dedup import near_duplicates
 from flowloom.llm.packing import pack_documents
 from flowloom.llm.quality import fit_quality, is_good
 
-# ids of removed documents are broadcast up to this many; more are joined by a shuffle
+# keys of removed rows are broadcast up to this many; more are joined by a shuffle
 BROADCAST_IDS = 4_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not among ``ids`` (staged)."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``_key`` is not among ``keys`` (staged)."""
+    if keys.count() <= BROADCAST_IDS:
+        keys = F.broadcast(keys)
+    return docs.join(keys, "_key", "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,22 +42,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    found, _ = stage(near_duplicates(docs).select("doc_id", "kept"), "kept")
-    removed, _ = stage(found.where("not kept").select("doc_id").distinct(), "removed")
-    left = _without(docs, removed)
-    repeated, _ = stage(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return left
-    again = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return _without(left, repeated).unionByName(again)
+    """Of each group of near duplicates the document with the smallest id.
+
+    Rows without an id of their own are named by a hash of id and text, above all ids.
+    """
+    counts = docs.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1 or doc_id is null")
+    shared, _ = stage(counts.select(F.col("doc_id").alias("_shared"), F.lit(True).alias("_odd")), "shared-ids")
+    if shared.isEmpty():
+        rows = docs.withColumn("_key", F.col("doc_id")).withColumn("_odd", F.lit(None).cast("boolean"))
+    else:
+        named = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"), 2) + F.lit(2**62)
+        rows = docs.join(shared, F.col("doc_id").eqNullSafe(F.col("_shared")), "left").drop("_shared")
+        rows = rows.withColumn("_key", F.when(F.col("_odd"), named).otherwise(F.col("doc_id")))
+    found = near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"))
+    removed, _ = stage(found.where("not kept").select(F.col("doc_id").alias("_key")).distinct(), "removed")
+    left = _without(rows, removed)
+    if not shared.isEmpty():
+        left = left.where("_odd is null").unionByName(left.where("_odd").dropDuplicates(["doc_id", "text"]))
+    return left.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
-    hit, _ = stage(found.where("doc_id is not null").select("doc_id").distinct(), "contaminated")
-    return _without(docs, hit)
+    rows = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    found = contaminated(rows.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    hit, _ = stage(found.select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    return _without(rows, hit).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

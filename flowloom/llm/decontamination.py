@@ -7,23 +7,24 @@ diagonal (place in the document minus place in the item). Around the diagonals o
 the words of document and item are aligned, and the best stretch (+1 for an equal word,
 -``MISMATCH`` for a replaced, added or left-out one) is the overlap. A document is
 contaminated by an item when the stretch has at least ``LEAST_WORDS`` equal words and
-either ``LEAST_SHARE`` of the item's words (all of them, if it has fewer than
-``LEAST_WORDS``) or ``LONG_RUN`` equal words, however long the item is.
+either ``LEAST_SHARE`` of the item's words or ``LONG_RUN`` equal words, however long the
+item is. Of items up to 14 words all words must be equal but one (8 words or more) or two
+(11 or more), and items of fewer than ``UNBROKEN`` words, which stand in ordinary text by
+chance, contaminate only a document that consists of nothing else.
 
 Words may be added or left out anywhere as long as ``UNBROKEN`` words in a row stay equal
-somewhere, or a mask fits.
+somewhere, or a mask fits; one replaced word always leaves either.
 
 The test side is broadcast while it has at most ``BROADCAST_SEEDS`` seeds; the join then
 happens while a document is read, and nothing is shuffled. Beyond that the hashes of both
 sides are joined by a shuffle and the words travel only to the diagonals found.
 
-Words are runs of letters, digits and underscores, lower-cased. Items shorter than a mask
-but of ``LEAST_ITEM`` words or more are looked for word by word; shorter ones cannot be
-told from ordinary text and match nothing.
+Words are runs of letters, digits and underscores, lower-cased.
 
 Defined cases: null or empty texts match nothing, on either side; a null ``doc_id`` is
-carried along; repeated rows are reported once per row and item; empty tables give no
-rows.
+carried along; repeated documents are reported once per row and item. Items are told by id
+and text: several texts under one id all count, an item without an id counts under a null
+one, and rows that repeat both are one item. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -42,7 +43,10 @@ from flowloom.llm.common import MEMO_WORDS, frugal, mix, new_memo, stage, whole_
 UNBROKEN = 5
 MASKS = ("11101100111", "11011010111", "10110111011", "11100111011", "1" * UNBROKEN)
 SPAN = len(MASKS[0])
-LEAST_ITEM, LEAST_WORDS, LONG_RUN, LEAST_SHARE, MISMATCH = 8, 12, 13, 0.5, 2
+LEAST_WORDS, LONG_RUN, LEAST_SHARE, MISMATCH = 12, 13, 0.5, 2
+SHORT_ITEM = 14
+# for items of 8 and 9 words, where a replaced word in the middle leaves no unbroken run
+SHORT_MASKS = {8: ("11101111", "11110111"), 9: ("111101111",)}
 BROADCAST_SEEDS = 4_000_000
 _WORD = re.compile(r"\w+")
 _MULTIPLIERS = mix(np.arange(1, SPAN + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -65,9 +69,13 @@ def words_of(text: str | None) -> np.ndarray:
 
 def seeds_of(words: np.ndarray, lengths: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Seed hashes of a text and the places where their masks start; ``lengths`` are the
-    numbers of words of whole items that are shorter than a mask."""
+    numbers of words of items that have masks of their own. A text shorter than every mask
+    has one seed, for all of it."""
     hashes, places = [], []
-    shapes = [(i, mask) for i, mask in enumerate(MASKS)] + [(100 + n, "1" * n) for n in lengths]
+    shapes = [(i, mask) for i, mask in enumerate(MASKS)]
+    shapes += [(10 * n + i, mask) for n in lengths for i, mask in enumerate(SHORT_MASKS[n])]
+    if 0 < len(words) < UNBROKEN:
+        shapes.append((1000 + len(words), "1" * len(words)))
     for salt, mask in shapes:
         count = len(words) - len(mask) + 1
         if count > 0:
@@ -83,9 +91,13 @@ def seeds_of(words: np.ndarray, lengths: tuple[int, ...] = ()) -> tuple[np.ndarr
 
 
 def overlap(document: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """(equal words, words, first word in the document) of the best run on a diagonal."""
+    """(equal words, words, first word in the document) of the best run on a diagonal, or
+    of all that is equal on it for a short item, whose first words may stand before a replaced one."""
     low, high = max(0, -diagonal), min(len(item), len(document) - diagonal)
     equal = item[low:high] == document[low + diagonal : high + diagonal]
+    if len(item) <= SHORT_ITEM:
+        at = np.flatnonzero(equal)
+        return (len(at), int(at[-1] - at[0]) + 1, int(low + diagonal + at[0])) if len(at) else (0, 0, low + diagonal)
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH))])
     floor = np.minimum.accumulate(total)
     end = int(np.argmax(total - floor))
@@ -123,7 +135,10 @@ def aligned(document: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
 
 
 def needed(item_words: int) -> int:
-    return min(item_words, max(LEAST_WORDS, min(LONG_RUN, int(np.ceil(LEAST_SHARE * item_words)))))
+    """Equal words that make a document contaminated by an item of so many words."""
+    if item_words <= SHORT_ITEM:
+        return item_words - (item_words >= 8) - (item_words >= 11)
+    return max(LEAST_WORDS, min(LONG_RUN, int(np.ceil(LEAST_SHARE * item_words))))
 
 
 def _windows(diagonals: list[int], item_words: int, document_words: int) -> list[tuple[int, int]]:
@@ -166,7 +181,7 @@ def _item_seeds(lengths: tuple[int, ...]):
         for batch in batches:
             for item, text in zip(batch["item_id"], batch["text"], strict=True):
                 words = words_of(text)
-                if LEAST_ITEM <= len(words):
+                if len(words):
                     hashes, places = seeds_of(words, (len(words),) if len(words) in lengths else ())
                     yield pd.DataFrame({"seed": hashes.view(np.int64), "item_id": item, "place": places})
 
@@ -229,14 +244,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per contaminated document and item: ``<id>, item_id, item_words,
     equal_words, run_words, first_word, share``. Clean documents have no row."""
     source = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tests = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    tests = tests.where("item_id is not null and text is not null")
+    given = benchmark.select(F.col(item_col).cast("long").alias("name"), F.col(item_text).cast("string").alias("text"))
+    given = given.where("text is not null").distinct()
+    # an item is an id with a text, either of which may stand in several rows
+    given, _ = stage(given.withColumn("item_id", F.xxhash64(F.col("name").isNull(), "name", "text")), "tests")
+    tests = given.select("item_id", "text")
     words, _ = stage(tests.mapInPandas(_item_words, "item_id long, words binary").dropDuplicates(["item_id"]), "items")
-    short = words.select((F.length("words") / 8).cast("int").alias("n")).where(f"n >= {LEAST_ITEM} and n < {SPAN}").distinct()
-    lengths = tuple(sorted(r["n"] for r in short.collect()))  # at most SPAN - LEAST_ITEM numbers
+    short = words.select((F.length("words") / 8).cast("int").alias("n")).where(F.col("n").isin(*SHORT_MASKS)).distinct()
+    lengths = tuple(sorted(r["n"] for r in short.collect()))
     seeds, _ = stage(tests.mapInPandas(_item_seeds(lengths), "seed long, item_id long, place long").distinct(), "seeds")
     if seeds.count() <= broadcast_seeds:
-        words = words.where(F.length("words") >= 8 * LEAST_ITEM)  # no more items than seeds
+        words = words.where(F.length("words") > 0)  # no more items than seeds
         items = {r["item_id"]: np.frombuffer(bytes(r["words"]), np.uint64) for r in words.collect()}
         found = source.mapInPandas(frugal(_scan(seeds.toPandas(), items, lengths)), RESULT)
     else:
@@ -244,4 +262,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         hits = rows.mapInPandas(frugal(_document_seeds(lengths)), "seed long, row long, at long").join(seeds, "seed")
         diagonals = hits.select("row", "item_id", (F.col("at") - F.col("place")).alias("_d")).groupBy("row", "item_id").agg(F.collect_set("_d").alias("diagonals"))
         found = diagonals.join(words, "item_id").join(rows, "row").mapInPandas(frugal(_verify), RESULT)
-    return found.withColumnRenamed("doc_id", id_col)
+    names = given.select(F.col("item_id").alias("key"), F.col("name").alias("item_id"))
+    named = found.withColumnRenamed("item_id", "key").join(names, "key")
+    return named.select(*[c.split()[0] for c in RESULT.split(", ")]).withColumnRenamed("doc_id", id_col)

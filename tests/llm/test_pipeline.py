@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import corpus_pipeline as C
 from flowloom.llm.common import stage
 from flowloom.llm.decontamination import _WORD
@@ -42,3 +44,33 @@ def test_stages(spark):
 def test_run_gives_the_last_stage(spark):
     rows = C.run(spark, SMALL)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(rows.columns) and rows.count() > 0
+
+
+def test_rows_are_told_by_id_and_text(spark):
+    """Rows that share an id, or have none, are judged each for itself."""
+    schema = spark.read.parquet(f"{SMALL}/documents.parquet").schema
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first()["text"]
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"]
+    near = words[0] + " more"
+    rows = [
+        (1, words[0]), (1, words[1]), (1, words[1]), (2, near), (None, near), (None, words[2]), (None, words[2]), (None, words[3]),
+        (3, words[4]), (3, f"{words[5]} {item} end"), (None, f"{words[6]} {item} end"), (4, words[6]), (None, words[4] + " more"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema).repartition(3)
+    alone = C.near_dedup(spark, docs, SMALL)
+    assert alone.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in alone.collect()), key=repr)
+    groups = {words[0], near}  # of these one stays, named by the only row with an id of its own
+    assert sum(t in groups for _, t in kept) == 1 and (2, near) in kept
+    assert [(i, t) for i, t in kept if t == words[1]] == [(1, words[1])]
+    assert [(i, t) for i, t in kept if t == words[2]] == [(None, words[2])] and (None, words[3]) in kept
+    assert sum(t.startswith(words[4]) for _, t in kept) == 1
+    clean = [(r["doc_id"], r["text"]) for r in C.decontamination(spark, docs, SMALL).collect()]
+    assert Counter(clean) == Counter((i, t) for i, t in rows if item not in t)
+
+
+def test_stages_on_empty_tables(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    for name, step in C.STAGES:
+        docs, _ = stage(step(spark, docs, SMALL), name)
+        assert docs.count() == 0

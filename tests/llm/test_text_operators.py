@@ -273,12 +273,47 @@ def test_contaminated_rows(spark, bound):
     texts = [f"before {PASSAGE.upper()} after", "x " + " ".join(replaced), " ".join(words[:7]), "clean text only", "", None, f"so {SHORT} end", "alpha beta gamma"]
     docs = spark.createDataFrame([(i, t, "en", None, None, 0.0) for i, t in enumerate([*texts, texts[0]])], DOCS)
     items = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE), (2, SHORT), (3, "too short"), (4, None), (5, ""), (None, PASSAGE)], "item_id long, text string")
-    found = sorted((r["doc_id"], r["item_id"], r["equal_words"], r["run_words"], r["first_word"]) for r in D.contaminated(docs, items, broadcast_seeds=bound).collect())
-    assert found == [(0, 1, 18, 18, 1), (1, 1, 16, 18, 1), (6, 2, 8, 8, 1), (8, 1, 18, 18, 1)]
+    found = [(r["doc_id"], r["item_id"], r["equal_words"], r["run_words"], r["first_word"]) for r in D.contaminated(docs, items, broadcast_seeds=bound).collect()]
+    found.sort(key=lambda r: (r[0], r[1] or 0))
+    assert [r for r in found if r[1] is not None] == [(0, 1, 18, 18, 1), (1, 1, 16, 18, 1), (6, 2, 8, 8, 1), (8, 1, 18, 18, 1)]
+    assert [(r[0], *r[2:]) for r in found if r[1] is None] == [(0, 18, 18, 1), (1, 16, 18, 1), (8, 18, 18, 1)]
     assert D.contaminated(docs.limit(0), items, broadcast_seeds=bound).count() == 0
     assert D.contaminated(docs, items.limit(0), broadcast_seeds=bound).count() == 0
 
 
+@pytest.mark.parametrize("bound", [D.BROADCAST_SEEDS, 0])
+def test_contaminated_by_short_items(spark, bound):
+    """Items of 1 to 14 words: whole ones in text from five words on, one replaced word from eight."""
+    items, docs, expected = [], [], set()
+
+    def add(words, *hits):
+        docs.append((len(docs), " ".join(words), "en", None, None, 0.0))
+        expected.update((len(docs) - 1, i) for i in hits)
+
+    for n in range(1, 15):
+        words = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        add(words, n)
+        add(["so", *words, "end"], *([n] if n >= 5 else []))
+        for k in range(n):
+            one = [w if j != k else "other" for j, w in enumerate(words)]
+            add(["so", *one, "end"], *([n] if n >= 8 else []))
+        add(["so", *words[: n // 2]])
+    spread = spark.createDataFrame(docs, DOCS).repartition(3)
+    found = D.contaminated(spread, spark.createDataFrame(items, "item_id long, text string"), broadcast_seeds=bound)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == expected
+
+
+@pytest.mark.parametrize("bound", [D.BROADCAST_SEEDS, 0])
+def test_contaminated_by_every_text_of_an_id(spark, bound):
+    first, second = PASSAGE, PASSAGE.replace("o", "u").upper()
+    docs = spark.createDataFrame([(i, t, "en", None, None, 0.0) for i, t in enumerate([first, second, "clean words"])], DOCS)
+    items = spark.createDataFrame([(7, first), (7, second), (7, first), (None, second)], "item_id long, text string")
+    rows = D.contaminated(docs, items, broadcast_seeds=bound).collect()
+    assert Counter((r["doc_id"], r["item_id"]) for r in rows if r["equal_words"] == 18) == {(0, 7): 1, (1, 7): 1, (1, None): 1}
+    assert {r["doc_id"] for r in rows} == {0, 1}
+
+
 def test_contaminated_finds_every_whole_item(spark):
     docs, _ = tables(spark, MIDDLE)
     items = spark.read.parquet(f"{MIDDLE}/benchmark.parquet")
