@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowloom.llm.common import table
 from flowloom.llm.decontamination import contaminated
@@ -86,6 +87,17 @@ def op6_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return contaminated(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
 
+@_register
+def url_filter_planted_aliases(spark: SparkSession, root: str) -> DataFrame:
+    """The pages with canonical links planted, as the tables have none: each page names the
+    first of its seven as its canonical one, so that decisions spread over components."""
+    pages = table(spark, root, "pages")
+    first = pages.select(F.col("page_id").alias("_first"), F.col("url").alias("_url")).where("_first % 7 = 0")
+    led = pages.join(first, F.col("page_id") - F.col("page_id") % 7 == F.col("_first"), "left")
+    link = F.concat(F.lit('<link rel="canonical" href="'), "_url", F.lit('">'))
+    return judge_pages(led.select("page_id", "url", F.concat(F.coalesce(link, F.lit("")), "html").alias("html")))
+
+
 @_register
 def op11_source_mix(spark: SparkSession, root: str) -> DataFrame:
     return mix_sources(table(spark, root, "documents"))
@@ -127,6 +139,19 @@ spread AS (SELECT n, bool_or(j.v = 'block') AND NOT coalesce(bool_or(j.v = 'allo
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(v, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM pages LEFT JOIN judged ON pages.url = judged.url LEFT JOIN spread ON node = n"""
 
+ORACLES["url_filter_planted_aliases"] = (
+    ORACLES["op4_url_filter"]
+    .replace("FROM pages", "FROM planted")
+    .replace("pages.url", "planted.url")
+    .replace(
+        "tags AS (",
+        """planted AS (SELECT p.page_id, p.url, concat(CASE WHEN f.url IS NULL THEN '' ELSE concat('<link rel="canonical" href="', f.url, '">') END, p.html) AS html
+ FROM pages p LEFT JOIN (SELECT page_id AS fid, url FROM pages WHERE page_id % 7 = 0) f ON p.page_id - p.page_id % 7 = f.fid),
+tags AS (""",
+        1,
+    )
+)
+
 ORACLES["op5_minhash_near_dedup"] = rf"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
