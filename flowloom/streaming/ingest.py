@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowloom.functions.text import is_capture_file
-from flowloom.sources.decode import packets_from_paths
+from flowloom.session import staged
+from flowloom.sources.decode import LARGE_BYTES, read_packets
 
 _BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -24,7 +25,7 @@ def stream_captures(
         .load(root)
     )
     return files.filter((F.col("length") >= min_bytes) & is_capture_file(F.col("path"))).select(
-        F.xxhash64("path").alias("capture_id"), "path"
+        F.xxhash64("path").alias("capture_id"), "path", "length"
     )
 
 
@@ -36,18 +37,24 @@ def ingest(
     link: str = "declared",
     min_bytes: int = 0,
     with_bytes: bool = True,
+    large_bytes: int = LARGE_BYTES,
 ) -> StreamingQuery:
     """Decode all captures not seen yet and append their packets.
 
     Stops when nothing is left; calling it again with the same checkpoint resumes
-    with the files that are new since.
+    with the files that are new since. The captures of a batch are read as in a batch
+    job, so one of ``large_bytes`` or more is many tasks. A batch has a folder of its own,
+    which a batch that is repeated after a failure replaces.
     """
-    captures = stream_captures(spark, root, min_bytes)
-    packets = packets_from_paths(captures, link, with_bytes)
+
+    def append(captures: DataFrame, batch: int) -> None:
+        packets = read_packets(staged(captures, "new-captures"), link, with_bytes, large_bytes)
+        packets.write.mode("overwrite").parquet(f"{packets_path}/batch={batch}")
+
     return (
-        packets.writeStream.format("parquet")
+        stream_captures(spark, root, min_bytes)
+        .writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
-        .start(packets_path)
+        .start()
     )
