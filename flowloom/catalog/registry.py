@@ -16,6 +16,7 @@ from flowloom.session import configure, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+VOTERS_PER_TASK = 1000
 
 
 @dataclass(frozen=True)
@@ -81,15 +82,24 @@ class Inputs:
         )
 
     def many_votes(self) -> DataFrame:
-        """A hundred trees, each with a vector of a thousand probabilities, generated per supplier."""
-        trees = self.table("supplier").select(
-            F.col("s_suppkey").alias("sample_id"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("tree")
-        )
+        """A hundred trees, each with a vector of a thousand probabilities, generated per supplier.
+
+        A supplier stands for 800 KB of vectors, so suppliers are dealt to tasks by their number.
+        """
+        suppliers = self.table("supplier").select(F.col("s_suppkey").alias("sample_id"))
+        tasks = max(4 * self.spark.sparkContext.defaultParallelism, -(-suppliers.count() // VOTERS_PER_TASK))
+        trees = suppliers.repartition(tasks).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(99))))
         first = F.pmod(F.col("sample_id") * 17 + F.pmod(F.col("sample_id") + F.col("tree"), F.lit(3)), F.lit(1000))
         step = F.pmod(F.col("sample_id") * 7 + F.col("tree") * 3, F.lit(50)).cast("double")
         sides = trees.withColumn("_a", first).withColumn("_p", F.lit(0.25) + step / 100)
         sides = sides.withColumn("_b", F.pmod(F.col("_a") + 1 + F.col("tree") % 2, F.lit(1000)))
-        vector = F.expr("transform(sequence(0, 999), c -> CASE WHEN c = _a THEN _p WHEN c = _b THEN 1 - _p ELSE 0D END)")
+        # two entries between zeros; a vector of a null id is all zeros
+        vector = F.expr(
+            """CASE WHEN _a IS NULL THEN array_repeat(0D, 1000) ELSE concat(
+ array_repeat(0D, CAST(least(_a, _b) AS INT)), array(CASE WHEN _a < _b THEN _p ELSE 1 - _p END),
+ array_repeat(0D, CAST(abs(_a - _b) - 1 AS INT)), array(CASE WHEN _a < _b THEN 1 - _p ELSE _p END),
+ array_repeat(0D, CAST(999 - greatest(_a, _b) AS INT))) END"""
+        )
         return sides.select("sample_id", "tree", vector.alias("probabilities"))
 
     def history(self) -> DataFrame:

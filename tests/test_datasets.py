@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from flowloom.catalog import registry
 from flowloom.functions import images as I
 from flowloom.functions import sequences as S
 from flowloom.functions import text as X
@@ -421,3 +422,20 @@ def test_crowded_slices_of_a_split_are_counted_again(spark, group):
 def test_batches_do_not_depend_on_the_bound(spark):
     rows = spark.range(5000).withColumnRenamed("id", "sample_id")
     assert sorted(splits.batch_ids(rows, 7, rows=1).collect()) == sorted(splits.batch_ids(rows, 7).collect())
+
+
+def test_many_votes_are_made_by_many_tasks(spark, tmp_path):
+    ids = [None, None, -5, 0, 58, 999, 1000, 12345]
+    table = spark.createDataFrame([(i,) for i in ids], "s_suppkey bigint").coalesce(1)
+    table.write.parquet(str(tmp_path / "supplier.parquet"))
+    votes = registry.Inputs(spark, str(tmp_path)).many_votes().withColumn("_task", F.spark_partition_id())
+    rows = votes.collect()
+    assert len({r["_task"] for r in rows}) >= len(ids) // 2
+    assert len(rows) == 100 * len(ids)
+    for row in rows:
+        wanted = [0.0] * 1000
+        if row["sample_id"] is not None:
+            i, t = row["sample_id"], row["tree"]
+            a, p = (i * 17 + (i + t) % 3) % 1000, 0.25 + (i * 7 + t * 3) % 50 / 100
+            wanted[a], wanted[(a + 1 + t % 2) % 1000] = p, 1 - p
+        assert row["probabilities"] == wanted
