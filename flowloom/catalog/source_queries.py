@@ -25,6 +25,7 @@ from flowloom.streaming.ingest import ingest
 
 _LINKS = (decode.LINK_ETHERNET, decode.LINK_RAW, decode.LINK_SLL, decode.LINK_SLL2, decode.LINK_NULL)
 _BLOCK = 256
+_TASK_PACKETS = 50_000
 
 
 def _be(value, digits):
@@ -41,9 +42,12 @@ def capture_bytes(q):
 
     The files alternate between link types, byte orders and time resolutions.
     Ethernet frames keep the table's length; other link headers are longer or
-    shorter, which shows in the frame length.
+    shorter, which shows in the frame length. Packets are brought together before their
+    bytes are made, in tasks of about as many packets whatever the table's size.
     """
     rows = q.packets().withColumn("block", F.floor(F.col("pkt_no") / _BLOCK))
+    tasks = max(int(q.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // _TASK_PACKETS))
+    rows = rows.repartition(tasks, "capture_id", "block")
     rows = rows.withColumn("link", F.element_at(
         F.array(*[F.lit(x) for x in _LINKS]), (F.col("block") % len(_LINKS) + 1).cast("int")
     ))
@@ -197,12 +201,16 @@ def written_captures(q) -> str:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(root)
+        made = set()
         for batch in batches:
-            for row in batch.to_pylist():
-                folder = f"{base}/{row['label']}"
-                system.create_dir(folder)
-                with system.open_output_stream(f"{folder}/{row['capture_id']}.pcap") as out:
-                    out.write(row["content"])
+            labels, names = batch["label"].to_pylist(), batch["capture_id"].to_pylist()
+            for label, name, content in zip(labels, names, batch["content"]):
+                folder = f"{base}/{label}"
+                if folder not in made:
+                    system.create_dir(folder)
+                    made.add(folder)
+                with system.open_output_stream(f"{folder}/{name}.pcap") as out:
+                    out.write(content.as_buffer())
             yield batch.select(["capture_id"])
 
     named.mapInArrow(write, "capture_id BIGINT").write.format("noop").mode("overwrite").save()

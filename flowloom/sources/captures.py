@@ -29,7 +29,9 @@ def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(root).select("path", "length")
+    # the file source makes a task of every 30 files or so, each with a file of its own once staged
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return reader.load(root).select("path", "length").coalesce(tasks)
 
 
 def list_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:

@@ -241,6 +241,7 @@ def _frames(handle, capture, start=None, stop=None, first=0, state=None, snap=No
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded rows and bytes; frames of many small captures share one."""
     held, size = [], 0
     for row in rows:
         held.append(row)
@@ -274,13 +275,12 @@ def packets_from_content(
 
 
 def _content_reader(snap: int | None) -> Callable:
-    def split(batches):
+    def frames(batches):
         for batch in batches:
             for capture, content in zip(batch["capture_id"].to_pylist(), batch["content"]):
-                handle = io.BytesIO(content.as_buffer())
-                yield from _batches(_frames(handle, capture, snap=snap), _FRAME_ARROW)
+                yield from _frames(io.BytesIO(content.as_buffer()), capture, snap=snap)
 
-    return split
+    return lambda batches: _batches(frames(batches), _FRAME_ARROW)
 
 
 def _decoding(
@@ -293,18 +293,22 @@ def _decoding(
     return run
 
 
+def _unbuffered(path: str) -> pa.NativeFile:
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
+
+
 def _open(path: str) -> io.BufferedReader:
     """A buffered handle on any file system Arrow knows (local, HDFS, object stores).
 
     Records are small against the buffer, so stepping from header to header stays
     inside it and storage sees large sequential reads.
     """
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    system, name = fs.FileSystem.from_uri(path)
-    return io.BufferedReader(system.open_input_file(name), READ_BUFFER)
+    return io.BufferedReader(_unbuffered(path), READ_BUFFER)
 
 
 def sequential_chunks(captures: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -347,18 +351,18 @@ def _find_record(handle, state: dict, low: int, high: int) -> int | None:
     handle.seek(state["at"])
     (first_second,) = struct.unpack(endian + "I", handle.read(4))
     handle.seek(low)
-    window = np.frombuffer(handle.read(min(high - low, SEARCH_BYTES) + 16), np.uint8).astype(np.int64)
+    window = handle.read(min(high - low, SEARCH_BYTES) + 16)
     count = len(window) - 15
     if count <= 0:
         return None
-    order = range(4) if endian == "<" else range(3, -1, -1)
 
     def word(at):
-        return sum(window[at + i : at + i + count] << (8 * k) for k, i in enumerate(order))
+        # the overlapping words that begin at every byte
+        return np.ndarray((count,), endian + "u4", window, at, (1,))
 
     size, original = word(8), word(12)
     plausible = (word(4) < scale) & (size > 0) & (size <= original) & (original <= MAX_RECORD)
-    plausible &= np.abs(word(0) - first_second) < MAX_CAPTURE_SECONDS
+    plausible &= np.abs(word(0).astype(np.int64) - first_second) < MAX_CAPTURE_SECONDS
     for candidate in np.flatnonzero(plausible).tolist():
         if _run_of_records(handle, state, low + candidate, first_second):
             return low + candidate
@@ -502,12 +506,12 @@ def _chunk_reader(snap: int | None) -> Callable:
                 snap,
             )
 
-    def split(batches):
+    def frames(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                yield from _batches(range_frames(row), _FRAME_ARROW)
+                yield from range_frames(row)
 
-    return split
+    return lambda batches: _batches(frames(batches), _FRAME_ARROW)
 
 
 def _path_reader(snap: int | None) -> Callable:
@@ -518,12 +522,12 @@ def _path_reader(snap: int | None) -> Callable:
         except OSError as problem:
             yield capture, 0, None, None, None, None, str(problem)
 
-    def split(batches):
+    def frames(batches):
         for batch in batches:
             for capture, path in zip(batch["capture_id"].to_pylist(), batch["path"].to_pylist()):
-                yield from _batches(file_frames(capture, path), _FRAME_ARROW)
+                yield from file_frames(capture, path)
 
-    return split
+    return lambda batches: _batches(frames(batches), _FRAME_ARROW)
 
 
 def frames_from_chunks(chunks: DataFrame, snap: int | None = None) -> DataFrame:
@@ -711,13 +715,14 @@ def _addresses(data: _Bytes, at: np.ndarray, v4: np.ndarray, ip: np.ndarray) ->
     short[:, 12:] = wide[:, :4]
     packed = np.where(v4[:, None], short, wide)
     keys = np.concatenate([packed, v4[:, None].astype(np.uint8)], axis=1)
-    distinct, inverse = np.unique(keys, axis=0, return_inverse=True)
-    raw = [bytes(row[:16]) for row in distinct]
+    coded = pa.Array.from_buffers(pa.binary(17), len(keys), [None, pa.py_buffer(keys.tobytes())]).dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    raw = [row[:16] for row in distinct]
     text = [
-        str(ipaddress.IPv4Address(b[12:])) if row[16] else ipaddress.IPv6Address(b).compressed
-        for b, row in zip(raw, distinct)
+        str(ipaddress.IPv4Address(row[12:16])) if row[16] else ipaddress.IPv6Address(row[:16]).compressed
+        for row in distinct
     ]
-    index = pa.array(np.where(ip, inverse.reshape(-1), 0), mask=~ip)
+    index = pa.array(coded.indices.to_numpy(), mask=~ip)
     return pa.array(raw, pa.binary()).take(index), pa.array(text, pa.string()).take(index)
 
 

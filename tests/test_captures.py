@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import ipaddress
+import json
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from flowloom.catalog import registry, source_queries
 from flowloom.operators.features import flow_images, length_sequences
 from flowloom.operators.flows import FLOW_KEY, flow_id, flow_packets
 from flowloom.plans.corpus_features import corpus_features
@@ -454,3 +458,64 @@ def test_length_cap_and_minimum(spark):
     assert set(map(abs, row.lengths)) == {1500}
     assert length_sequences(keyed, UNIFIED, min_packets=11).count() == 0
     assert set(FLOW_KEY) <= set(length_sequences(keyed, UNIFIED).columns)
+
+
+def small_captures(folder, count):
+    folder.mkdir()
+    for i in range(count):
+        (folder / f"{i:04}.pcap").write_bytes(W.pcap(talk(5), start=1_700_000_000))
+
+
+def test_small_captures_share_a_batch_of_frames(tmp_path):
+    small_captures(tmp_path / "in", 40)
+    paths = sorted(str(p) for p in (tmp_path / "in").iterdir())
+    manifest = pa.RecordBatch.from_pydict({"capture_id": list(range(40)), "path": paths})
+    (frames,) = D._path_reader(None)([manifest])
+    assert frames["capture_id"].to_pylist() == [i for i in range(40) for _ in range(5)]
+    contents = pa.RecordBatch.from_pydict({"capture_id": list(range(40)), "content": [open(p, "rb").read() for p in paths]})
+    (from_content,) = D._content_reader(None)([contents])
+    assert from_content.equals(frames)
+    state = json.dumps(D._begin(io.BytesIO(open(paths[0], "rb").read())))
+    ranges = [(i, p, 24, len(open(p, "rb").read()), 0, state, None) for i, p in enumerate(paths)]
+    (from_ranges,) = D._chunk_reader(None)([D._batch(ranges, D._CHUNK_ARROW)])
+    assert from_ranges.equals(frames)
+
+
+def test_a_listing_is_a_bounded_number_of_tasks(spark, tmp_path):
+    small_captures(tmp_path / "in", 600)
+    listed = C.list_files(spark, str(tmp_path / "in"))
+    assert listed.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert listed.count() == 600
+
+
+def test_small_growing_captures_share_tasks(tmp_path):
+    small_captures(tmp_path / "in", 40)
+    end = G.GrowingReader(str(tmp_path / "in"), "declared", False, 200).latestOffset()
+    single = G.GrowingReader(str(tmp_path / "in"), "declared", False, 200).partitions({}, end)
+    shared = G.GrowingReader(str(tmp_path / "in"), "declared", False, 200, 4)
+    parts = shared.partitions({}, end)
+    assert 4 <= len(parts) <= 8 and len(single) > 80
+    assert [r for p in parts for r in p.ranges] == single
+    assert sum(b.num_rows for p in parts for b in shared.read(p)) == 200
+
+
+def test_a_batch_holds_many_small_captures(spark, tmp_path):
+    small_captures(tmp_path / "in", 1100)
+    ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["batch=0"]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5500
+
+
+def test_capture_bytes_are_made_in_tasks_of_bounded_packets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source_queries, "_TASK_PACKETS", 256)
+    events = spark.range(4000).select(
+        F.col("id").alias("event_id"),
+        F.timestamp_micros(F.col("id") * 1000 + 10**15).alias("ts"),
+        (F.col("id") % 7).alias("user_id"),
+        F.lit("view").alias("event_type"),
+        (F.col("id") % 50 / 10).alias("value"),
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    made = source_queries.capture_bytes(registry.Inputs(spark, str(tmp_path)))
+    per_task = made.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) > 8 and sum(r["count"] for r in per_task) == 5 * 16
