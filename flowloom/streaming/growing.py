@@ -23,6 +23,8 @@ FORMAT = "growing_captures"
 # Endings of capture files
 _ENDINGS = (".pcap", ".pcapng")
 _NEXT_GENERATION = b"\n\r\r\n"
+# what opening a file and finding a record in it counts as, in bytes read
+_OPEN_BYTES = 64 * 1024
 
 
 @dataclass
@@ -34,6 +36,32 @@ class ByteRange(InputPartition):
     high: int
 
 
+@dataclass
+class ByteRanges(InputPartition):
+    """Ranges that one task reads one after the other."""
+
+    ranges: list[ByteRange]
+
+
+def _dealt(ranges: list[ByteRange], tasks: int) -> list[InputPartition]:
+    """Ranges as they are if there are few, else in runs of about ``CHUNK_BYTES`` of work or less.
+
+    So many small files, or what many files have grown by, are not as many tasks.
+    """
+    if len(ranges) <= tasks:
+        return ranges
+    work = [r.high - r.low + _OPEN_BYTES for r in ranges]
+    wanted = min(sum(work) / tasks, D.CHUNK_BYTES)
+    runs, held, size = [], [], 0
+    for part, cost in zip(ranges, work):
+        if held and size + cost > wanted:
+            runs.append(ByteRanges(held))
+            held, size = [], 0
+        held.append(part)
+        size += cost
+    return [*runs, ByteRanges(held)]
+
+
 def _sizes(root: str) -> dict[str, int]:
     """Size of every capture file below ``root``, by the path Spark lists it under."""
     from pyarrow import fs
@@ -70,9 +98,11 @@ def _first_record(handle, state: dict, low: int) -> int | None:
     reached = []
     for back in (1, 2):
         begin = max(state["at"], low - back * (D.MAX_RECORD + 16))
-        guess = begin if begin == state["at"] else D._find_record(handle, state, begin, low)
+        if begin == state["at"]:  # no guess: both would be the first record
+            break
+        guess = D._find_record(handle, state, begin, low)
         reached.append(None if guess is None else _reaching(handle, state, guess, low))
-    if reached[0] is not None and reached[0] == reached[1]:
+    if len(reached) == 2 and reached[0] is not None and reached[0] == reached[1]:
         return reached[0]
     return _reaching(handle, state, state["at"], low)
 
@@ -120,7 +150,7 @@ def _rows(part: ByteRange) -> Iterator[tuple]:
 
 
 class GrowingCaptures(DataSource):
-    """Options: ``path``, ``link``, ``with_bytes``, ``chunk_bytes``."""
+    """Options: ``path``, ``link``, ``with_bytes``, ``chunk_bytes``, ``tasks``."""
 
     @classmethod
     def name(cls) -> str:
@@ -138,14 +168,16 @@ class GrowingCaptures(DataSource):
             self._flag("link", "declared"),
             self._flag("with_bytes", "true") == "true",
             int(self._flag("chunk_bytes", str(D.CHUNK_BYTES))),
+            int(self._flag("tasks", "0")) or None,
         )
 
 
 class GrowingReader(DataSourceStreamReader):
     """An offset is the size every file has been read to; a batch is what they have grown by."""
 
-    def __init__(self, root: str, link: str, with_bytes: bool, chunk_bytes: int):
+    def __init__(self, root: str, link: str, with_bytes: bool, chunk_bytes: int, tasks: int | None = None):
         self.root, self.link, self.with_bytes, self.chunk_bytes = root, link, with_bytes, chunk_bytes
+        self.tasks = tasks
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {}
@@ -153,20 +185,23 @@ class GrowingReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:  # noqa: N802
         return _sizes(self.root)
 
-    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         ranges = []
         for path in sorted(end):
             low, high = start.get(path, 0), end[path]
             if high <= low:
                 continue
-            with D._open(path) as handle:
-                whole = handle.read(4) == _NEXT_GENERATION
-            step = high - low if whole else self.chunk_bytes
+            step = self.chunk_bytes
+            if high - low > step:
+                with D._unbuffered(path) as handle:
+                    step = high - low if handle.read(4) == _NEXT_GENERATION else step
             ranges += [ByteRange(path, at, min(at + step, high)) for at in range(low, high, step)]
-        return ranges
+        return ranges if self.tasks is None else _dealt(ranges, self.tasks)
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        for frames in D._batches(_rows(partition), D._FRAME_ARROW):
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        ranges = partition.ranges if isinstance(partition, ByteRanges) else [partition]
+        rows = (row for part in ranges for row in _rows(part))
+        for frames in D._batches(rows, D._FRAME_ARROW):
             yield D.decode_batch(frames, self.link, self.with_bytes)
 
 
@@ -179,8 +214,9 @@ def stream_growing_captures(
 ) -> DataFrame:
     """Packets of the captures below ``root`` as the files appear and grow.
 
-    What a classic capture has grown by is cut into ranges of ``chunk_bytes``, each read by
-    a task of its own, and the next batch goes on at the byte where this one ended. A
+    What a classic capture has grown by is cut into ranges of ``chunk_bytes``, and the next
+    batch goes on at the byte where this one ended. Few ranges have a task each, many are
+    dealt to tasks that read several (`_dealt`), so a task is not started for every file. A
     range finds its first record by itself: two guesses from different distances must
     meet at the same record, else the records are walked from the start of the file. A
     record belongs to the range in which it ends, so one still being written is left for
@@ -196,6 +232,7 @@ def stream_growing_captures(
         .option("link", link)
         .option("with_bytes", str(with_bytes).lower())
         .option("chunk_bytes", str(chunk_bytes))
+        .option("tasks", str(4 * spark.sparkContext.defaultParallelism))
         .load()
     )
 
