@@ -20,6 +20,9 @@ RUNTIME_CONF = {
     # per-flow arrays are bounded by the truncation, so more groups may stay in
     # the hash map before the aggregate falls back to sorting
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+    # a streamed batch of files is looked up path by path; the default makes a task of
+    # every path up to 10,000
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "256",
 }
 
 _local_staging: dict[str, str] = {}

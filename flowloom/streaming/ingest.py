@@ -10,11 +10,13 @@ from flowloom.functions.text import is_capture_file
 from flowloom.session import staged
 from flowloom.sources.decode import LARGE_BYTES, read_packets
 
+# a batch holds paths only, and costs some jobs however few they are
+FILES_PER_BATCH = 100_000
 _BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
 def stream_captures(
-    spark: SparkSession, root: str, min_bytes: int = 0, files_per_batch: int = 1000
+    spark: SparkSession, root: str, min_bytes: int = 0, files_per_batch: int = FILES_PER_BATCH
 ) -> DataFrame:
     """Capture files as they appear below ``root``; only their paths are read here."""
     files = (
@@ -48,7 +50,9 @@ def ingest(
     """
 
     def append(captures: DataFrame, batch: int) -> None:
-        packets = read_packets(staged(captures, "new-captures"), link, with_bytes, large_bytes)
+        # the file source makes a task of every 30 files or so
+        listed = captures.coalesce(4 * captures.sparkSession.sparkContext.defaultParallelism)
+        packets = read_packets(staged(listed, "new-captures"), link, with_bytes, large_bytes)
         packets.write.mode("overwrite").parquet(f"{packets_path}/batch={batch}")
 
     return (
